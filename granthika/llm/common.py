@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows that one broadcast may hold.  A side beyond it is joined by shuffle instead.
+#: Rows that one broadcast side may hold.  A side beyond it is joined by shuffle instead.
 BROADCAST_ROWS = 2_000_000
 
 
@@ -17,23 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "granthika-shared")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir; own folder only where it is unset."""
+    """Lineage cut: writes the rows once as a table in the shared folder and reads them back.
+
+    The table outlives lost executors and is removed when the application ends."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "granthika-checkpoints"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/granthika-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if path.startswith(("file:", "/")):
+        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """df.mapInArrow with a function of one batch; empty batches pass through unseen."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000) -> DataFrame:
+    """df.mapInArrow with a function of one slice of at most so many rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                out = fn(b)
+            for s in slices(b, rows):
+                out = fn(s)
                 if out is not None and out.num_rows:
                     yield out
 

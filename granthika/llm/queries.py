@@ -20,6 +20,8 @@ def p7_ids(spark, sf_dir):
 
 def queries():
     return {
+        "p1_found": _of("near_duplicates", "p1_found"),
+        "p1_classes": _of("near_duplicates", "p1_classes"),
         "p7_ids": p7_ids,
     }
 
