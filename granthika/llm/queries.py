@@ -22,6 +22,8 @@ def queries():
     return {
         "p1_found": _of("near_duplicates", "p1_found"),
         "p1_classes": _of("near_duplicates", "p1_classes"),
+        "p3_found": _of("lookalikes", "p3_found"),
+        "p3_unified": _of("lookalikes", "p3_unified"),
         "p5_found": _of("encoding_repair", "p5_found"),
         "p5_restored": _of("encoding_repair", "p5_restored"),
         "p7_ids": p7_ids,
