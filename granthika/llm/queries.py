@@ -26,6 +26,8 @@ def queries():
         "p3_unified": _of("lookalikes", "p3_unified"),
         "p5_found": _of("encoding_repair", "p5_found"),
         "p5_restored": _of("encoding_repair", "p5_restored"),
+        "p6_found": _of("language_labels", "p6_found"),
+        "p6_segments": _of("language_labels", "p6_segments"),
         "p7_ids": p7_ids,
     }
 
