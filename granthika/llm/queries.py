@@ -24,6 +24,7 @@ def queries():
         "p1_classes": _of("near_duplicates", "p1_classes"),
         "p3_found": _of("lookalikes", "p3_found"),
         "p3_unified": _of("lookalikes", "p3_unified"),
+        "p4_found": _of("sentences", "p4_found"),
         "p5_found": _of("encoding_repair", "p5_found"),
         "p5_restored": _of("encoding_repair", "p5_restored"),
         "p6_found": _of("language_labels", "p6_found"),
