@@ -42,6 +42,7 @@ DEVANAGARI = {"ाे": "ो", "ाै": "ौ", "ाॅ": "ॉ", "अा": "आ"
 
 _FOLD = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in SPACES} | {ord(c): "-" for c in HYPHENS} | {ord(a): b for a, b in SIGNS.items()}
 _FOLD |= {c: unicodedata.normalize("NFKC", chr(c)) for r in ((0xFF01, 0xFFEF), (0xFB00, 0xFB07), (0x2160, 0x2180), (0x2103, 0x2104), (0x2109, 0x210A), (0x01C4, 0x01CD), (0x0132, 0x0134)) for c in range(*r) if c not in _FOLD and unicodedata.normalize("NFKC", chr(c)) != chr(c)}
+_FOLDABLE = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_FOLD)) + "]")
 _DANDA = re.compile("(?<=[\u0900-\u097f])( ?)[|\uff5c\u01c0\u2223](?!\\w)")
 _SIGNS = re.compile("|".join(DEVANAGARI))
 _ODD = re.compile("[^\x00-\x7f]|\t")
@@ -54,7 +55,7 @@ def fold(text: str | None) -> str | None:
     """One form for all that never changes the look."""
     if not text or not _ODD.search(text):
         return text
-    text = unicodedata.normalize("NFC", text.translate(_FOLD))
+    text = unicodedata.normalize("NFC", text.translate(_FOLD) if _FOLDABLE.search(text) else text)
     while True:
         new = _SIGNS.sub(lambda m: DEVANAGARI[m[0]], text)
         if new == text:

@@ -30,6 +30,8 @@ def queries():
         "p6_found": _of("language_labels", "p6_found"),
         "p6_segments": _of("language_labels", "p6_segments"),
         "p7_ids": p7_ids,
+        "p8_found": _of("leakage", "p8_found"),
+        "p8_leaks": _of("leakage", "p8_leaks"),
         "p9_found": _of("personal_information", "p9_found"),
         "p9_redacted": _of("personal_information", "p9_redacted"),
     }
