@@ -22,6 +22,8 @@ def queries():
     return {
         "p1_found": _of("near_duplicates", "p1_found"),
         "p1_classes": _of("near_duplicates", "p1_classes"),
+        "p2_found": _of("page_noise", "p2_found"),
+        "p2_paragraphs": _of("page_noise", "p2_paragraphs"),
         "p3_found": _of("lookalikes", "p3_found"),
         "p3_unified": _of("lookalikes", "p3_unified"),
         "p4_found": _of("sentences", "p4_found"),
