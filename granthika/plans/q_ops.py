@@ -155,9 +155,10 @@ def r3_stream_windows(s, d):
     src = shared_path(s, "events")
     t(s, d, "events").write.parquet(src)
     out = shared_path(s, "windows")
-    q = request_windows(s.readStream.schema(schema).parquet(src), late="400 days").writeStream.format("memory").queryName("w" + out[-12:]).outputMode("complete").trigger(availableNow=True).start()
+    windows = request_windows(s.readStream.schema(schema).parquet(src), late="400 days")
+    q = windows.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", shared_path(s, "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return s.table("w" + out[-12:]).select(F.col("start").cast("string").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+    return s.read.parquet(out).select(F.col("start").cast("string").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
 def m1_embeddings(s, d):

@@ -9,8 +9,6 @@ from ..operators import qacite as A
 from ..sources.tables import table as t
 from . import sql as Q
 
-x = F.col("text")
-q = F.col("question")
 
 
 def docs(s, d):
@@ -25,11 +23,11 @@ def items(s, d):
 
 
 def l1_l2_block_language(s, d):
-    return docs(s, d).select("doc_id", F.round(T.devanagari_ratio(x), 6).alias("ratio"), T.block_language(x).alias("lang3"), T.simple_language(x).alias("simple"))
+    return docs(s, d).select("doc_id", F.round(T.devanagari_ratio(F.col("text")), 6).alias("ratio"), T.block_language(F.col("text")).alias("lang3"), T.simple_language(F.col("text")).alias("simple"))
 
 
 def l3_query_language(s, d):
-    lang, conf = T.query_language(q)
+    lang, conf = T.query_language(F.col("question"))
     return items(s, d).select("query_id", lang.alias("lang"), F.round(conf, 6).alias("confidence"))
 
 
@@ -39,37 +37,37 @@ def l5_chunk_language(s, d):
 
 
 def l6_l7_noise(s, d):
-    return docs(s, d).select("doc_id", T.is_garbage(x).alias("garbage"), F.round(T.coherence(x), 6).alias("coherence"))
+    return docs(s, d).select("doc_id", T.is_garbage(F.col("text")).alias("garbage"), F.round(T.coherence(F.col("text")), 6).alias("coherence"))
 
 
 def l8_reconstruct(s, d):
-    new, score = T.reconstruct(x)
+    new, score = T.reconstruct(F.col("text"))
     return t(s, d, "corpus_blocks").filter("length(text) > 0").select("block_id", "text").distinct().select("block_id", F.md5(new).alias("h"), F.round(score, 6).alias("score"))
 
 
 def l9_target_language(s, d):
-    return items(s, d).select("query_id", T.target_language(q).alias("target"))
+    return items(s, d).select("query_id", T.target_language(F.col("question")).alias("target"))
 
 
 def l10_script_shares(s, d):
-    a, b, c = T.script_shares(x)
+    a, b, c = T.script_shares(F.col("text"))
     return docs(s, d).select("doc_id", F.round(a, 6).alias("devanagari"), F.round(b, 6).alias("latin"), F.round(c, 6).alias("other"))
 
 
 def l11_english_patterns(s, d):
-    return docs(s, d).select("doc_id", T.english_patterns(x).cast("long").alias("n"))
+    return docs(s, d).select("doc_id", T.english_patterns(F.col("text")).cast("long").alias("n"))
 
 
 def l12_domain(s, d):
-    return docs(s, d).select("doc_id", T.domain(x).alias("domain"))
+    return docs(s, d).select("doc_id", T.domain(F.col("text")).alias("domain"))
 
 
 def l14_concepts(s, d):
-    return docs(s, d).select("doc_id", T.concept_count(x).cast("long").alias("n"), F.round(T.concept_weight(x), 6).alias("weight"))
+    return docs(s, d).select("doc_id", T.concept_count(F.col("text")).cast("long").alias("n"), F.round(T.concept_weight(F.col("text")), 6).alias("weight"))
 
 
 def l16_expansions(s, d):
-    return items(s, d).select("query_id", F.array_join(T.expansions(q, "ne"), " || ").alias("ne"), F.array_join(T.expansions(q, "en"), " || ").alias("en"))
+    return items(s, d).select("query_id", F.array_join(T.expansions(F.col("question"), "ne"), " || ").alias("ne"), F.array_join(T.expansions(F.col("question"), "en"), " || ").alias("en"))
 
 
 def l18_synonym(s, d):
@@ -78,30 +76,30 @@ def l18_synonym(s, d):
 
 
 def l19_tabular(s, d):
-    return items(s, d).select("query_id", T.is_tabular(q).alias("tabular"))
+    return items(s, d).select("query_id", T.is_tabular(F.col("question")).alias("tabular"))
 
 
 def l20_fallback_threshold(s, d):
     """Strategy and threshold of a query by domain, concepts and strategy."""
-    lang, _ = T.query_language(q)
-    strategy = F.when(T.concept_count(q) > 0, "semantic_expansion").when(lang == "mixed", "mixed_language").otherwise("monolingual")
-    dom = T.domain(q)
+    lang, _ = T.query_language(F.col("question"))
+    strategy = F.when(T.concept_count(F.col("question")) > 0, "semantic_expansion").when(lang == "mixed", "mixed_language").otherwise("monolingual")
+    dom = T.domain(F.col("question"))
     adj = F.when(dom == "constitution", -0.1).when(dom == "health", -0.05).when(dom == "emergency", -0.15).when(dom == "covid", -0.1).otherwise(0.0)
-    sem = F.when(T.concept_count(q) > 0, (T.concept_weight(q) - 0.5) * 0.2).otherwise(0.0)
+    sem = F.when(T.concept_count(F.col("question")) > 0, (T.concept_weight(F.col("question")) - 0.5) * 0.2).otherwise(0.0)
     st = F.when(strategy == "semantic_expansion", -0.05).when(strategy == "mixed_language", -0.1).otherwise(0.0)
     return items(s, d).select("query_id", strategy.alias("strategy"), F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.8), 0.5 + adj - sem + st)), 6).alias("threshold"))
 
 
 def l21_web_language(s, d):
-    return docs(s, d).select("doc_id", T.web_language(x).alias("lang2"))
+    return docs(s, d).select("doc_id", T.web_language(F.col("text")).alias("lang2"))
 
 
 def x1_tokens(s, d):
-    return docs(s, d).select("doc_id", F.size(T.tokens(x)).cast("long").alias("n"))
+    return docs(s, d).select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
 
 
 def x3_x4_clean(s, d):
-    return t(s, d, "corpus_blocks").filter("length(text) > 0").select("block_id", "text").distinct().select("block_id", F.md5(A.clean_ocr(x)).alias("ocr"), F.md5(A.clean_display(x)).alias("display"))
+    return t(s, d, "corpus_blocks").filter("length(text) > 0").select("block_id", "text").distinct().select("block_id", F.md5(A.clean_ocr(F.col("text"))).alias("ocr"), F.md5(A.clean_display(F.col("text"))).alias("display"))
 
 
 def x19_extracted(s, d):
@@ -114,13 +112,13 @@ def w13_key_terms(s, d):
 
 def f3_k20_qa_sources(s, d):
     b = A.qa_sources(t(s, d, "corpus_blocks")).select("block_id", "text", "conf_mean").distinct()
-    return b.select("block_id", F.round(A.text_quality(x, F.col("conf_mean")), 6).alias("quality"))
+    return b.select("block_id", F.round(A.text_quality(F.col("text"), F.col("conf_mean")), 6).alias("quality"))
 
 
 def j15_answer_overlap(s, d):
     p = t(s, d, "proper_manual_qacite").filter("answer_exact is not null").select("qa_id", "chunk_id", "answer_exact")
     c = t(s, d, "chunks").select("chunk_id", "text").distinct()
-    return p.join(c, "chunk_id").select("qa_id", F.round(A.overlap_share(F.col("answer_exact"), x), 6).alias("share"))
+    return p.join(c, "chunk_id").select("qa_id", F.round(A.overlap_share(F.col("answer_exact"), F.col("text")), 6).alias("share"))
 
 
 def w17_splits(s, d):
@@ -129,7 +127,7 @@ def w17_splits(s, d):
 
 def k22_content_domain(s, d):
     """Domain of a text by the first list of words of which one occurs."""
-    low = F.lower(x)
+    low = F.lower(F.col("text"))
     return docs(s, d).select("doc_id", F.when(low.rlike("constitution|article|संविधान"), "constitution").when(low.rlike("covid|कोभिड"), "covid").when(low.rlike("health|स्वास्थ्य"), "health").otherwise("general").alias("domain"))
 
 

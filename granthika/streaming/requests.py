@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def request_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Requests and their mean value by window and type; rows later than the watermark are left out."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
     return w.select(F.col("w.start").alias("start"), "event_type", "n", "mean_value")
 
 
