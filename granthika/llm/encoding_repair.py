@@ -30,8 +30,11 @@ SINGLE_BYTE = ("cp1252", "mac_roman", "cp437", "cp1251", "cp850", "cp1250", "koi
 #: Code points that a reading may hold besides those that the corpus has: none are likelier than this.
 UNSEEN = -14.0
 LOST = "�"
+#: Marks of punctuation, which words don't hold, and their log probability; a joiner stands after a virama only.
+COMMON_MARKS = "“”‘’–—…«»°²é।。，、？！：；（）"
+JOINERS, AFTER, NO_JOINER = (0x200B, 0x200C, 0x200D), "्", -8.0
 #: Readings of a damaged word that are weighed by word frequency.
-READINGS = 8
+READINGS = 24
 
 
 def _byte_of(codec: str) -> dict[str, int]:
@@ -79,7 +82,8 @@ class Channel:
 
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) + 1
-        self.logp = {c: max(UNSEEN, math.log(n / total)) for c, n in counts.items() if n * 200_000 > total}
+        self.logp = dict.fromkeys(COMMON_MARKS, -6.0)
+        self.logp |= {c: max(UNSEEN, math.log(n / total)) for c, n in counts.items() if n * 200_000 > total}
 
     def score(self, code: int) -> float | None:
         got = self.logp.get(chr(code))
@@ -107,7 +111,8 @@ class Channel:
                         continue
                     s = -4.0 if size == 1 else self.score(v)
                     if s is not None:
-                        best[i + size] += [(p + s, t + chr(v)) for p, t in best[i]]
+                        lone = v in JOINERS
+                        best[i + size] += [(p + s + (NO_JOINER if lone and not t.endswith(AFTER) else 0.0), t + chr(v)) for p, t in best[i]]
             for k in range(i + 1, min(i + 5, len(best))):
                 if len(best[k]) > most:
                     best[k] = sorted(best[k], key=lambda x: (-x[0], x[1]))[:most]
@@ -142,11 +147,14 @@ class Channel:
                 continue
             raw = b"".join(b"??" if c == LOST else c.encode("gb18030", "ignore") for c in run)
             read = raw.replace(b"??", b"").decode("utf-8", "ignore")
-            fits = sum(len(c.encode()) for c in read if ord(c) > 127 and self.score(ord(c)) is not None)
+            # two bytes of a double-byte character are often a Latin letter by chance; longer readings are not
+            least = 127 if _LATIN.search(around) else 0x7FF
+            fits = sum(len(c.encode()) for c in read if ord(c) > least and self.score(ord(c)) is not None)
             known = len(raw.replace(b"??", b""))
-            if known and fits >= 0.6 * known and (fits > 2 or _LATIN.search(around)):
-                cells = [x for c in run for x in ([None] if c == LOST else list(c.encode("gb18030", "ignore")))]
-                got = self.decode(cells, _TAILS, READINGS if LOST in run else 1)
+            cells = [x for c in run for x in ([None] if c == LOST else list(c.encode("gb18030", "ignore")))]
+            got = self.decode(cells, _TAILS, READINGS) if LOST in run else []
+            if got or known and fits >= 0.6 * known and (fits > 2 or _LATIN.search(around)):
+                got = got or self.decode(cells, _TAILS)
                 out.append((m.start(), m.end(), [t for _, t in got] or [raw.replace(b"??", b"\xff").decode("utf-8", "replace")]))
         return out
 
