@@ -84,6 +84,13 @@ def score_dynamic() -> Column:
     return s + F.when(n.between(100, 1000), 2.0).when(n > 1000, 1.0).otherwise(0.0)
 
 
+def score_simple() -> Column:
+    """K10."""
+    jaccard, cover = overlap()
+    s = F.when(F.contains("t", "q"), 25.0).otherwise(0.0) + phrase_points(5.0, 2.0) + jaccard * 15.0 + cover * 10.0
+    return s + F.when(F.col("text").rlike(r"\([0-9०-९]+\)"), 4.0).otherwise(0.0) + F.when(F.col("t").rlike(r"(article|section) [0-9०-९]+"), 3.0).otherwise(0.0)
+
+
 def score_bilingual() -> Column:
     """K9."""
     jaccard, cover = overlap()
@@ -132,17 +139,19 @@ def score_words() -> Column:
     return s + F.when(any_in(F.col("t"), ("health", "medical", "hospital", "treatment")) & any_in(F.col("q"), ("health", "medical", "hospital", "covid")), 3.0).otherwise(0.0)
 
 
-VARIANTS = {"dynamic": (score_dynamic, 3.0), "bilingual": (score_bilingual, 1.0), "intelligent": (score_intelligent, 1.0), "fixed": (score_fixed, 2.0), "words": (score_words, 0.0)}
+VARIANTS = {"dynamic": (score_dynamic, 3.0), "simple": (score_simple, 2.0), "bilingual": (score_bilingual, 1.0), "intelligent": (score_intelligent, 1.0), "fixed": (score_fixed, 2.0), "words": (score_words, 0.0)}
 
 
 def lexical_search(queries: DataFrame, rows: DataFrame, variant: str = "dynamic", k: int = 10) -> DataFrame:
-    """Score every row for every query, keep scores above the variant's bound, the first k a query (ties by chunk_id)."""
+    """Score every row for every query, keep scores above the variant's bound, the first k a query (ties by chunk_id).
+
+    Rows without text score nothing; repeated rows of a chunk are one."""
     score, bound = VARIANTS[variant]
     longest = 40 if variant == "fixed" else 5
     q = with_query_features(queries, longest).withColumn("q_lang2", T.web_language(F.col("query"))).withColumn("q_all", T.tokens(F.col("q")))
     t = F.lower("text")
-    r = rows.withColumn("t", t).withColumn("d", F.lower("doc_id"))
-    if variant in ("dynamic", "bilingual"):
+    r = rows.filter(F.col("text").isNotNull()).withColumn("t", t).withColumn("d", F.lower("doc_id"))
+    if variant in ("dynamic", "simple", "bilingual"):
         r = r.withColumn("t_words", word_set(t))
     if variant == "bilingual":
         r = r.withColumn("t_lang2", T.web_language(F.col("text"))).withColumn("t_dev", T.count_of(F.col("text"), T.DEVANAGARI))

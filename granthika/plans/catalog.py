@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_ingest, q_measure, q_ops, q_search, q_text
+from . import q_compose, q_ingest, q_measure, q_ops, q_search, q_text
 
-_MODULES = (q_ingest, q_text, q_search, q_measure, q_ops)
+_MODULES = (q_ingest, q_text, q_search, q_measure, q_compose, q_ops)
 
 
 def queries():
