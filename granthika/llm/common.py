@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that one broadcast side may hold.  A side beyond it is joined by shuffle instead.
 BROADCAST_ROWS = 2_000_000
+#: Words that each Python worker may hold of a broadcast table.
+WORKER_WORDS = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

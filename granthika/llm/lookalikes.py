@@ -6,7 +6,7 @@ determined; in a token of mixed scripts, letters of the other script are replace
 one, and only where the resulting word is in the corpus's vocabulary (count_words over all rows).  Where both scripts
 hold as many letters, and where a token consists of look-alikes alone, the text's dominant script decides.
 
-The distinct mixed tokens and their replacements are one small table; it is broadcast behind a count (BROADCAST_ROWS),
+The distinct mixed tokens and their replacements are one small table; it is broadcast behind a count (WORKER_WORDS),
 and beyond it the tokens are joined by shuffle with the rows that hold any.
 
 Defined cases: null stays null, empty stays empty; repeated rows stay repeated; ids may repeat; other columns are kept.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, map_arrow, table
+from .common import BROADCAST_ROWS, WORKER_WORDS, cut, map_arrow, table
 from .vocabulary import count_words
 
 #: Letters of other scripts and the Latin letters that look like them.
@@ -119,7 +119,7 @@ def known_words(df: DataFrame, cols: list[str], words: DataFrame) -> DataFrame:
     return part.join(words.select(F.col("word").alias("part"), "n"), "part", "left").groupBy("word").agg(F.min(F.coalesce("n", F.lit(0))).alias("n")).filter("n > 0").select("word")
 
 
-def unify(df: DataFrame, cols: list[str], words: DataFrame) -> DataFrame:
+def unify(df: DataFrame, cols: list[str], words: DataFrame, most: int = WORKER_WORDS) -> DataFrame:
     """Operator: df with each of cols in one consistent form."""
     known = cut(known_words(df, cols, words))
     names = df.columns
@@ -135,7 +135,7 @@ def unify(df: DataFrame, cols: list[str], words: DataFrame) -> DataFrame:
 
         return run
 
-    if known.count() <= BROADCAST_ROWS:
+    if known.count() <= most:
         all_words = df.sparkSession.sparkContext.broadcast(frozenset(r["word"] for r in known.collect()))
         return map_arrow(df.select(*plain.values()), run_with(lambda b: repeat(all_words.value)), df.schema, 1000)
     keyed = cut(df.withColumn("__row", F.monotonically_increasing_id()))

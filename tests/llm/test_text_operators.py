@@ -107,6 +107,7 @@ def test_mixed_tokens_need_the_vocabulary(spark):
     got = sorted((r.id, r.text) for r in L.unify(df, ["text"], words).collect())
     assert got == sorted([(1, "How many hеаlth cards"), (2, None), (3, ""), (4, "Привет мир"), (4, "Привет мир")], key=lambda x: (x[0], x[1] or "")) or {g[0]: g[1] for g in got} == {1: "How many hеаlth cards", 2: None, 3: "", 4: "Привет мир"}
     assert L.unify(df.limit(0), ["text"], words).count() == 0
+    assert sorted((r.id, r.text) for r in L.unify(df, ["text"], words, most=0).collect() if r.text) == sorted((i, t) for i, t in got if t)
 
 
 # --- 4: sentences ---------------------------------------------------------------------------------------------------
@@ -286,3 +287,4 @@ def test_noise_of_blocks(spark):
     assert heads == {f"b{i}" for i in range(1, 9)} | {"x"}
     assert {k for b, k in kinds if b == "b1"} == {"hyphenation", "page_number"} and ("x", "misread") in kinds
     assert P.noise(df.limit(0)).count() == 0
+    assert {(r.block_id, k) for r in P.noise(df, most=0).collect() for k in r.kinds} == kinds
