@@ -62,13 +62,13 @@ _FULL = re.compile(r"(?:\+|00)[9९][7७][7७]")
 _NOT_PHONE = re.compile(r"(?:circular|Circular|Letter no\.|letter no\.|grid code|plot|Tender|tender|Budget Head|परिपत्र|चलानी नं\.|कित्ता नं\.|शीर्षक|पत्र संख्या|बोलपत्र नं\.|Chalani nam\.|code|No\.|Rs\.?|NPR|रु\.?)\s*$")
 #: Labels of identity numbers.
 _ID = re.compile(
-    rf"(?:[Pp]assport|PASSPORT|[Cc]itizenship|[Ii]dentity|[Nn]ational ID|\bPAN\b|\bID\b|[Ll]icen[cs]e|[Tt]axpayer|राहदानी|पासपोर्ट|नागरिकता|परिचयपत्र|परिचय पत्र|पहचान पत्र|आधार|प्यान|स्थायी लेखा|लाइसेन्स|[Nn]agarikta|[Rr]ahadani|[Pp]arichaya ?patra|護照|护照|身份证)"
+    rf"(?:[Pp]assport|PASSPORT|[Cc]itizenship|[Ii]dentity (?:[Cc]ard|[Nn]o|[Nn]umber|[Dd]ocument)|[Nn]ational ID|\bPAN\b|\bID\b|[Ll]icen[cs]e|[Tt]axpayer|राहदानी|पासपोर्ट|नागरिकता|परिचयपत्र|परिचय पत्र|पहचान पत्र|आधार|प्यान|स्थायी लेखा|लाइसेन्स|[Nn]agarikta|[Rr]ahadani|[Pp]arichaya ?patra|護照|护照|身份证)"
     rf"(?:[^\n.。।{_D}]{{0,24}}?(?:no\.|No\.|nos?\.|number|नं\.|नं|संख्या|क्र\.|nam\.|号码|号|:)?)[\s:#]{{0,3}}(?P<v>(?:[A-Z]{{1,3}}[-\s]?)?[{_D}]{{2,}}(?:[-/][{_D}]+)*)(?![\w])"
 )
 _STREET = "Lane|Street|Marg|Tole|Road|Path|Chowk|Gali|Galli|Avenue|LANE|STREET|MARG|TOLE|marg|tole|galli|chowk"
 _STREET_NE = "टोल|मार्ग|गल्ली|गली|सडक|सड़क|चोक|चौक|पथ|लेन|स्ट्रिट"
 _ADDRESS = re.compile(
-    rf"(?<![\w/-])(?:(?:House|HOUSE|house|Ghar|ghar)\s+(?:[Nn][Oo]|nam|nambar)\.?\s*\d+(?:/\d+)?,?\s+|\d+(?:/\d+)?,?\s+)?[A-Z][A-Za-z]+(?:\s[A-Z][a-z]+)?\s+(?:{_STREET})\b(?:[\s-]+\d+(?:/\d+)?)?"
+    rf"(?<![\w/.-])(?:(?:House|HOUSE|house|Ghar|ghar)\s+(?:[Nn][Oo]|nam|nambar)\.?\s*\d+(?:/\d+)?,?\s+|\d+(?:/\d+)?,?\s+)?[A-Z][A-Za-z]+(?:\s[A-Z][a-z]+)?\s+(?:{_STREET})\b(?:[\s-]+\d+(?:/\d+)?)?"
     rf"(?P<rest>(?:,\s*(?:[Ww]ard|WARD|wada)\s*(?:[Nn]o\.|nam\.|nambar)?\s*\d+)?(?:,\s*[A-Z][A-Za-z]+(?:\s?[-–]\s?\d{{1,2}}(?!\d)|\s+\d{{5}}(?!\d))?)?)"
     rf"|(?<![ऀ-ॿ{_D}/-])(?:घर\s*(?:नं|नम्बर|संख्या|क्र)\.?\s*[{_D}]+(?:/[{_D}]+)?,?\s+|[{_D}]+(?:/[{_D}]+)?,?\s+)?[ऀ-ॣॱ-ॿ]+\s+(?:{_STREET_NE})(?![ऀ-ॣॱ-ॿ])(?:\s+[{_D}]+(?:/[{_D}]+)?)?"
     rf"(?P<rest2>(?:,\s*(?:वडा|वार्ड)\s*(?:नं\.|नम्बर|नं|संख्या|क्र\.)?\s*[{_D}]+)?(?:,\s*[ऀ-ॣॱ-ॿ]+(?:\s?[-–]\s?[{_D}]{{1,2}}(?![{_D}])|\s+[{_D}]{{5}}(?![{_D}]))?)?)"
@@ -213,11 +213,10 @@ class Finder:
                 low = max(0, h.start() - 70)
                 for m in _ADDRESS.finditer(text, low, h.end() + 90):
                     if m.start() < h.start() < m.end():
-                        own = m[0]
-                        if m["rest"] and (own[0].isdigit() or own.lower().startswith(("house", "ghar")) or _DIGIT.search(own)) or m["rest2"] or own.startswith("घर") or m["rest"] is not None and own[0].isdigit():
+                        if m["rest"] or m["rest2"] or m[0].startswith("घर"):
                             found.append((m.start(), m.end(), "address"))
                         break
-            found += [(*m.span("v"), "id_number") for m in _ID.finditer(text) if sum(c.isdigit() for c in m["v"]) > 5]
+            found += [(*m.span("v"), "id_number") for m in _ID.finditer(text) if sum(c.isdigit() for c in m["v"]) > 6]
             for m in _PHONE.finditer(text):
                 if _FULL.match(m[0]) or not _NOT_PHONE.search(text, max(0, m.start() - 24), m.start()):
                     found.append((m.start(), m.end(), "phone"))
