@@ -39,8 +39,9 @@ _LABEL = re.compile(r"[^\W\d_][^:：\n.।?!“”\"«»]{1,38}?[    ]?[:
 _LABEL_NO = re.compile(r".{3,45}?(?:\b[Nn][Oo]\b\.?|\b[Nn]umber|नं\.?|संख्या|क्र\.?|nam\.?)\s*[0-9०-९A-Z][-0-9०-९A-Za-z ./]*$")
 _HEAD = re.compile(
     r"\W{0,3}(?:(?:CHAPTER|Chapter|ANNEX|Annex|ANNEXE|Annexe|APPENDIX|Appendix|SCHEDULE|Schedule|NOTICE|Notice|PART|Part|SECTION|Section|Chapitre|CHAPITRE|Avis|AVIS)\s+(?:(?:NO|No|no|N)[.°]?\s*)?[\dIVXLC]+"
-    r"|(?:अनुसूची|परिच्छेद|सूचना|अनुबंध|अध्याय|भाग|खण्ड)[\s–—-]*(?:नं\.?|सं\.?|क्र\.?)?\s*[0-9०-९]|(?:附件|第[0-9一二三四五六七八九十]+[章节])|[0-9०-९]+(?:\.[0-9०-९]+)+\s+(?![a-zà-ÿ])[^\W\d_])"
+    r"|(?:अनुसूची|परिच्छेद|सूचना|अनुबंध|अध्याय|भाग|खण्ड)[\s–—-]*(?:नं\.?|सं\.?|क्र\.?)?\s*[0-9०-९]|(?:附件|第[0-9一二三四五六七八九十]+[章节])|[0-9०-९]+(?:\.[0-9०-९]+)+\s+(?![a-zà-ÿ]|लाख|करोड|प्रतिशत|रुप|बजे|PER\b|MILLION\b)[^\W\d_])"
 )
+_CAPS = re.compile(r"[A-Z]{2}[^a-z]{60}")
 _DIGITS = re.compile(r"[0-9०-९]+(?:[.,][0-9०-९]+)*$")
 _WORDS = re.compile(r"[^\W\d_]+")
 _OPENERS, _CLOSERS = "“«„「『", "”»」』"
@@ -51,18 +52,20 @@ BARE_QUOTE = re.compile(r"[\"“«„「『]")
 UNBALANCED, BARE, TINY, HOLDS = -7.0, -5.0, -1.5, 80
 
 
-def _line_kind(line: str) -> float:
-    """How surely a line without an end mark is a unit of its own."""
+def _line_kind(line: str, capitals: bool = True) -> float:
+    """How surely a line without an end mark is a unit of its own; `capitals`: whether a line of capitals says so."""
+    if not line:
+        return 0.0
     if _LIST.match(line):
         return 5.0
     if _HEAD.match(line) and len(line) < 140:
         return 5.0
     if _LABEL.match(line) and len(line) < 120:
         return 4.5
-    if len(line) < 70 and not line[:1].islower() and _LABEL_NO.match(line):
+    if len(line) < 70 and not line[:1].islower() and line[-1] != "." and _LABEL_NO.match(line):
         return 4.5
     letters = [c for c in line if c.isalpha()]
-    if len(letters) > 5 and all(c.isupper() for c in letters):
+    if capitals and len(letters) > 5 and all(c.isupper() for c in letters):
         return 4.0
     words = _WORDS.findall(line)
     if len(words) > 1 and len(line) < 90 and words[0][0].isupper():
@@ -141,12 +144,13 @@ def units(text: str) -> list[tuple[int, int]]:
     close: list[float] = []
     hard: list[bool] = []
     kinds: dict[int, float] = {}
+    capitals = sum(map(str.isupper, text)) < 0.4 * sum(map(str.isalpha, text)) if text.isupper() or _CAPS.search(text) else True
 
     def kind_at(a: int) -> float:
         """Kind of the line that begins at or before a's line start."""
         if a not in kinds:
             b = text.find("\n", a)
-            kinds[a] = _line_kind(text[a : b if b >= 0 else n].strip())
+            kinds[a] = _line_kind(text[a : b if b >= 0 else n].strip(), capitals)
         return kinds[a]
 
     line_start, marked = first, False
@@ -162,14 +166,14 @@ def units(text: str) -> list[tuple[int, int]]:
                 continue  # the mark before this break is the candidate
             line = text[line_start:end]
             gap = text[end:after]
-            own, nxt = _line_kind(line.strip()), kind_at(after)
+            own, nxt = _line_kind(line.strip(), capitals), kind_at(after)
             if marked or starts and starts[-1] == line_start and close[-1] <= 0 and text[line_start].isdigit():
                 own = 0.0  # the line holds an end already, or goes on with the line before
             if own < 2.5 and text[after : after + 1].isdigit():
                 nxt = 0.0  # a number may go on with a sentence
             word = text[after : after + 30].split(maxsplit=1)[:1]
             fits = end - line_start + 1 + len(word[0] if word else "") <= width - (2 if wrapped else 0)
-            score = -2.0 + own + (4.0 if nxt >= 4 else 0.0)
+            score = -2.4 + own + (4.0 if nxt >= 4 else 0.0)
             score += (1.0 if own or not wrapped else 0.5) if fits else (-3.0 if not own else -1.0)
             if gap.count("\n") > 1:
                 score += 3.5
@@ -196,7 +200,7 @@ def units(text: str) -> list[tuple[int, int]]:
                 score += 1.0 if score > 0 else 0.0
                 if text[e:after].count("\n") > 1:
                     score += 2.0
-                if kind_at(after) >= 4 or score < 0 and _line_kind(text[line_start:e].strip()) >= 4:
+                if kind_at(after) >= 4 or score < 0 and _line_kind(text[line_start:e].strip(), capitals) >= 4:
                     score += 3.0
                 line_start, marked = after, False
             elif score > 0:
