@@ -207,7 +207,7 @@ def units(text: str) -> list[tuple[int, int]]:
                 marked = True
             if not breaks and _line_kind_inside(text, line_start, e):
                 score -= 6.0
-        plain = mark[0] in ".!?।" and len(mark) == 1
+        plain = mark[0] in ".!?।" and len(mark) == 1 or mark[0] in "\n\r" and own >= 4.5
         score += _opening(text, after, -1.5 if plain else -7.0) if not (breaks and kind_at(after) >= 4) else 1.0
         ends.append(end)
         starts.append(after)
