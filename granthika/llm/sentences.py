@@ -34,11 +34,11 @@ GOES_ON = re.compile(r"(?:भनी|भन्ने|भन्दै|भनेर
 _CANDIDATE = re.compile(r"(?:[.!?…।॥。！？｡‼⁇⁈⁉]|(?<=[ऀ-ॿ])[|｜]|(?<=[ऀ-ॿ] )[|｜])+(?:[\"”’»」』)\]）]|[    ]»)*|[\n\r\v\f\u0085  ]")
 _SPACE = re.compile(r"\s*")
 _LAST = re.compile(r"[^\s(\[“\"«„「『‘’/–—]*$")
-_LIST = re.compile(r"(?:[-–—](?=\s+[^a-zà-ÿ])|[•*·▪●○‣◦■□▸►✓]|\(?(?:[0-9०-९]{1,3}|[a-zA-Z]|[ivxIVX]{1,4}|[क-ह])[.)）]|[①-⑳])[ \t   ]+\S")
+_LIST = re.compile(r"(?:[-–—](?=\s+[^a-zà-ÿ])|[•*·▪●○‣◦■□▸►✓]|\(?(?:[0-9०-९]{1,3}|[a-z]|[ivx]{1,4}|[क-ह])[.)）]|\((?:[A-Z]|[IVX]{1,4})[)）]|[①-⑳])[ \t   ]+\S")
 _LABEL = re.compile(r"[^\W\d_][^:：\n.।?!“”\"«»]{1,38}?[    ]?[:：]\s*[^\s“\"«]")
 _LABEL_NO = re.compile(r".{3,45}?(?:\b[Nn][Oo]\b\.?|\b[Nn]umber|नं\.?|संख्या|क्र\.?|nam\.?)\s*[0-9०-९A-Z][-0-9०-९A-Za-z ./]*$")
 _HEAD = re.compile(
-    r"\W{0,3}(?:(?:CHAPTER|Chapter|ANNEX|Annex|ANNEXE|Annexe|APPENDIX|Appendix|SCHEDULE|Schedule|NOTICE|Notice|PART|Part|SECTION|Section|Chapitre|CHAPITRE|Avis|AVIS)\s+(?:(?:NO|No|no|N)[.°]?\s*)?[\dIVXLC]+"
+    r"\W{0,3}(?:(?:CHAPTER|Chapter|ANNEX|Annex|ANNEXE|Annexe|APPENDIX|Appendix|SCHEDULE|Schedule|NOTICE|Notice|PART|Part|Chapitre|CHAPITRE|Avis|AVIS)\s+(?:(?:NO|No|no|N)[.°]?\s*)?[\dIVXLC]+"
     r"|(?:अनुसूची|परिच्छेद|सूचना|अनुबंध|अध्याय|भाग|खण्ड)[\s–—-]*(?:नं\.?|सं\.?|क्र\.?)?\s*[0-9०-९]|(?:附件|第[0-9一二三四五六七八九十]+[章节])|[0-9०-९]+(?:\.[0-9०-९]+)+\s+(?![a-zà-ÿ]|लाख|करोड|प्रतिशत|रुप|बजे|PER\b|MILLION\b)[^\W\d_])"
 )
 _CAPS = re.compile(r"[A-Z]{2}[^a-z]{60}")
