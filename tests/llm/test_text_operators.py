@@ -288,3 +288,6 @@ def test_noise_of_blocks(spark):
     assert {k for b, k in kinds if b == "b1"} == {"hyphenation", "page_number"} and ("x", "misread") in kinds
     assert P.noise(df.limit(0)).count() == 0
     assert {(r.block_id, k) for r in P.noise(df, most=0).collect() for k in r.kinds} == kinds
+    for most in (0, 1000):
+        text = {r.block_id: r.paragraph for r in P.paragraphs(df, most).collect()}
+        assert text["b1"] == text["b8"] == " ".join(body.split()).replace("con- sent", "consent") and text["x"].startswith("The registrar may not relocate")
