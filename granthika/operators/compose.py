@@ -113,7 +113,6 @@ def cross_terms(c: Column, to: str) -> Column:
 
 def tfidf_top(df: DataFrame, id_col: str, text: str, k: int = 5) -> DataFrame:
     """M2: words of a text by term frequency times inverse document frequency, the first k; documents are counted once over all."""
-    from .lexical import word_set
 
     n = df.agg(F.count("*").alias("n_docs"))
     tf = df.select(id_col, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{3,})"), 1)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))

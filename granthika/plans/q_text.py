@@ -153,7 +153,6 @@ def _words(c, words):
     return Q.cnt(f"regexp_replace(lower({c}),'[^\\p{{L}}\\p{{N}}_]','  ','g')", f"(?:^| )(?:{words})(?: |$)")
 
 
-_EN = (_words("{c}", "the|and|or|of|in|to|for|with|by|from|up|about|into|through|during"), _words("{c}", "health|ministry|government|constitution|emergency|operations|center"))
 
 
 def _english(c):
