@@ -26,7 +26,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import map_arrow, table
 from .lookalikes import _FOLD, TO_LATIN
