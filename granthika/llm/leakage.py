@@ -57,21 +57,16 @@ def terms(ws: list[str]) -> set[str]:
     return out
 
 
-def similarity(sentence: list[str], weight: list[float], ws: list[str], places: dict[str, list[int]], order: list[int]) -> float:
+def similarity(sentence: list[str], weight: list[float], ws: list[str], places: dict[str, list[int]]) -> float:
     """Best share of the sentence's words that stand in one stretch of the text, in order: the lesser of the shares by number and by weight.
 
-    Sentences of one pattern share most of their words but not the rare ones, so both shares count."""
+    Sentences of one pattern share most of their words but not the rare ones, so both shares count.  A stretch that holds
+    VERIFY of the words holds one of any (1 - VERIFY) of them and one more, so the places of those that are rarest in the
+    text are enough; below VERIFY the result is a lower bound."""
     m, best, tried, own = len(sentence), 0.0, set(), set(sentence)
-    need = max(1, int((1 - VERIFY) * m) + 1)
-    used = 0
-    for q in order:
-        at = places.get(sentence[q])
-        if not at:
-            used += 1
-            if used > need:
-                break
-            continue
-        for p in at:
+    rarest = sorted(range(m), key=lambda q: len(places.get(sentence[q], ())))[: m - math.ceil(VERIFY * m) + 1]
+    for q in rarest:
+        for p in places.get(sentence[q], ()):
             low = max(0, p - q - 3)
             if low // 3 in tried:
                 continue
@@ -84,9 +79,6 @@ def similarity(sentence: list[str], weight: list[float], ws: list[str], places:
             best = max(best, min(len(kept) / m, sum(weight[k] for k in kept)))
             if best > 0.999:
                 return best
-        used += 1
-        if used > need:
-            break
     return best
 
 
@@ -131,8 +123,6 @@ class Index:
         self.blocks = n // BLOCK + 1
         self.most = np.zeros((len(postings), self.blocks), np.float32)
         np.maximum.at(self.most, (np.repeat(np.arange(len(postings)), size), self.who // BLOCK), self.impact)
-        rarest = lambda s: sorted(range(len(s)), key=lambda q: df.get(s[q], df.get(s[q] + (s[q + 1] if q + 1 < len(s) else ""), 0)))
-        self.order = [rarest(s) for s in self.sentences]
         self.weight = []
         for x in self.sentences:
             w = [math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) if not _HAN.match(t) else 1.0 for t in x]
@@ -182,7 +172,7 @@ class Index:
 
         def there(s: int) -> bool:
             if s not in stands:
-                stands[s] = s >= 0 and s in got and similarity(self.sentences[s], self.weight[s], ws, places, self.order[s]) >= VERIFY
+                stands[s] = s >= 0 and s in got and similarity(self.sentences[s], self.weight[s], ws, places) >= VERIFY
             return stands[s]
 
         out = []
@@ -208,7 +198,7 @@ def _index(items: tuple) -> Index:
 
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Operator: (id, item_id, share, question_found, answer_found) for every text and each item that leaked into it."""
-    rows = sorted((r[0], r[1] or "", r[2] or "", r[3] or "") for r in items.select("item_id", "passage", "question", "answer").toLocalIterator())
+    rows = sorted((r[0], r[1] or "", r[2] or "", r[3] or "") for r in items.filter("item_id is not null").select("item_id", "passage", "question", "answer").distinct().toLocalIterator())
     kind = dict(df.dtypes)[id_col]
     source = df.select(id_col, text_col)
     out = None

@@ -213,6 +213,37 @@ def test_leaks(text, leaked):
     assert bool(K.Index([ITEM, *others]).leaks(text)) == leaked
 
 
+def test_leaks_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, ITEM[1]), (3, ITEM[1]), (4, (ITEM[1] + " ward ") * 3000)], "doc_id long, text string").withColumn("item_id", __import__("pyspark").sql.functions.lit("x"))
+    items = spark.createDataFrame([(1, ITEM[1], None, None), (1, ITEM[1], None, None), (2, None, "q", "a"), (None, "x", None, None), (3, ITEM[1], None, "")], "item_id int, passage string, question string, answer string")
+    got = {(r.doc_id, r.item_id) for r in K.find_leaks(docs, items).collect()}
+    assert got == {(3, 1), (3, 3), (4, 1), (4, 3)}
+    assert K.find_leaks(docs, items.limit(0)).count() == 0 and K.find_leaks(docs.limit(0), items).count() == 0
+
+
+def test_places_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "Call 9185348154."), (3, "Call 9185348154.")], "doc_id long, text string")
+    names = spark.createDataFrame([("Mivan", "given", "latin"), (None, "given", "latin")], "name_part string, part_kind string, script string")
+    assert sorted(tuple(r) for r in I.find_places(docs, names).collect()) == [(3, 5, 15, "phone")] * 2
+    assert I.find_places(docs, names.limit(0)).count() == 2 and I.find_places(docs.limit(0), names).count() == 0
+    red = {r.doc_id: r.text for r in I.redact_texts(docs, names, "k").collect()}
+    assert red[1] is None and red[2] == "" and red[3].startswith("Call [PHONE 9")
+
+
+def test_labels_of_odd_tables(spark):
+    rows = [("a", SAMPLES["en"][0], "en"), ("a", SAMPLES["en"][0], "en"), ("b", None, "ne"), ("c", "", None), ("d", "1234", "ne"), ("e", SAMPLES["zh"][0] * 500, "zh")]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, language string")
+    got = {r.id: [s.language for s in r.segments] for r in G.label_segments(df, "chunk_id", "text", "language").collect()}
+    assert got == {"a": ["en"], "b": [], "c": [], "d": ["ne"], "e": ["zh"]}
+    assert G.label_segments(df.limit(0), "chunk_id", "text", "language").count() == 0
+
+
+def test_units_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, None), (2, " \n"), (3, "One. Two."), (3, "One. Two.")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in S.sentence_units(df).collect()) == [(3, 0, 4), (3, 0, 4), (3, 5, 9), (3, 5, 9)]
+    assert S.sentence_units(df.limit(0)).count() == 0
+
+
 def test_block_bounds_hold():
     items = [(k, f"Ward {k} of Place{k} met on {k} June with {k * 7} people.", "", "") for k in range(1, 120)]
     ix = K.Index(items)
