@@ -59,7 +59,9 @@ _PLAIN = Channel({})
 
 
 def canonical(label: str | None) -> str | None:
-    return _CANON.get(label.strip().lower()) if label else None
+    """Language of a label in any spelling; a region or script after it makes no difference."""
+    low = label.strip().lower() if label else ""
+    return _CANON.get(low) or _CANON.get(re.split(r"[-_ /(]", low)[0])
 
 
 def pieces(text: str) -> list[str]:
