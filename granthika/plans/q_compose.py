@@ -9,7 +9,9 @@ from ..operators import compose as C
 from ..operators import layout, ops
 from ..operators import search as V
 from ..sources import tables as S
+from . import q_ingest as _I
 from . import q_search as Z
+from . import q_text as _X
 from . import sql as Q
 
 t = S.table
@@ -181,19 +183,19 @@ QUERIES = {
     "x16_fuzzy": (x16_fuzzy, None),
     "x17_boxes": (x17_boxes, "select qa_id, (i-1)::bigint pos, x0 from (select qa_id, unnest(range(1,len(char_spans)+1)) i, bbox_list[1][1] x0 from proper_manual_qacite where len(bbox_list)>0 and len(char_spans)>0)"),
     "x18_x29_qa_pairs": (x18_x29_qa_pairs, None),
-    "x8_content_titles": (x8_content_titles, None),
+    "x8_content_titles": (x8_content_titles, f"select doc_id, coalesce(l[1], initcap(regexp_replace(source,'[_-]+',' ','g'))) title from (select doc_id, source, list_filter(list_transform(string_split(text,chr(10)),lambda v: {Q.trim('v')}),lambda v: length(v) between 15 and 80 and regexp_matches(v,'\\p{{L}}{{4}}') and not regexp_matches(lower(v),'page|www\\.|http|@')) l from documents where text is not null)".replace("initcap(regexp_replace(source,'[_-]+',' ','g'))", "array_to_string(list_transform(string_split(regexp_replace(source,'[_-]+',' ','g'),' '),lambda v: upper(v[1:1])||lower(v[2:])),' ')")),
     "l17_cross_terms": (l17_cross_terms, f"select doc_id, array_to_string({_distinct_in_order('a')},' | ') ne, array_to_string({_distinct_in_order('b')},' | ') en from (select doc_id, {_cross('title', 'ne')} a, {_cross('title', 'en')} b from documents where title is not null) where len(a)>0 or len(b)>0"),
-    "l26_target_report": (l26_target_report, None),
+    "l26_target_report": (l26_target_report, f"select item_id::bigint item_id, case when length({Q.trim('question')})=0 then 'en' when c>=0.8 and l in ('ne','en') then l when c>=0.6 and sd>0.3 then 'ne' when c>=0.6 and sl>0.7 and e>0 then 'en' when sd>sl then 'ne' when sl>sd then 'en' when e>0 then 'en' when l in ('ne','en') then l else 'en' end target, l detected, round(c,6) confidence, round(sd,6) devanagari, round(sl,6) latin, e::bigint english_words from (select *, {_X._qlang('question')} l, {_X._qconf('question')} c, {Q.dev('question')}::double/length(question) sd, {Q.latin('question')}::double/length(question) sl, {_X._english('question')} e from eval_items where question is not null)"),
     "m2_tfidf": (m2_tfidf, "select doc_id, term, tf, round(s,6) score, r as rank from (select *, row_number() over (partition by doc_id order by round(s,6) desc, term) r from (select x.doc_id, x.term, x.tf, x.tf*(ln((1.0::double+n)/(1.0::double+df))+1.0::double) s from (select doc_id, term, count(*) tf from (select doc_id, unnest(regexp_extract_all(lower(text),'[\\p{L}\\p{N}_]{3,}')) term from documents where text is not null) group by 1,2) x join (select term, count(distinct doc_id) df from (select doc_id, unnest(regexp_extract_all(lower(text),'[\\p{L}\\p{N}_]{3,}')) term from documents where text is not null) group by 1) y on x.term=y.term, (select count(*) n from documents where text is not null))) where r<=5"),
     "m3_signature_index": (m3_signature_index, None),
     "m4_neutral_scores": (m4_neutral_scores, f"select 0.5::double rerank_score, count(*) n from {_P}"),
-    "k24_creation": (k24_creation, None),
+    "k24_creation": (k24_creation, f"select case when has_image and coverage<0.1 then 'ocr_scanned' when coalesce(f,0)>10 and coverage>0.3 then 'mixed' else 'born_digital' end as method, count(*) n from {_I._TYPED} p left join (select page_id, count(distinct font) f from {_I._OBJECTS} group by 1) o using (page_id) join (select page_id, bool_or(coalesce(source_page_is_ocr,false)) has_image from {_I._LATEST} group by 1) i using (page_id) group by 1"),
     "k30_rotation": (k30_rotation, "select event_id, case when event_id::int & 64 <> 0 then 15.0::double else 0.0::double end rotation, round(case when user_id=0 then 1.0::double else least(1.0::double,user_id*1000/16777215.0::double) end,6) alpha from events"),
     "k10_lexical_simple": (Z._lexical("simple"), Z._top("+".join([Z._w("contains(t,q)", "25.0"), f"coalesce({Z._phr(5, 5.0, 2.0)},0.0::double)", f"{Z._JAC}*15.0::double", f"{Z._COV}*10.0::double", Z._w("regexp_matches(text,'\\([0-9०-९]+\\)')", "4.0"), Z._w("regexp_matches(t,'(article|section) [0-9०-९]+')", "3.0")]), Z._BOTH, 2.0)),
     "f5_authority": (f5_authority, "select distinct chunk_id, doc_id from chunks where source_authority='authoritative'"),
     "f8_enhanced_authority": (f8_enhanced_authority, "select distinct chunk_id from chunks where (not coalesce(is_distractor,false) or regexp_matches(doc_id,'^(act|notice|guideline|report)')) and coalesce(language,'unknown') in ('ne','unknown') and length(text)>=30"),
     "f9_substantial_tables": (f9_substantial_tables, "select distinct block_id, json_extract(text,'$.rows')::bigint as \"rows\", json_extract(text,'$.cols')::bigint as cols from corpus_blocks where block_type='table' and json_valid(text) and json_extract(text,'$.rows')::bigint>=2 and json_extract(text,'$.cols')::bigint>=2"),
-    "j1_j2_page_types": (j1_j2_page_types, None),
+    "j1_j2_page_types": (j1_j2_page_types, f"select coalesce(page_type,'unknown') page_type, count(*) n from (select distinct block_id, page_id, doc_id from corpus_blocks) b left join (select page_id, page_type from {_I._TYPED} where n_blocks>1) p using (page_id) group by 1"),
     "j14_results_with_metadata": (j14_results_with_metadata, "select split, count(*) n, count(ocr_confidence) known from proper_manual_qacite group by 1"),
     "u3_candidate_concat": (u3_candidate_concat, "select source_authority, count(*) n from chunks where source_authority is not null group by 1"),
     "r2_snapshot": (r2_snapshot, "select authority, count(*) n from manifest group by 1"),
