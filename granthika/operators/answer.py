@@ -9,8 +9,8 @@ from ..functions import text as T
 
 #: Parts of document ids that count as authoritative, and the forms of refusals.
 AUTHORITY_IDS = ("constitution", "health", "covid", "heoc", "ministry")
-REFUSALS_EN = ("cannot provide", "insufficient evidence", "no authoritative", "not enough information")
-REFUSALS_NE = ("जानकारी छैन", "प्रमाण छैन", "उत्तर दिन सकिन्न")
+REFUSALS_EN = ("don't have enough authoritative evidence", "insufficient evidence", "cannot answer", "not enough information")
+REFUSALS_NE = ("पर्याप्त आधिकारिक प्रमाण नहुँदा", "जवाफ दिन असमर्थ", "पर्याप्त जानकारी छैन")
 DOMAIN_WORDS = {
     "constitution": ("संविधान", "constitution", "कानून", "law", "अधिकार", "rights"),
     "health": ("स्वास्थ्य", "health", "चिकित्सा", "medical", "उपचार", "treatment"),

@@ -12,24 +12,43 @@ def span_objects(blocks: DataFrame) -> DataFrame:
     return blocks.select("block_id", "doc_id", "page_id", fonts[0]["font"].alias("font"), fonts[0]["size"].alias("size"), F.posexplode("char_span").alias("pos", "s")).select("block_id", "doc_id", "page_id", "pos", "font", "size", F.col("s.text").alias("text"), F.col("s.bbox").alias("bbox"))
 
 
-def signature(text: Column, font: Column, size: Column) -> Column:
-    """What makes an object the same on another page."""
-    return F.concat_ws("|", text, font, F.format_number(size, 1))
+#: Page size in points where the source gives none.
+WIDTH, HEIGHT = 595.0, 842.0
+#: Thresholds and texts of watermarks.
+AREA, OFTEN, LARGE, MICRO = 0.25, 0.3, 24.0, 6.0
+MARKS = (r"(^|[^\w])(confidential|draft|copy|duplicate|sample|watermark|preview|not for distribution|internal use|preliminary|copyright|proprietary|restricted|classified)([^\w]|$)", "©")
+
+
+def signature(text: Column, font: Column, size: Column, bbox: Column) -> Column:
+    """What makes an object the same on another page: text, font, size and place."""
+    place = F.concat(F.format_number(bbox[0] / WIDTH, 2), F.lit(","), F.format_number(bbox[1] / HEIGHT, 2))
+    return F.concat_ws("|", F.trim(text), font, F.format_number(size, 1), place)
 
 
 def signature_frequency(objects: DataFrame) -> DataFrame:
     """Occurrences of a signature in a document by the document's pages; may exceed 1."""
-    o = objects.withColumn("sig", signature(F.col("text"), F.col("font"), F.col("size")))
+    o = objects.withColumn("sig", signature(F.col("text"), F.col("font"), F.col("size"), F.col("bbox")))
     pages = o.groupBy("doc_id").agg(F.countDistinct("page_id").alias("pages"))
     return o.groupBy("doc_id", "sig").agg(F.count("*").alias("n")).join(pages, "doc_id").withColumn("frequency", F.col("n") / F.col("pages"))
 
 
 def drop_reasons(objects: DataFrame) -> DataFrame:
-    """Why an object may be a watermark."""
-    b = F.col("bbox")
-    area = (b[2] - b[0]) * (b[3] - b[1]) / (595.0 * 842.0)
-    reasons = F.array_compact(F.array(F.when(area > 0.25, "large_area"), F.when(F.col("size") < 6, "micro_text"), F.when(F.lower("text").rlike("draft|confidential|sample|watermark"), "text_pattern"), F.when((F.col("size") > 20) & (F.length("text") < 30), "large_font")))
-    return objects.withColumn("reasons", reasons)
+    """Why an object may be a watermark, by size, frequency, text, font and place."""
+    o = objects.withColumn("sig", signature(F.col("text"), F.col("font"), F.col("size"), F.col("bbox")))
+    o = o.join(signature_frequency(objects).select("doc_id", "sig", "frequency"), ["doc_id", "sig"])
+    b, low, size = F.col("bbox"), F.lower("text"), F.col("size")
+    x, y = (b[0] + b[2]) / 2 / WIDTH, (b[1] + b[3]) / 2 / HEIGHT
+    reasons = F.array(
+        F.when((b[2] - b[0]) * (b[3] - b[1]) / (WIDTH * HEIGHT) > AREA, "large_area"),
+        F.when(F.col("frequency") >= OFTEN, "frequent"),
+        F.when(low.rlike(MARKS[0]) | F.contains(low, F.lit(MARKS[1])), "text_pattern"),
+        F.when((size > LARGE) & F.contains(F.lower("font"), F.lit("bold")), "large_bold_font"),
+        F.when(F.lower("font").rlike("script|display|decorative"), "decorative_font"),
+        F.when(size < MICRO, "micro_text"),
+        F.when((x > 0.3) & (x < 0.7) & (y > 0.3) & (y < 0.7) & (size > LARGE), "centred_large"),
+        F.when(((y < 0.1) | (y > 0.9)) & (F.col("frequency") >= OFTEN / 2), "edge_frequent"),
+    )
+    return o.withColumn("reasons", F.array_compact(reasons))
 
 
 def page_metrics(blocks: DataFrame) -> DataFrame:

@@ -16,21 +16,55 @@ def qa_sources(blocks: DataFrame, least_conf: float = 45.0, least_length: int =
     return blocks.filter((F.col("source_authority") == "authoritative") & F.col("language").isin("ne", "en") & (F.length("text") >= least_length) & (F.col("conf_mean") >= least_conf))
 
 
-def text_quality(c: Column, conf: Column) -> Column:
-    """Gates on length, words, letters and noise; then a score."""
+#: Signs and digits that count as noise of a text.
+SIGNS = r"[\p{Nd}!@#$%^&*()_+\-={}\[\]|\\:;\"<>,.?/]"
+
+
+def _measures(c: Column) -> tuple[Column, Column, Column, Column]:
+    """Words, shares of letters (with Devanagari signs) and of noise in the length, and of coherent words."""
     w = T.tokens(c)
-    n = F.length(c)
-    alpha = T.count_of(c, r"\p{L}") / F.greatest(n, F.lit(1))
-    lone = F.size(F.filter(w, lambda x: F.length(x) == 1)) / F.greatest(F.size(w), F.lit(1))
-    whole = F.size(F.filter(w, lambda x: F.length(x) >= 2)) / F.greatest(F.size(w), F.lit(1))
-    gate = (n >= 20) & (F.size(w) >= 5) & (alpha >= 0.4) & (lone <= 0.3) & (whole >= 0.8) & (conf >= 60)
-    score = F.when(n >= 100, 0.3).otherwise(0.1) + F.when(F.size(w) >= 15, 0.3).otherwise(0.2) + 0.2 * alpha + 0.2 * whole
-    return F.when(gate, score).otherwise(0.0)
+    n = F.greatest(F.length(c), F.lit(1))
+    whole = F.size(F.filter(w, lambda x: (F.length(x) >= 3) & (x.rlike(r"^\p{L}+$") | x.rlike(T.DEVANAGARI))))
+    return w, T.count_of(c, r"[\p{L}ऀ-ॿ]") / n, T.count_of(c, SIGNS) / n, whole / F.greatest(F.size(w), F.lit(1))
+
+
+def text_quality(c: Column, conf: Column) -> Column:
+    """0 where length, words, letters, noise, coherence or confidence miss their gates; else a score of four parts."""
+    w, alpha, noise, whole = _measures(c)
+    gate = (F.length(c) >= 20) & (F.size(w) >= 5) & (alpha >= 0.7) & (noise <= 0.3) & (whole >= 0.8) & (conf >= 60)
+    score = F.when(conf >= 70, 0.3).otherwise(0.1) + F.when(F.length(c) >= 100, 0.3).when(F.length(c) >= 50, 0.2).otherwise(0.0) + alpha * 0.2 + whole * 0.2
+    return F.when(gate, F.least(score, F.lit(1.0))).otherwise(0.0)
+
+
+def valid_answer(answer: Column, chunk: Column) -> Column:
+    """An answer of enough length, letters and coherence, most of whose words stand in the chunk."""
+    from .lexical import word_set
+
+    w, alpha, noise, whole = _measures(answer)
+    a, b = word_set(F.lower(answer)), word_set(F.lower(chunk))
+    known = (F.size(a) == 0) | (F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)) >= 0.6)
+    return F.coalesce((F.length(T.trimmed(answer)) >= 10) & (F.size(w) >= 3) & (alpha >= 0.8) & (noise <= 0.2) & (whole >= 0.9) & known, F.lit(False))
+
+
+#: Words of two domains of questions.
+HEALTH = "health covid hospital patient medicine disease स्वास्थ्य कोभिड अस्पताल बिरामी औषधि रोग".split()
+LEGAL = "constitution law right legal act section संविधान कानुन अधिकार ऐन धारा".split()
+
+
+def qa_domain(c: Column) -> Column:
+    """Health where more of its words occur than legal ones, else legal where any does."""
+    low = F.lower(c)
+    n = lambda ws: sum((F.contains(low, F.lit(w)).cast("int") for w in ws), F.lit(0))
+    return F.when((n(HEALTH) > n(LEGAL)) & (n(HEALTH) > 0), "health").when(n(LEGAL) > 0, "legal").otherwise("generic")
 
 
 def clean_ocr(c: Column) -> Column:
-    """Lone digits and letters dropped, spaces collapsed."""
-    return T.trimmed(F.regexp_replace(F.regexp_replace(c, r"(^|\s)[0-9A-Za-z](?=\s|$)", " "), r"\s+", " "))
+    """Digits and Latin letters that stand alone dropped, spaces collapsed; text that is short or has few letters is left empty."""
+    t = c
+    for one in ("[0-9]", "[a-zA-Z]"):
+        t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_]){one}(?![\p{{L}}\p{{N}}_])", "")
+    t = T.trimmed(F.regexp_replace(t, r"\s+", " "))
+    return F.when((F.length(t) > 5) & (T.count_of(t, r"[\p{L}ऀ-ॿ]") / F.length(t) > 0.3), t).otherwise("")
 
 
 def clean_display(c: Column) -> Column:

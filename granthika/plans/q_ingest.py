@@ -115,9 +115,19 @@ def x10_years(s, d):
     return t(s, d, "documents").select("doc_id", manifest.year_of(F.col("text")).alias("year")).filter("year is not null")
 
 
-def x9_encyclopedic(s, d):
-    m = t(s, d, "manifest")
-    return m.select("doc_id", manifest.encyclopedic(F.coalesce("file", F.lit("")), F.coalesce("title_guess", F.lit("")), F.coalesce("source_domain_guess", F.lit(""))).alias("is_wiki")).distinct()
+def names(s, d):
+    """Names to classify: files, their domains and titles."""
+    m = t(s, d, "manifest").select("doc_id", F.explode(F.array("file", "source_domain_guess", "title_guess", F.concat_ws("_", "source_domain_guess", F.lit("wiki"), "file"))).alias("name"))
+    return m.filter("name is not null").distinct()
+
+
+def x9_classified(s, d):
+    a, w, c = manifest.classified(F.col("name"))
+    return names(s, d).select("doc_id", "name", a.alias("authority"), w.alias("is_wiki"), c.alias("confidence"))
+
+
+def a4_pattern_hits(s, d):
+    return manifest.pattern_hits(names(s, d).select("name").distinct(), "name")
 
 
 def l23_file_language(s, d):
@@ -170,6 +180,8 @@ def u1_u2_union(s, d):
 _LATEST = "(select * from (select *, row_number() over (partition by block_id order by ingested_at desc nulls last) r from corpus_blocks) where r=1)"
 _OBJECTS = f"""(select doc_id, page_id, block_id, f.font as font, f.size as size, s.text as text, s.bbox as bbox from (
  select *, json_extract_string(font_stats,'$[0].font') ff, from_json(font_stats,'[{{"font":"VARCHAR","size":"DOUBLE"}}]')[1] f, unnest(char_span) s from {_LATEST}))"""
+_SIGS = f"(select *, concat_ws('|',trim(text),font,format('{{:,.1f}}',size),format('{{:,.2f}}',bbox[1]/595.0::double)||','||format('{{:,.2f}}',bbox[2]/842.0::double)) sig from {_OBJECTS})"
+_FREQ = f"(select s.doc_id, sig, count(*) n, count(*)::double/any_value(p) frequency from {_SIGS} s join (select doc_id, count(distinct page_id) p from {_OBJECTS} group by 1) q on s.doc_id=q.doc_id group by s.doc_id, sig)"
 _PAGES = f"""(select doc_id, page_id, sum(length(x)) n_chars, sum(len({Q.tok('x')})) n_words, count(*) n_blocks,
  sum(case when len(bbox)>=4 then (bbox[3]-bbox[1])*(bbox[4]-bbox[2]) else 0.0 end) area from
  (select *, case when block_type in ('text','table') then coalesce(text,'') else '' end x from {_LATEST}) group by all)"""
@@ -177,6 +189,10 @@ _TYPED = f"""(select *, area/(595.0::double*842.0) coverage, case when (case whe
  +(case when area/(595.0::double*842.0)>=0.01 then 1 else 0 end)+1>=2 then 'text' else 'image' end page_type from {_PAGES})"""
 _Q = "greatest(0.0::double,least(1.0::double,(case when coalesce(source_page_is_ocr,false) and conf_mean is not null then 0.5::double+0.5::double*(conf_mean/100.0::double) else 1.0::double end)*(case when source_authority='authoritative' then 1.2::double else 1.0::double end)*(case when coalesce(is_distractor,false) then 0.7::double else 1.0::double end)*(case when coalesce(language,'') in ('ne','en') then 1.1::double else 1.0::double end)*(case when coalesce(has_watermark,false) then 0.9::double else 1.0::double end)))"
 
+_NAMES = "(select distinct doc_id, name from (select doc_id, unnest([file, source_domain_guess, title_guess, concat_ws('_',source_domain_guess,'wiki',file)]) name from manifest) where name is not null)"
+_PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(file,'^.*/',''),'\.[^.]*$',''),'[_-]+',' ','g'),'[ \t\n\x0B\f\r]+',' ','g'))"
+_TITLE = r"(case when pl='' then file when regexp_full_match(pl,'[a-zA-Z0-9 \-_.()]+') then array_to_string(list_transform(string_split(pl,' '), lambda x, i: case when i>1 and lower(x) in (" + ",".join(f"'{w}'" for w in manifest.SMALL) + ") then lower(x) else upper(x[1:1])||lower(x[2:]) end),' ') else pl end)"
+
 QUERIES = {
     "s1_parquet_scan": (s1_parquet_scan, "select doc_id, lang, n_chars::bigint n_chars from documents where n_chars > 500"),
     "s2_partitioned_sink": (s2_partitioned_sink, "select block_type, count(*) n, sum(length(text))::bigint chars from corpus_blocks group by 1"),
@@ -201,16 +217,15 @@ QUERIES = {
     "x2_table_text": (x2_table_text, """select distinct block_id, md5(case when text is null then '[TABLE]' when j is null or len(j)=0 then '[TABLE]'||chr(10)||text[1:2000] when length(f)>2000 then f[1:2000]||'...[TRUNCATED]' else f end) h from (select *, '[TABLE: '||len(j)||' rows × '||len(j[1])||' cols]'||chr(10)||array_to_string(list_transform(j,lambda r: array_to_string(r,chr(9))),chr(10)) f from (select block_id, text, case when json_valid(text) then from_json(json_extract(text,'$.data'),'[["VARCHAR"]]') end j from corpus_blocks where block_type='table'))"""),
     "k1_k3_quality": (k1_k3_quality, f"""select distinct chunk_id, round(b,6) block_q, round(q,6) chunk_q, case when coalesce(language_confidence,0)>=0.8 and q>=0.9 and not coalesce(is_reconstructed,false) then 'high' when coalesce(language_confidence,0)>=0.5 and q>=0.6 then 'medium' when coalesce(is_reconstructed,false) and coalesce(reconstruction_score,0)>=0.3 then 'recovery' else 'low' end tier
       from (select *, greatest(0.0::double,least(1.2::double,b*(0.9::double+0.2::double*coalesce(language_confidence,0.5::double)))) q from (select *, {_Q} b from chunks))"""),
-    "x7_file_titles": (x7_file_titles, r"""select distinct file, array_to_string(list_transform(w, lambda x, i: case when i>1 and lower(x) in ('of','the','and','in','on','for','to','a','an') then lower(x) else upper(x[1:1])||lower(x[2:]) end),' ') title from
-      (select file, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(file,'^.*/',''),'\.[^.]*$',''),'[_-]+',' ','g'),' '),lambda x: x<>'') w from manifest)"""),
+    "x7_file_titles": (x7_file_titles, f"select distinct file, {_TITLE} title from (select file, {_PLAIN} pl from manifest)"),
     "x10_years": (x10_years, r"select doc_id, y::bigint as year from (select doc_id, list_max(list_transform(regexp_extract_all(regexp_replace(text,'[^\p{L}\p{N}_]','  ','g'),'(?:^| )(19[5-9][0-9]|20[0-5][0-9])(?: |$)',1),lambda v: v::bigint)) y from documents) where y is not null"),
-    "x9_encyclopedic": (x9_encyclopedic, r"select distinct doc_id, contains(a,'wiki') and not regexp_matches(a,'ministry|government|gov\.np') is_wiki from (select doc_id, lower(coalesce(file,'')||' '||coalesce(title_guess,'')||' '||coalesce(source_domain_guess,'')) a from manifest)"),
+    "x9_classified": (x9_classified, f"select doc_id, name, case when not w and a then 'authoritative' else 'non_authoritative' end authority, w is_wiki, case when w then 'high' when a then 'medium' else 'low' end confidence from (select doc_id, name, (" + " or ".join(f"regexp_matches(lower(name),'{p}')" for p in manifest.WIKI) + f") and not regexp_matches(lower(name),'{manifest.NOT_WIKI}') w, regexp_matches(lower(name),'{manifest.AUTHORITY}') a from {_NAMES})"),
+    "a4_pattern_hits": (a4_pattern_hits, "select " + ", ".join(f"count(*) filter ({c}) {n}" for n, c in (("explicit", "a"), ("wiki", "b"), ("token", "c"), ("guarded", "g"), ("positive", "(a or b or c)"), ("is_wiki", "(a or b or c) and not g"), ("token_only", "c and not a and not b"))) + f" from (select regexp_matches(lower(name),'{manifest.WIKI[0]}') a, regexp_matches(lower(name),'{manifest.WIKI[1]}') b, regexp_matches(lower(name),'{manifest.WIKI[2]}') c, regexp_matches(lower(name),'{manifest.NOT_WIKI}') g from (select distinct name from {_NAMES}))"),
     "l23_file_language": (l23_file_language, f"select distinct doc_id, case when {Q.dev('title_guess')}+{Q.latin('title_guess')}=0 then 'en' when {Q.dev('title_guess')}::double/({Q.dev('title_guess')}+{Q.latin('title_guess')})>=0.25 then 'ne' else 'en' end as language from manifest where title_guess is not null"),
     "x11_hashes": (x11_hashes, "select doc_id, sha256(text) sha, md5(text) md5 from documents where text is not null"),
     "a3_confusion": (a3_confusion, "select count(*) filter (a and not d) auth_plain, count(*) filter (a and d) auth_distractor, count(*) filter (not a and not d) other_plain, count(*) filter (not a and d) other_distractor from (select authority='authoritative' a, coalesce(is_distractor,false) d from manifest)"),
-    "a9_signatures": (a9_signatures, f"""select o.doc_id, md5(sig) sig, count(*) n, round(count(*)::double/any_value(p),6) frequency from (select doc_id, page_id, concat_ws('|',text,font,format('{{:,.1f}}',size)) sig from {_OBJECTS}) o
-      join (select doc_id, count(distinct page_id) p from {_OBJECTS} group by 1) using (doc_id) group by o.doc_id, sig having count(*)>1"""),
-    "k25_drop_reasons": (k25_drop_reasons, f"""select reason, count(*) n from (select unnest(list_filter([case when (bbox[3]-bbox[1])*(bbox[4]-bbox[2])/(595.0::double*842.0)>0.25 then 'large_area' end, case when size<6 then 'micro_text' end, case when regexp_matches(lower(text),'draft|confidential|sample|watermark') then 'text_pattern' end, case when size>20 and length(text)<30 then 'large_font' end],lambda x: x is not null)) reason from {_OBJECTS}) group by 1"""),
+    "a9_signatures": (a9_signatures, f"select doc_id, md5(sig) sig, n, round(frequency,6) frequency from {_FREQ} where n>1"),
+    "k25_drop_reasons": (k25_drop_reasons, f"""select reason, count(*) n from (select unnest(list_filter([case when (bbox[3]-bbox[1])*(bbox[4]-bbox[2])/(595.0::double*842.0)>0.25 then 'large_area' end, case when frequency>=0.3 then 'frequent' end, case when regexp_matches(lower(text),'{layout.MARKS[0]}') or contains(lower(text),'©') then 'text_pattern' end, case when size>24 and contains(lower(font),'bold') then 'large_bold_font' end, case when regexp_matches(lower(font),'script|display|decorative') then 'decorative_font' end, case when size<6 then 'micro_text' end, case when x>0.3 and x<0.7 and y>0.3 and y<0.7 and size>24 then 'centred_large' end, case when (y<0.1 or y>0.9) and frequency>=0.15 then 'edge_frequent' end],lambda v: v is not null)) reason from (select o.*, f.frequency, (bbox[1]+bbox[3])/2/595.0::double x, (bbox[2]+bbox[4])/2/842.0::double y from {_SIGS} o join {_FREQ} f on o.doc_id=f.doc_id and o.sig=f.sig)) group by 1"""),
     "k23_page_types": (k23_page_types, f"select page_id, n_chars::bigint n_chars, n_words::bigint n_words, n_blocks::bigint n_blocks, round(coverage,6) coverage, page_type from {_TYPED}"),
     "a8_page_type_summary": (a8_page_type_summary, f"select page_type, count(*) n, sum(n_chars)::bigint chars from {_TYPED} group by 1"),
     "w11_first_chunk": (w11_first_chunk, "select doc_id, min(chunk_id) chunk_id from chunks where length(text)>100 group by 1"),

@@ -154,12 +154,13 @@ def a31_usage(s, d):
 
 
 def k16_k18_enrichment(s, d):
-    """Confidence, bin of recognition, reading time and reasons of each candidate chunk."""
-    c = t(s, d, "chunks").select("chunk_id", "text", "quality_score", "conf_mean", "source_authority", "chunk_type", "has_watermark").distinct()
-    conf = 0.3 * F.coalesce("quality_score", F.lit(0.5)) + 0.2 * F.coalesce(F.col("conf_mean") / 100.0, F.lit(1.0)) + 0.1 * F.when(F.col("source_authority") == "authoritative", 1.0).otherwise(0.5)
-    why = F.concat_ws("; ", F.when(F.col("source_authority") == "authoritative", "authoritative source"), F.when(F.col("chunk_type") == "table", "table"), F.when(F.col("conf_mean") >= 80, "clear scan"))
+    """Confidence, bin of recognition, reading time and reasons of each candidate, by its score."""
+    c = t(s, d, "chunks").select("chunk_id", "text", "quality_score", "conf_mean", "source_authority", "language", "language_confidence").distinct()
+    auth = F.coalesce(F.col("source_authority") == "authoritative", F.lit(False))
+    conf = F.coalesce("language_confidence", F.lit(0.0)) * 0.4 + F.coalesce("quality_score", F.lit(0.5)) * 0.3 + F.coalesce(F.col("conf_mean") / 100.0, F.lit(0.8)) * 0.2 + F.when(auth, 1.0).otherwise(0.5) * 0.1
+    why = F.concat_ws("; ", F.when(auth, "Authoritative document"), F.when(F.col("quality_score") > 0.8, "High quality content"), F.when(F.col("language").isin("en", "ne"), F.concat(F.lit("Native "), F.upper("language"), F.lit(" content"))))
     words = F.size(S.T.tokens(F.col("text")))
-    return c.select("chunk_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 6).alias("confidence"), K.ocr_bin(F.col("conf_mean")).alias("ocr_bin"), K.reading_seconds(words).alias("seconds"), why.alias("why"))
+    return c.select("chunk_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 6).alias("confidence"), K.ocr_bin(F.col("conf_mean")).alias("ocr_bin"), K.reading_seconds(words).alias("seconds"), F.when(why == "", "Semantic similarity match").otherwise(why).alias("why"))
 
 
 _R = f"(select c.*, case when c.doc_id=q.doc_id then 1.0 when source_authority='authoritative' then 0.8 when source_authority='wikipedia' then 0.3 else 0.0 end::double rel from {S._DIV} c join (select qa_id::varchar query_id, doc_id from proper_manual_qacite) q using (query_id))"
@@ -171,7 +172,7 @@ _TR = "(select distinct doc_id, page_num, s[1]::bigint t_start, s[2]::bigint t_e
 _IOU = f"(select cite_id, max(coalesce(case when t_start is null or least(end_char,t_end)-greatest(start_char,t_start)<=0 or end_char<=start_char or t_end<=t_start then 0.0::double else (least(end_char,t_end)-greatest(start_char,t_start))::double/(greatest(end_char,t_end)-least(start_char,t_start)) end,0.0::double)) char_iou from {_CI} c left join {_TR} t using (doc_id,page_num) group by 1)"
 _ROB = S._robin(S._EV)
 _ANS = f"(select query_id, string_agg('• '||(case when length(span_text)>200 then span_text[1:197]||'...' else span_text end)||' [[doc:'||doc_id||'|page:'||regexp_extract(page_id,'_page_(\\d+)',1)::int||'|span:'||start_char||':'||end_char||']]',chr(10) order by pick) answer, count(*) n_cites, sum((source_authority='authoritative')::int) n_auth from {_ROB} group by 1)"
-_REF = "(" + " or ".join([f"contains(lower(answer),'{w}')" for w in A.REFUSALS_EN] + [f"contains(answer,'{w}')" for w in A.REFUSALS_NE]) + ")"
+_REF = "(" + " or ".join([f"contains(lower(answer),'{w.replace(chr(39), chr(39) * 2)}')" for w in A.REFUSALS_EN] + [f"contains(answer,'{w}')" for w in A.REFUSALS_NE]) + ")"
 
 QUERIES = {
     "a11_ndcg": (a11_ndcg, f"select query_id, round(ndcg,6) ndcg from {_ND}"),
@@ -196,5 +197,5 @@ QUERIES = {
     "a6_a7_counts": (a6_a7_counts, "select authority, language_guess, count(*) n from manifest group by all"),
     "a5_verification": (a5_verification, "select confidence, count(*) n, array_to_string(list_sort(list(doc_id))[1:5],',') first_ids from (select distinct doc_id, case when title_guess is null or year_guess is null then 'low' when license is null then 'medium' else 'high' end confidence from manifest) group by 1"),
     "a31_usage": (a31_usage, "select round(avg((len(expansion_terms_used)>0)::int),6) expanded, round(avg((diversification_caps is not null)::int),6) capped from proper_manual_qacite"),
-    "k16_k18_enrichment": (k16_k18_enrichment, f"select distinct chunk_id, round(greatest(0.0::double,least(1.0::double,0.3::double*coalesce(quality_score,0.5)+0.2::double*coalesce(conf_mean/100.0::double,1.0)+0.1::double*(case when source_authority='authoritative' then 1.0 else 0.5 end)::double)),6) confidence, case when conf_mean is null then 'none' when conf_mean>=80 then 'high' when conf_mean>=60 then 'medium' else 'low' end ocr_bin, greatest(1,floor(len({Q.tok('text')})/200.0::double*60))::bigint as seconds, concat_ws('; ',case when source_authority='authoritative' then 'authoritative source' end,case when chunk_type='table' then 'table' end,case when conf_mean>=80 then 'clear scan' end) why from chunks"),
+    "k16_k18_enrichment": (k16_k18_enrichment, f"select chunk_id, confidence, ocr_bin, seconds, case when why='' then 'Semantic similarity match' else why end why from (select distinct chunk_id, round(greatest(0.0::double,least(1.0::double,coalesce(language_confidence,0.0)*0.4::double+coalesce(quality_score,0.5)*0.3::double+coalesce(conf_mean/100.0::double,0.8::double)*0.2::double+(case when source_authority='authoritative' then 1.0 else 0.5 end)::double*0.1::double)),6) confidence, case when conf_mean is null then 'none' when conf_mean>=80 then 'high' when conf_mean>=60 then 'medium' else 'low' end ocr_bin, greatest(1,floor(len({Q.tok('text')})/200.0::double*60))::bigint as seconds, concat_ws('; ',case when source_authority='authoritative' then 'Authoritative document' end,case when quality_score>0.8 then 'High quality content' end,case when language in ('en','ne') then 'Native '||upper(language)||' content' end) why from chunks)"),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import manifest, ops
 from ..sources.tables import table as t
+from . import q_ingest as _I
 
 
 def current(s, d):
@@ -137,7 +138,7 @@ QUERIES = {
     "a30_lineage_statistics": (a30_lineage_statistics, "select status, count(*) n, sum(len(shard_ids))::bigint shards from lineage group by 1"),
     "r6_shard_lookup": (r6_shard_lookup, "select shard_id, count(distinct doc_id) docs from (select doc_id, unnest(shard_ids) shard_id from lineage) group by 1"),
     "w18_backups": (w18_backups, "select owner, backup_id, n<=3 is_kept, n=least(2,c) is_restore_point from (select *, row_number() over (partition by owner order by a desc, backup_id) n, count(*) over (partition by owner) c from (select distinct authority as owner, doc_id||'|'||strftime(retrieved_at,'%Y-%m-%d %H:%M:%S.%f') backup_id, retrieved_at a from manifest))"),
-    "j13_titles": (j13_titles, r"""select c.doc_id, coalesce(title_guess, array_to_string(list_transform(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(file,'^.*/',''),'\.[^.]*$',''),'[_-]+',' ','g'),' '),lambda x: x<>''), lambda x, i: case when i>1 and lower(x) in ('of','the','and','in','on','for','to','a','an') then lower(x) else upper(x[1:1])||lower(x[2:]) end),' ')) title from (select distinct doc_id from chunks) c left join """ + _LM + " m using (doc_id)"),
+    "j13_titles": (j13_titles, f"select doc_id, coalesce(title_guess, {_I._TITLE}) title from (select c.doc_id, title_guess, file, {_I._PLAIN} pl from (select distinct doc_id from chunks) c left join {_LM} m using (doc_id))"),
     "r5_replaced": (r5_replaced, "select doc_id, count(distinct block_id) blocks from corpus_blocks group by 1"),
     "a27_request_metrics": (a27_request_metrics, "select strftime(date_trunc('hour',ts),'%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) n, round(avg(value),6) mean_value from events group by all"),
     "j16_terms": (j16_terms, f"select concept, term, count(*) n from documents, (values {_terms()}) v(concept,term) where text is not null and contains(lower(text),term) group by all"),

@@ -126,9 +126,13 @@ def w17_splits(s, d):
 
 
 def k22_content_domain(s, d):
-    """Domain of a text by the first list of words of which one occurs."""
-    low = F.lower(F.col("text"))
-    return docs(s, d).select("doc_id", F.when(low.rlike("constitution|article|संविधान"), "constitution").when(low.rlike("covid|कोभिड"), "covid").when(low.rlike("health|स्वास्थ्य"), "health").otherwise("general").alias("domain"))
+    return docs(s, d).select("doc_id", A.qa_domain(F.col("text")).alias("domain"))
+
+
+def k21_valid_answers(s, d):
+    p = t(s, d, "proper_manual_qacite").select("qa_id", "chunk_id", "answer_exact")
+    c = t(s, d, "chunks").select("chunk_id", "text").distinct()
+    return p.join(c, "chunk_id").select("qa_id", A.valid_answer(F.col("answer_exact"), F.col("text")).alias("valid"))
 
 
 D = "(select doc_id, text from documents where text is not null)"
@@ -190,6 +194,28 @@ _REBUILT = r"""(select block_id, text, case when text<>'' and kept<>'' and kept<
  (select *, regexp_replace(regexp_replace(text,'(^|[^\p{L}\p{N}_])0($|[^\p{L}\p{N}_])','\1O\2','g'),'(^|[^\p{L}\p{N}_])0($|[^\p{L}\p{N}_])','\1O\2','g') a from (select distinct block_id, text from corpus_blocks where length(text)>0)))))))))))"""
 
 _REBUILT_CHUNKS = _REBUILT.replace("(select distinct block_id, text from corpus_blocks where length(text)>0)", f"(select distinct chunk_id, {Q.trim('text')} as text from chunks)").replace("(select block_id, text,", "(select chunk_id, text,")
+
+_WS = "regexp_replace({c},'[ \\t\\n\\x0B\\f\\r]+',' ','g')"
+
+
+def _lone(c, one):
+    """Lone characters out, twice, as neighbours share a separator."""
+    r = f"'(^|[^\\p{{L}}\\p{{N}}_])[{one}]($|[^\\p{{L}}\\p{{N}}_])','\\1\\2','g'"
+    return f"regexp_replace(regexp_replace({c},{r}),{r})"
+
+
+def _AL(c):
+    return f"(length(regexp_replace({c},'[^\\p{{L}}\\x{{0900}}-\\x{{097F}}]','','g'))::double/greatest(length({c}),1))"
+
+
+def _NO(c):
+    return f"(length(regexp_replace({c},'[^\\p{{Nd}}!@#$%^&*()_+\\-={{}}\\[\\]|\\\\:;\"<>,.?/]','','g'))::double/greatest(length({c}),1))"
+
+
+def _WH(w):
+    return f"(len(list_filter({w},lambda v: length(v)>=3 and (regexp_full_match(v,'\\p{{L}}+') or {Q.dev('v')}>0)))::double/greatest(len({w}),1))"
+
+
 _STRAT = f"case when {_n('question')}>0 then 'semantic_expansion' when ({_qlang('question')})='mixed' then 'mixed_language' else 'monolingual' end"
 
 QUERIES = {
@@ -212,13 +238,14 @@ QUERIES = {
       from (select *, {_STRAT} st, {_domain('question')} dom, {_n('question')} n, {_w('question')} w from {I})"""),
     "l21_web_language": (l21_web_language, f"select doc_id, case when {Q.letters('text')}=0 then 'en' when ({Q.dev('text')}+2*(" + "+".join(f"contains(lower(text),'{p}')::int" for p in T.ROMANISED) + f"))::double/{Q.letters('text')}>0.3 then 'ne' else 'en' end lang2 from {D}"),
     "x1_tokens": (x1_tokens, f"select doc_id, len({Q.tok('text')})::bigint n from {D}"),
-    "x3_x4_clean": (x3_x4_clean, None),
+    "x3_x4_clean": (x3_x4_clean, f"select block_id, md5(case when length(o)>5 and length(regexp_replace(o,'[^\\p{{L}}\\x{{0900}}-\\x{{097F}}]','','g'))::double/length(o)>0.3 then o else '' end) ocr, md5({Q.trim(_WS.format(c=chr(114) + 'egexp_replace(regexp_replace(text,' + chr(39) + '[' + chr(92) + 'x{0}-' + chr(92) + 'x{8}' + chr(92) + 'x{b}' + chr(92) + 'x{c}' + chr(92) + 'x{e}-' + chr(92) + 'x{1f}]' + chr(39) + ',' + chr(39) * 2 + ',' + chr(39) + 'g' + chr(39) + '),' + chr(39) + chr(92) + '[TABLE[^' + chr(92) + ']]*' + chr(92) + ']' + chr(39) + ',' + chr(39) * 2 + ',' + chr(39) + 'g' + chr(39) + ')'))}) display from (select *, {Q.trim(_WS.format(c=_lone(_lone('text', '0-9'), 'a-zA-Z')))} o from (select distinct block_id, text from corpus_blocks where length(text)>0))"),
     "x19_extracted": (x19_extracted, f"select item_id::bigint item_id, case when length(p[1])<50 and p[2] is not null then p[1]||'. '||p[2] else p[1] end answer from (select item_id, list_filter(list_transform(regexp_split_to_array(passage,'[.!?।॥]+'),lambda v: {Q.trim('v')}),lambda v: v<>'') p from eval_items)"),
     "w13_key_terms": (w13_key_terms, "select item_id::bigint item_id, term, n, score, r as rank from (select *, row_number() over (partition by item_id order by score desc, term) r from (select item_id, term, count(*) n, (any_value(length(term))*count(*))::bigint score from (select item_id, unnest(regexp_extract_all(lower(passage),'[\\p{L}\\p{N}_]{3,}')) term from eval_items) where term not in (" + ",".join(f"'{w}'" for w in A.STOP) + ") group by item_id, term)) where r<=5"),
-    "f3_k20_qa_sources": (f3_k20_qa_sources, f"""select block_id, round(case when n>=20 and len(w)>=5 and al>=0.4 and lone<=0.3 and whole>=0.8 and conf_mean>=60 then (case when n>=100 then 0.3 else 0.1 end)::double+(case when len(w)>=15 then 0.3 else 0.2 end)::double+0.2::double*al+0.2::double*whole else 0.0::double end,6) quality from
-      (select *, {Q.letters('text')}::double/greatest(n,1) al, len(list_filter(w,lambda v: length(v)=1))::double/greatest(len(w),1) lone, len(list_filter(w,lambda v: length(v)>=2))::double/greatest(len(w),1) whole from
-      (select distinct block_id, text, conf_mean, length(text) n, {Q.tok('text')} w from corpus_blocks where source_authority='authoritative' and language in ('ne','en') and length(text)>=50 and conf_mean>=45))"""),
+    "f3_k20_qa_sources": (f3_k20_qa_sources, f"""select block_id, round(case when n>=20 and len(w)>=5 and al>=0.7 and no<=0.3 and whole>=0.8 and conf_mean>=60 then least(1.0::double,(case when conf_mean>=70 then 0.3 else 0.1 end)::double+(case when n>=100 then 0.3 when n>=50 then 0.2 else 0.0 end)::double+al*0.2::double+whole*0.2::double) else 0.0::double end,6) quality from
+      (select *, {_AL('text')} al, {_NO('text')} no, {_WH('w')} whole from (select distinct block_id, text, conf_mean, length(text) n, {Q.tok('text')} w from corpus_blocks where source_authority='authoritative' and language in ('ne','en') and length(text)>=50 and conf_mean>=45))"""),
+    "k21_valid_answers": (k21_valid_answers, f"""select qa_id, coalesce(length({Q.trim('a')})>=10 and len(w)>=3 and {_AL('a')}>=0.8 and {_NO('a')}<=0.2 and {_WH('w')}>=0.9 and (len(x)=0 or len(list_intersect(x,y))::double/greatest(len(x),1)>=0.6),false) valid from
+      (select qa_id, answer_exact a, {Q.tok('answer_exact')} w, list_distinct(regexp_extract_all(lower(answer_exact),'[\\p{{L}}\\p{{N}}_]+')) x, list_distinct(regexp_extract_all(lower(text),'[\\p{{L}}\\p{{N}}_]+')) y from proper_manual_qacite join (select distinct chunk_id, text from chunks) using (chunk_id))"""),
     "j15_answer_overlap": (j15_answer_overlap, f"select qa_id, round(case when len(a)>0 then len(list_intersect(a,b))::double/len(a) else 0.0::double end,6) share from (select qa_id, list_distinct({Q.tok('lower(answer_exact)')}) a, list_distinct({Q.tok('lower(text)')}) b from proper_manual_qacite q join (select distinct chunk_id, text from chunks) c using (chunk_id) where answer_exact is not null)"),
     "w17_splits": (w17_splits, "select qa_id, case when r<=floor(n*0.7::double) then 'train' when r<=floor(n*0.7::double)+floor(n*0.15::double) then 'dev' else 'test' end part from (select qa_id, row_number() over (order by md5('42'||qa_id), qa_id) r, count(*) over () n from proper_manual_qacite)"),
-    "k22_content_domain": (k22_content_domain, f"select doc_id, case when regexp_matches(lower(text),'constitution|article|संविधान') then 'constitution' when regexp_matches(lower(text),'covid|कोभिड') then 'covid' when regexp_matches(lower(text),'health|स्वास्थ्य') then 'health' else 'general' end as domain from {D}"),
+    "k22_content_domain": (k22_content_domain, f"select doc_id, case when h>l and h>0 then 'health' when l>0 then 'legal' else 'generic' end as domain from (select doc_id, " + "+".join(f"contains(lower(text),'{w}')::int" for w in A.HEALTH) + " h, " + "+".join(f"contains(lower(text),'{w}')::int" for w in A.LEGAL) + f" l from {D})"),
 }

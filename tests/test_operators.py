@@ -151,9 +151,21 @@ def test_gates(spark):
 
 def test_titles_and_years(spark):
     assert one(spark, manifest.title_of, "x/act_of-the_land.pdf", "एक_दुई.pdf") == ["Act of the Land", "एक दुई"]
+    a, w, c = manifest.classified(F.col("c"))
+    df = spark.createDataFrame([("en_wiki_x.pdf",), ("mohp_plan.pdf",), ("wp-content_x.pdf",), ("x.pdf",)], "c string")
+    assert [tuple(r) for r in df.select(a, w, c).collect()] == [("non_authoritative", True, "high"), ("authoritative", False, "medium"), ("non_authoritative", False, "low"), ("non_authoritative", False, "low")]
     assert one(spark, manifest.year_of, "a 1999 b 2015.", "a_2015_b", "2015मा 2060", None) == [2015, None, None, None]
 
 
+def test_quality_gates(spark):
+    good = "Households received survey maps from every office because spring floods damaged bridges near villages"
+    df = spark.createDataFrame([(good, 80.0), (good, 65.0), (good, 50.0), (good, None), ("12 34 56 78 90 11 22", 90.0), (None, 90.0)], "c string, conf double")
+    got = [r[0] for r in df.select(qacite.text_quality(F.col("c"), F.col("conf"))).collect()]
+    assert got[0] > got[1] > 0 and got[2:] == [0.0] * 4
+    v = spark.createDataFrame([("survey maps from every office", good), ("entirely different wording here", good), ("", good), (None, good)], "a string, b string")
+    assert [r[0] for r in v.select(qacite.valid_answer(F.col("a"), F.col("b"))).collect()] == [True, False, False, False]
+
+
 def test_splits_cover(spark):
     df = spark.createDataFrame([(i,) for i in range(100)], "id int")
     got = {r.part: r["count"] for r in qacite.split_sets(df, "id").groupBy("part").count().collect()}
