@@ -72,10 +72,10 @@ def filename_language(c: Column) -> Column:
     return F.when(d + latin == 0, "en").when(d / (d + latin) >= 0.25, "ne").otherwise("en")
 
 
-def is_garbage(c: Column) -> Column:
-    """Noise of character recognition."""
+def is_garbage(c: Column, w: Column | None = None) -> Column:
+    """Noise of character recognition; w: the text's tokens, where they are a column already."""
     n, alpha, digit, space = F.length(c), count_of(c, r"\p{L}"), count_of(c, r"\p{Nd}"), count_of(c, r"[\s]")
-    w = tokens(c)
+    w = tokens(c) if w is None else w
     lone = F.size(F.filter(w, lambda x: F.length(x) == 1))
     d = count_of(c, DEVANAGARI)
     latin = count_of(c, r"[\p{L}&&[\x{0}-\x{8ff}]]")
@@ -89,9 +89,9 @@ def is_garbage(c: Column) -> Column:
     )
 
 
-def coherence(c: Column) -> Column:
-    """L7."""
-    w = tokens(c)
+def coherence(c: Column, w: Column | None = None) -> Column:
+    """L7; w: the text's tokens, where they are a column already."""
+    w = tokens(c) if w is None else w
     n = F.size(w)
     mean = F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / n
     short, long = F.size(F.filter(w, lambda x: F.length(x) <= 2)), F.size(F.filter(w, lambda x: F.length(x) >= 4))
@@ -120,7 +120,7 @@ def with_chunk_language(df: DataFrame, text: str) -> DataFrame:
     """L5 over L6-L8: columns lang and lang_conf of a chunk, after reconstruction where it looks like noise.
 
     Each stage is a column of its own, so that no measure is computed twice."""
-    df = df.withColumn("_t", trimmed(F.col(text))).withColumn("_g", is_garbage(F.col("_t")))
+    df = df.withColumn("_t", trimmed(F.col(text))).withColumn("_w", tokens(F.col("_t"))).withColumn("_g", is_garbage(F.col("_t"), F.col("_w")))
     cur, steps = F.when(F.col("_g"), F.col("_t")), F.lit(0)
     names = []
     for k, (pattern, new) in enumerate((*FIXES, (r"\s+", " "))):
@@ -134,7 +134,7 @@ def with_chunk_language(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("_gain", F.when(same, 0.0).otherwise(F.least(F.lit(1.0), F.col("_s") * 0.3 + F.length("_k") / F.greatest(F.length("_t"), F.lit(1)) * 0.7)))
     use = F.col("_g") & (F.col("_gain") > 0.3)
     df = df.withColumn("_x", F.when(use, F.col("_k")).otherwise(F.col("_t"))).withColumn("_still", F.when(use, is_garbage(F.col("_k"))).otherwise(F.col("_g")))
-    df = df.withColumn("_r", devanagari_ratio(F.col("_x"))).withColumn("_c", coherence(F.col("_x")))
+    df = df.withColumn("_r", devanagari_ratio(F.col("_x"))).withColumn("_w", tokens(F.col("_x"))).withColumn("_c", coherence(F.col("_x"), F.col("_w")))
     r, coh, gain = F.col("_r"), F.col("_c"), F.when(F.col("_g"), F.col("_gain")).otherwise(0.0)
     lang = F.when(F.col("_t") == "", "mixed").when(r > 0.7, "ne").when(r < 0.05, "en").otherwise("mixed")
     conf = (
@@ -144,7 +144,7 @@ def with_chunk_language(df: DataFrame, text: str) -> DataFrame:
         .when(F.col("_still") & (gain < 0.2), 0.1)
         .otherwise(0.5 * coh + 0.1 * gain)
     )
-    return df.withColumn("lang", lang).withColumn("lang_conf", conf).drop("_t", "_g", "_k", "_s", "_gain", "_x", "_still", "_r", "_c", *names)
+    return df.withColumn("lang", lang).withColumn("lang_conf", conf).drop("_t", "_w", "_g", "_k", "_s", "_gain", "_x", "_still", "_r", "_c", *names)
 
 
 #: Query-side dictionaries.

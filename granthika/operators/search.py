@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,9 +27,24 @@ class SearchParams:
     hard_negatives: int = 0
 
 
+#: Steps behind which a plan has partitions of its own.
+_WIDE = re.compile(r"^[\s:+\-]*(?:Join|Aggregate|Repartition|Sort|Window|Deduplicate|Union|GlobalLimit|LocalLimit)", re.MULTILINE)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, where a few large files would leave half of them idle or more; else as they are.
+
+    Only a plan without a shuffle is asked for its partitions: asking another one would run it."""
+    if _WIDE.search(rows._jdf.queryExecution().optimizedPlan().toString()):
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
+
+
 def against_all(queries: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
     """A stated query set against all rows: the query side is broadcast in blocks of checked size, so rows stay where they are."""
     n = queries.count()
+    rows = spread(rows)
     if n <= QUERIES_AT_ONCE:
         return rows.crossJoin(F.broadcast(queries))
     blocks = -(-n // QUERIES_AT_ONCE)

@@ -37,7 +37,8 @@ def l5_chunk_language(s, d):
 
 
 def l6_l7_noise(s, d):
-    return docs(s, d).select("doc_id", T.is_garbage(F.col("text")).alias("garbage"), F.round(T.coherence(F.col("text")), 6).alias("coherence"))
+    x = docs(s, d).withColumn("w", T.tokens(F.col("text")))
+    return x.select("doc_id", T.is_garbage(F.col("text"), F.col("w")).alias("garbage"), F.round(T.coherence(F.col("text"), F.col("w")), 6).alias("coherence"))
 
 
 def l8_reconstruct(s, d):
