@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -39,6 +40,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Steps behind which a plan has partitions of its own.
+_WIDE = re.compile(r"^[\s:+\-]*(?:Join|Aggregate|Repartition|Sort|Window|Deduplicate|Union|GlobalLimit|LocalLimit)", re.MULTILINE)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores, where a few large files would leave half of them idle or more; else as they are.
+
+    Only a plan without a shuffle is asked for its partitions: asking another one would run it."""
+    if _WIDE.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000) -> DataFrame:
     """df.mapInArrow with a function of one slice of at most so many rows."""
 
@@ -49,7 +64,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:

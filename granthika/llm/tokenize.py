@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, spread
 
 #: Where the public vocabulary files lie.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -159,4 +159,4 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([s.column(0), ids], [id_col, out])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, {out} array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"{id_col} {kind}, {out} array<int>")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 #: A lexical word: letters with their signs; digits, marks of punctuation and spaces part words.
 WORD = r"(?:[^\W\d_]|[̀-ͯऀ-ःऺ-ॏ॑-ॗॢॣ‌‍])+"
 
@@ -35,7 +37,7 @@ def count_words(df: DataFrame, text_col: str = "text", pattern: str = WORD, wher
         if total:
             yield _batch(_inner(total, inner), keep)
 
-    return df.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(df.select(text_col)).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _inner(total: Counter, find) -> Counter:
