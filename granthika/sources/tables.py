@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new place in the folder that the cluster shares; a local folder only where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "granthika-shared")
-    return f"{base}/{kind}-{uuid.uuid4().hex}"
+    """A new place in the folder that the cluster shares; a local folder only where none is set.  It is removed at the end."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "granthika-shared")
+    path = f"{base}/{kind}-{uuid.uuid4().hex}"
+    if path.startswith(("file:", "/")):
+        atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
+    return path
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> DataFrame:
