@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 from itertools import repeat
 
 import pyarrow as pa
@@ -161,5 +162,8 @@ def p3_found(spark, sf_dir):
 
 
 def p3_unified(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return unify(docs, ["text"], count_words(docs, where="[A-Za-z]"))
+    """The texts of documents, chunks and blocks and the answers, each row with its table and id, under one vocabulary."""
+    sources = (("documents", "doc_id", "text"), ("chunks", "chunk_id", "text"), ("corpus_blocks", "block_id", "text"), ("proper_manual_qacite", "qa_id", "answer_exact"))
+    parts = [table(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(i).cast("string").alias("id"), F.col(c).alias("text")) for t, i, c in sources]
+    rows = reduce(DataFrame.unionByName, parts)
+    return unify(rows, ["text"], count_words(rows, where="[A-Za-z]"))

@@ -322,3 +322,13 @@ def test_noise_of_blocks(spark):
     for most in (0, 1000):
         text = {r.block_id: r.paragraph for r in P.paragraphs(df, most).collect()}
         assert text["b1"] == text["b8"] == " ".join(body.split()).replace("con- sent", "consent") and text["x"].startswith("The registrar may not relocate")
+
+
+def test_every_table_comes_out_in_one_form(spark, tmp_path):
+    from granthika.llm.lookalikes import p3_unified
+
+    for name, key, col in (("documents", "doc_id", "text"), ("chunks", "chunk_id", "text"), ("corpus_blocks", "block_id", "text"), ("proper_manual_qacite", "qa_id", "answer_exact")):
+        spark.createDataFrame([("1", "the \uff2finvoice\u00a0of p\u0430per"), ("2", "paper" if name == "chunks" else None)], f"{key} string, {col} string").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in p3_unified(spark, str(tmp_path)).collect()}
+    names = ("documents", "chunks", "corpus_blocks", "proper_manual_qacite")
+    assert got == {(n, "1", "the Oinvoice of paper") for n in names} | {(n, "2", "paper" if n == "chunks" else None) for n in names}
