@@ -10,12 +10,13 @@ The classifiers are fitted on a sample of labelled rows bounded by SAMPLE (drawn
 own script only are taken, and each sentence of the sample is relabelled once by the first fit, which clears wrong labels.
 Every row of the table is classified, whole.
 
-Defined cases: null and empty texts have no segment; a text without letters gets the language of its label, or none where
-the label is missing; repeated rows of one id are one; other columns are not read.
+Defined cases: null and empty texts have no segment, and p6_segments gives them the language `und` with confidence 0; a
+text without letters gets the language of its label, or none where the label is missing; of a table, the cells are read; repeated rows of one id are one; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import combinations
 
@@ -85,6 +86,24 @@ def _script(piece: str) -> str:
     return max(_SCRIPTS, key=lambda s: len(s[1].findall(piece)))[0]
 
 
+def cells(text: str | None) -> str | None:
+    """The strings of a table's JSON, each row a sentence; any other text as it is."""
+    try:
+        rows = list(_rows(json.loads(text))) if text else []
+    except (ValueError, RecursionError):
+        return text
+    return "\n\n".join(rows) if rows else text
+
+
+def _rows(value):
+    values = list(value.values()) if isinstance(value, dict) else value if isinstance(value, list) else [value]
+    if line := " ".join(v for v in values if isinstance(v, str)):
+        yield line
+    for v in values:
+        if isinstance(v, (dict, list)):
+            yield from _rows(v)
+
+
 def codewords(profiles: int = len(PROFILES), bits: int = BITS) -> np.ndarray:
     """(profiles, bits) of -1 and 1: of all ways to part the profiles in two, those that keep the codewords furthest apart, taken one by one."""
     ways = [np.array([1 if i in s else -1 for i in range(profiles)]) for k in range(1, profiles // 2 + 1) for s in combinations(range(profiles), k) if k < profiles / 2 or 0 in s]
@@ -200,8 +219,10 @@ def fit_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, sample
     return train([(r[0], r[1]) for r in drawn.select(label_col, text_col).limit(2 * sample).collect()])
 
 
-def label_segments(df: DataFrame, id_col: str, text_col: str, label_col: str, coder: Coder | None = None) -> DataFrame:
-    """Operator: (id, label, label_right, segments array<struct<language, confidence, ambiguous>>) of every row, in one narrow pass."""
+def label_segments(df: DataFrame, id_col: str, text_col: str, label_col: str, coder: Coder | None = None, type_col: str | None = None) -> DataFrame:
+    """Operator: (id, label, label_right, segments array<struct<language, confidence, ambiguous>>) of every row, in one narrow pass.
+
+    With type_col, rows of type `table` are read by their cells."""
     coder = coder or fit_sample(df, id_col, text_col, label_col)
     shared = df.sparkSession.sparkContext.broadcast((coder.weights, coder.code))
     kind = dict(df.dtypes)[id_col]
@@ -209,7 +230,10 @@ def label_segments(df: DataFrame, id_col: str, text_col: str, label_col: str, co
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         labels = b.column(2).to_pylist()
-        found = classify(Coder(*shared.value), b.column(1).to_pylist())
+        texts = b.column(1).to_pylist()
+        if type_col:
+            texts = [cells(t) if k == "table" else t for t, k in zip(texts, b.column(3).to_pylist())]
+        found = classify(Coder(*shared.value), texts)
         for i, f in enumerate(found):
             if not f and canonical(labels[i]) not in (None, "mixed") and (b.column(1)[i].as_py() or "").strip():
                 found[i] = [(canonical(labels[i]), 0.0, True)]
@@ -217,7 +241,7 @@ def label_segments(df: DataFrame, id_col: str, text_col: str, label_col: str, co
         values = [[dict(zip(("language", "confidence", "ambiguous"), s)) for s in f] for f in found]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(right), pa.array(values, seg)], ["id", "label", "label_right", "segments"])
 
-    return map_arrow(df.select(id_col, text_col, label_col), run, f"id {kind}, label string, label_right boolean, segments array<struct<language: string, confidence: double, ambiguous: boolean>>", 1000)
+    return map_arrow(df.select(id_col, text_col, label_col, *([type_col] if type_col else [])), run, f"id {kind}, label string, label_right boolean, segments array<struct<language: string, confidence: double, ambiguous: boolean>>", 1000)
 
 
 def p6_found(spark, sf_dir):
@@ -227,6 +251,10 @@ def p6_found(spark, sf_dir):
 
 
 def p6_segments(spark, sf_dir):
-    """Every text chunk's segments with a new confidence."""
-    done = label_segments(table(spark, sf_dir, "chunks").filter("chunk_type = 'text'"), "chunk_id", "text", "language")
-    return done.select(F.col("id").alias("chunk_id"), "label", "label_right", F.posexplode("segments").alias("pos", "s")).select("chunk_id", "label", "label_right", (F.col("pos") + 1).alias("seg_no"), "s.language", F.col("s.confidence").alias("language_confidence"), "s.ambiguous").distinct()
+    """Every chunk's segments with a new confidence; a chunk without one is `und`."""
+    chunks = table(spark, sf_dir, "chunks")
+    coder = fit_sample(chunks.filter("chunk_type = 'text'"), "chunk_id", "text", "language")
+    done = label_segments(chunks, "chunk_id", "text", "language", coder, "chunk_type")
+    known = F.col("s").isNotNull()
+    rows = done.select(F.col("id").alias("chunk_id"), "label", "label_right", F.posexplode_outer("segments").alias("pos", "s"))
+    return rows.select("chunk_id", "label", F.when(known, F.col("label_right")).alias("label_right"), (F.coalesce("pos", F.lit(0)) + 1).alias("seg_no"), F.coalesce("s.language", F.lit("und")).alias("language"), F.coalesce("s.confidence", F.lit(0.0)).alias("language_confidence"), F.coalesce("s.ambiguous", F.lit(True)).alias("ambiguous")).distinct()

@@ -332,3 +332,17 @@ def test_every_table_comes_out_in_one_form(spark, tmp_path):
     got = {tuple(r) for r in p3_unified(spark, str(tmp_path)).collect()}
     names = ("documents", "chunks", "corpus_blocks", "proper_manual_qacite")
     assert got == {(n, "1", "the Oinvoice of paper") for n in names} | {(n, "2", "paper" if n == "chunks" else None) for n in names}
+
+
+def test_every_chunk_has_a_language(spark, tmp_path):
+    en, ne = "The office of the district gave the water meters to every school of the valley.", "जिल्ला कार्यालयले उपत्यकाका सबै विद्यालयलाई पानीका मिटर उपलब्ध गराएको छ।"
+    rows = [(f"t{k}", t, "text", lang) for k in range(5) for t, lang in ((en, "en"), (ne, "ne"))][:10]
+    rows = [(f"{i}-{lang}", t, k, lang) for i, t, k, lang in rows]
+    rows += [("null", None, "text", None), ("blank", " ", "text", "en"), ("digits", "12 34", "text", None)]
+    rows += [("table", '{"rows":2,"cols":2,"data":[["The district office","water meters"],["The school of the valley","12"]]}', "table", "ne"), ("broken", '{"data', "table", None), ("empty", '{"data":[["1"]]}', "table", None)]
+    spark.createDataFrame(rows, "chunk_id string, text string, chunk_type string, language string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r.chunk_id: r for r in G.p6_segments(spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert got["table"].language == "en" and got["table"].label_right is False and got["table"].language_confidence > 0.5
+    for i in ("null", "blank", "digits", "empty"):
+        assert (got[i].seg_no, got[i].language, got[i].language_confidence, got[i].label_right) == (1, "und", 0.0, None)
