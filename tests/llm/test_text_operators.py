@@ -346,3 +346,11 @@ def test_every_chunk_has_a_language(spark, tmp_path):
     assert got["table"].language == "en" and got["table"].label_right is False and got["table"].language_confidence > 0.5
     for i in ("null", "blank", "digits", "empty"):
         assert (got[i].seg_no, got[i].language, got[i].language_confidence, got[i].label_right) == (1, "und", 0.0, None)
+
+
+def test_a_word_of_rare_characters_is_among_the_readings(spark):
+    word = "कझाझिझ"  # 3 lost bytes: 125 readings, of which characters alone rank this one low
+    bad = lambda t: t.encode().decode("cp1252", "replace")
+    rows = [("a", "कँ कए कऐ " * 200 + f"{word} " * 3), ("b", f"the {bad(word)} here {bad(word)}"), ("c", bad(f"{word}।{word}"))]
+    got = {r.block_id: r.restored for r in E.restore(spark.createDataFrame(rows, "block_id string, t string"), "block_id", "t").collect()}
+    assert got == {"b": f"the {word} here {word}", "c": f"{word}।{word}"}
