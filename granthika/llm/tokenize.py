@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -44,7 +45,10 @@ class SpeculativeBpe:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.n = max(ranks.values()) + 1
-        self.longest = max(map(len, ranks))
+        #: Longest token that begins with two bytes.
+        self.reach: dict[bytes, int] = {}
+        for k in ranks:
+            self.reach[k[:2]] = max(self.reach.get(k[:2], 1), len(k))
         self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
         self.good = np.zeros(0, np.int64)
@@ -54,6 +58,8 @@ class SpeculativeBpe:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE: again and again the adjacent pair of lowest rank is joined, the leftmost first."""
+        if len(word) > 48:
+            return self._merge_long(word)
         ranks, parts = self.ranks, [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
             best, at = None, -1
@@ -66,10 +72,37 @@ class SpeculativeBpe:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
+    def _merge_long(self, word: bytes) -> list[int]:
+        """The same over linked parts with a heap of pairs: n log n, where searching all pairs for each join is quadratic."""
+        ranks, n = self.ranks, len(word)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part is named by its first byte; end 0: joined to the one before
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
+                continue  # one of the two was joined elsewhere since
+            end[i], end[j] = stop, 0
+            if stop < n:
+                before[stop] = i
+                r = ranks.get(word[i : end[stop]])
+                if r is not None:
+                    heappush(heap, (r, i, end[stop]))
+            if (k := before[i]) >= 0:
+                r = ranks.get(word[k:stop])
+                if r is not None:
+                    heappush(heap, (r, k, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[word[i : end[i]]])
+            i = end[i]
+        return out
+
     def propose(self, word: bytes) -> list[int]:
-        out, i, n, ranks = [], 0, len(word), self.ranks
+        out, i, n, ranks, reach = [], 0, len(word), self.ranks, self.reach
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
+            for j in range(min(n, i + reach.get(word[i : i + 2], 1)), i, -1):
                 r = ranks.get(word[i:j])
                 if r is not None:
                     out.append(r)
