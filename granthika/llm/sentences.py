@@ -5,7 +5,7 @@ breaks) are the states; a unit is a whole span between two of them.  Its score j
 number, line that is a heading, label or list item, whether a break was forced by the line width), how the next one
 opens (letter case, words that go on with a sentence, list marks), its length, and whether its quotations are balanced;
 a bare quotation waits for its reporting clause.  The best sequence of spans wins, so one early decision can't spoil
-what follows.  One narrow pass over the rows; each text is handled whole.
+what follows.  No span is too long or holds too many places.  One narrow pass over the rows; each text is handled whole.
 
 Defined cases: null, empty and blank texts have no units; units carry no white space at their ends and cover every other
 character; repeated rows give repeated units; other columns are not read.
@@ -31,7 +31,18 @@ NEVER_END = set(
 MAY_END = set("etc a.m p.m ltd लि प्रा.लि h co inc jan feb aug sept oct nov dec al लि.नं".split())
 #: Words that go on with a sentence after a quotation or a break.
 GOES_ON = re.compile(r"(?:भनी|भन्ने|भन्दै|भनेर|भनेका|भन्यो|र|तथा|वा|अनि|कि|और|या|एवं|तक|bhani|bhanne|bhandai|ra|tatha)(?![\wऀ-ॿ])")
-_CANDIDATE = re.compile(r"(?:[.!?…।॥。！？｡‼⁇⁈⁉]|(?<=[ऀ-ॿ])[|｜]|(?<=[ऀ-ॿ] )[|｜])+(?:[\"”’»」』)\]）]|[    ]»)*|[\n\r\v\f\u0085  ]")
+#: End marks of further scripts (Arabic, Urdu, Ethiopic, Burmese, Khmer, Armenian, Tibetan, Syriac, Ol Chiki, Thai).
+FURTHER_ENDS = "؟۔።፧။។៕։༎།܀᱾๚๛"
+_ENDS_AND_BREAKS = (
+    r"(?:[.!?…।॥。！？｡‼⁇⁈⁉" + FURTHER_ENDS + r"]|(?<=[ऀ-ॿ])[|｜]|(?<=[ऀ-ॿ] )[|｜])+(?:[\"”’»」』)\]）]|[    ]»)*|[\n\r\v\f\u0085  ]"
+)
+_CANDIDATE = re.compile(_ENDS_AND_BREAKS)
+#: Thai and Lao have no end marks; a space parts sentences and clauses alike.
+_SPACED = re.compile("[\u0e01-\u0eff]")
+_CANDIDATE_SPACED = re.compile(_ENDS_AND_BREAKS + "|(?<=[\u0e01-\u0eff])[ \u00a0]+(?=[\u0e01-\u0eff])")
+#: Thai and Lao words that close a sentence, and words that open one.
+SPACED_CLOSE = re.compile("(?:ครับ|ค่ะ|คะ|นะ|แล้ว|ด้วย|เท่านั้น|เช่นกัน|ทั้งหมด|ทุกวัน|ແລ້ວ|ເດີ|ທຸກມື້)$")
+SPACED_OPEN = re.compile("(?:ผม|ฉัน|ดิฉัน|เรา|เขา|เธอ|มัน|พวก|คุณ|นี่|นั่น|วันนี้|เมื่อวาน|พรุ่งนี้|ต่อมา|จากนั้น|นอกจากนี้|อย่างไรก็ตาม|ดังนั้น|ทั้งนี้|รัฐบาล|ຂ້ອຍ|ພວກ|ລາວ|ມື້ນີ້)")
 _SPACE = re.compile(r"\s*")
 _LAST = re.compile(r"[^\s(\[“\"«„「『‘’/–—]*$")
 _LIST = re.compile(r"(?:[-–—](?=\s+[^a-zà-ÿ])|[•*·▪●○‣◦■□▸►✓]|\(?(?:[0-9०-९]{1,3}|[a-z]|[ivx]{1,4}|[क-ह])[.)）]|\((?:[A-Z]|[IVX]{1,4})[)）]|[①-⑳])[ \t   ]+\S")
@@ -48,8 +59,9 @@ _OPENERS, _CLOSERS = "“«„「『", "”»」』"
 _MARKS = re.compile("[\"“”«»„「」『』]")
 _OPEN_MARK = re.compile(r"[\"“«„「『‘'(\[（]*")
 BARE_QUOTE = re.compile(r"[\"“«„「『]")
-#: Scores: unbalanced quotation, bare quotation, units that are too short or too long; candidates that one span may hold.
-UNBALANCED, BARE, TINY, HOLDS = -7.0, -5.0, -1.5, 80
+#: Scores: unbalanced quotation, bare quotation, units that are too short; price of each character beyond LONG and up to FAR.
+UNBALANCED, BARE, TINY = -7.0, -5.0, -1.5
+EACH, LONG, FAR = 0.002, 400, 3400
 
 
 def _line_kind(line: str, capitals: bool = True) -> float:
@@ -154,7 +166,7 @@ def units(text: str) -> list[tuple[int, int]]:
         return kinds[a]
 
     line_start, marked = first, False
-    for m in _CANDIDATE.finditer(text, first, last):
+    for m in (_CANDIDATE_SPACED if _SPACED.search(text) else _CANDIDATE).finditer(text, first, last):
         s, e = m.start(), m.end()
         after = _SPACE.match(text, e).end()
         mark = m[0]
@@ -180,6 +192,9 @@ def units(text: str) -> list[tuple[int, int]]:
             if text[max(0, end - 1) : end] in ",、，" or text[max(0, end - 2) : end - 1] == "," or nxt < 4 and text[after : after + 1] in "–—-":
                 score -= 5.0
             line_start, marked = after, False
+        elif mark[0] in "  ":
+            end, after = s, e
+            score = -3.0 + 2.5 * (SPACED_CLOSE.search(text, max(0, s - 12), s) is not None) + 2.5 * (SPACED_OPEN.match(text, e) is not None)
         else:
             end = e
             if mark[0] == "." and set(mark) <= set(".\"”’»」』)]    "):
@@ -245,21 +260,39 @@ def _best(text: str, first: int, last: int, ends: list[int], starts: list[int],
             at = ends[k]
             level[k + 1], straight[k + 1] = lv, st
     best, back = [0.0] + [-1e18] * n, [0] * (n + 1)
+    # No span is ruled out.  Spans beyond FAR cost the same whatever their length, so the best start of each state of the
+    # quotations stands for all; nearer ones are tried backwards until no earlier start can win, as all else only costs.
+    peak, far, top = [0.0] * (n + 1), {}, None
+    p = 0
     for j in range(1, n + 1):
         c, e = (close[j - 1] if j < n else 0.0), ends[j - 1]
-        for i in range(j - 1, max(-1, j - 1 - HOLDS), -1):
+        while p < j and e - begin[p] > FAR:
+            state = (level[p], straight[p])
+            if state not in far or best[p] > far[state][0]:
+                far[state] = (best[p], p)
+            if top is None or best[p] > top[0]:
+                top = (best[p], p)
+            p += 1
+        own = -1e18
+        for extra, candidate in ((0.0, far.get((level[j], straight[j]))), (UNBALANCED, top)):
+            if candidate and candidate[0] + c - EACH * (FAR - LONG) + extra > own:
+                own, back[j] = candidate[0] + c - EACH * (FAR - LONG) + extra, candidate[1]
+        for i in range(j - 1, p - 1, -1):
             a = begin[i]
             size = e - a
-            s = best[i] + c + (TINY if size < 8 else 0.0) - (0.002 * (size - 400) if size > 400 else 0.0)
+            cost = EACH * (size - LONG) if size > LONG else 0.0
+            if peak[i] + c - cost <= own:
+                break
+            s = best[i] + c + (TINY if size < 8 else 0.0) - cost
             if quotes:
                 if level[i] != level[j] or straight[i] != straight[j]:
                     s += UNBALANCED
                 elif j < n and text[a] in '"“«„「『' and text[e - 1] in '"”»」』' and not _MARKS.search(text, a + 1, e - 1) and not hard[j - 1] and BARE_QUOTE.match(text, starts[j - 1]) is None:
                     s += BARE
-            if s > best[j]:
-                best[j], back[j] = s, i
-            if size > 6000 and j - i > 2:
-                break
+            if s > own:
+                own, back[j] = s, i
+        best[j] = own
+        peak[j] = max(peak[j - 1], own)
     out, j = [], n
     while j:
         i = back[j]

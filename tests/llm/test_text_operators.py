@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime
+import random
+import time
 import unicodedata
 
 import pytest
@@ -354,3 +356,50 @@ def test_a_word_of_rare_characters_is_among_the_readings(spark):
     rows = [("a", "कँ कए कऐ " * 200 + f"{word} " * 3), ("b", f"the {bad(word)} here {bad(word)}"), ("c", bad(f"{word}।{word}"))]
     got = {r.block_id: r.restored for r in E.restore(spark.createDataFrame(rows, "block_id string, t string"), "block_id", "t").collect()}
     assert got == {"b": f"the {word} here {word}", "c": f"{word}।{word}"}
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "aaaa", "abcdefghij", " theingand", "नेपालसरकार", "0123"])
+def test_long_words_merge_as_short_ones(bpe, alphabet):
+    rnd = random.Random(alphabet)
+    for _ in range(40):
+        w = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(2, 40))).encode()
+        assert bpe._merge_long(w) == (bpe.merge(w) if len(w) <= 48 else bpe._merge_long(w))
+
+
+def test_one_word_of_a_hundred_thousand_letters(bpe):
+    rnd = random.Random(1)
+    w = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    began = time.time()
+    ids, _ = bpe.encode([w])
+    assert b"".join(bpe.bytes_of[i] for i in ids.tolist()) == w.encode() and time.time() - began < 10
+
+
+#: Held out of the rules: texts of two sentences each.
+FURTHER = [
+    "هل أنت هنا؟|نعم أنا هنا الآن.",
+    "میں گھر جا رہا ہوں۔|وہ اسکول میں ہے۔",
+    "ሰላም ነው።|እንዴት ነህ፧",
+    "ကျွန်တော် သွားမယ်။|သူ လာမယ်။",
+    "ខ្ញុំទៅផ្ទះ។|គាត់មកសាលា។",
+    "Ես տուն եմ գնում։|Նա դպրոցում է։",
+    "ผมไปตลาดแล้ว|เขาอยู่ที่บ้าน",
+    "สำนักงานปิดวันนี้ครับ|เราจะเปิดอีกครั้ง",
+]
+
+
+@pytest.mark.parametrize("parts", FURTHER)
+def test_end_marks_of_further_scripts(parts):
+    t = parts.replace("|", " ")
+    assert [t[a:b] for a, b in S.units(t)] == parts.split("|")
+
+
+def test_no_span_is_too_long():
+    line = "the item number which is called thing and which was sent to the office by the post in the"
+    t = "The list of items which were received by the office is\n" + "\n".join([line] * 400) + " end.\nAnother sentence is here."
+    assert [t[a:b][-12:] for a, b in S.units(t)] == ["in the end.", "nce is here."] or len(S.units(t)) == 2
+
+
+def test_many_breaks_take_little_time():
+    for t in ("word\n" * 20000, "“word\n" * 20000):
+        began = time.time()
+        assert S.units(t) and time.time() - began < 20
