@@ -9,9 +9,12 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that one broadcast side may hold.  A side beyond it is joined by shuffle instead.
 BROADCAST_ROWS = 2_000_000
@@ -24,8 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "granthika-shared")
+    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only on one machine, as in tests."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "granthika-shared")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,6 +46,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that one broadcast side may hold.
+BROADCAST_BYTES = 64 << 20
+
+
+def light(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows, counted by the bytes of their strings and 32 for each row and further column, may be broadcast."""
+    strings = [F.octet_length(F.coalesce(F.col(f"`{c}`"), F.lit(""))) if t == "string" else F.lit(32) for c, t in df.dtypes]
+    return (df.agg(F.sum(reduce(add, strings) + 32).alias("n")).first()["n"] or 0) <= most
+
+
 #: Steps behind which a plan has partitions of its own.
 _WIDE = re.compile(r"^[\s:+\-]*(?:Join|Aggregate|Repartition|Sort|Window|Deduplicate|Union|GlobalLimit|LocalLimit)", re.MULTILINE)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORKER_WORDS, cut, map_arrow, table
+from .common import WORKER_WORDS, cut, light, map_arrow, table
 from .vocabulary import count_words
 
 #: Letters of other scripts and the Latin letters that look like them.
@@ -50,6 +50,8 @@ _ODD = re.compile("[^\x00-\x7f]|\t")
 _TOKEN = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
 _FOREIGN = re.compile("[Ͱ-ԯ԰-֏]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
+#: Letters of all scripts towards which a token may be repaired; words without any can't be a repair.
+REPAIRABLE = "[A-Za-zÀ-ɏͰ-֏]"
 
 
 def fold(text: str | None) -> str | None:
@@ -154,9 +156,9 @@ def _row_words(b: pa.RecordBatch) -> pa.RecordBatch | None:
 def p3_found(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks").select("chunk_id", "text")
     items = table(spark, sf_dir, "proper_manual_qacite").select("qa_id", "chunk_id", "answer_exact").filter("answer_exact <> ''")
-    side = F.broadcast(items) if items.count() <= BROADCAST_ROWS // 20 else items
+    side = F.broadcast(items) if light(items) else items
     cited = chunks.join(side, "chunk_id").filter(~F.contains("text", "answer_exact"))
-    words = count_words(chunks, where="[A-Za-z]")
+    words = count_words(chunks, where=REPAIRABLE)
     same = unify(cut(cited), ["answer_exact", "text"], words).filter(F.contains("text", "answer_exact"))
     return same.select("qa_id", "chunk_id").distinct()
 
@@ -166,4 +168,4 @@ def p3_unified(spark, sf_dir):
     sources = (("documents", "doc_id", "text"), ("chunks", "chunk_id", "text"), ("corpus_blocks", "block_id", "text"), ("proper_manual_qacite", "qa_id", "answer_exact"))
     parts = [table(spark, sf_dir, t).select(F.lit(t).alias("source"), F.col(i).cast("string").alias("id"), F.col(c).alias("text")) for t, i, c in sources]
     rows = reduce(DataFrame.unionByName, parts)
-    return unify(rows, ["text"], count_words(rows, where="[A-Za-z]"))
+    return unify(rows, ["text"], count_words(rows, where=REPAIRABLE))
