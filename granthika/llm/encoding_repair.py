@@ -129,7 +129,12 @@ class Channel:
         """The cells of the run just decoded, if it has readings that decode() dropped; else nothing."""
         return json.dumps({"cells": cells, "hidden": hidden}) if self.cut and None in cells else None
 
-    def spans(self, text: str, codec: _Codec) -> list[tuple[int, int, list[str], str | None]]:
+    def gain(self, run: str, reading: float) -> float:
+        """How much likelier a reading of that log probability is than the run as it stands."""
+        return reading - sum(self.logp.get(c, UNSEEN) for c in run)
+
+    def spans(self, text: str, codec: _Codec) -> list[tuple[int, int, list[str], str | None, float]]:
+        """Runs with a reading: start, end, readings, lattice, gain."""
         out = []
         for m in codec.unit.finditer(text):
             run = m[0]
@@ -138,17 +143,17 @@ class Channel:
             cells = [None if c == LOST else codec.byte[c] for c in run]
             got = self.decode(cells, codec.hidden, READINGS if LOST in run else 1)
             if got:
-                out.append((m.start(), m.end(), [t for _, t in got], self._lattice(cells, codec.hidden)))
+                out.append((m.start(), m.end(), [t for _, t in got], self._lattice(cells, codec.hidden), self.gain(run, got[0][0])))
                 continue
             at = m.start()
             for u in re.finditer(codec.unit.pattern[:-1], run):  # unit by unit where the whole run has no reading
                 cells = [None if c == LOST else codec.byte[c] for c in u[0]]
                 got = self.decode(cells, codec.hidden, READINGS if LOST in u[0] else 1)
                 if got:
-                    out.append((at + u.start(), at + u.end(), [t for _, t in got], self._lattice(cells, codec.hidden)))
+                    out.append((at + u.start(), at + u.end(), [t for _, t in got], self._lattice(cells, codec.hidden), self.gain(u[0], got[0][0])))
         return out
 
-    def han_spans(self, text: str) -> list[tuple[int, int, list[str], str | None]]:
+    def han_spans(self, text: str) -> list[tuple[int, int, list[str], str | None, float]]:
         """Runs of double-byte characters whose bytes are UTF-8: text read as GBK."""
         out = []
         for m in _HAN.finditer(text):
@@ -169,7 +174,8 @@ class Channel:
             lattice = self._lattice(cells, _TAILS) if got else None
             if got or known and fits >= 0.6 * known and (fits > 2 or _LATIN.search(around)):
                 got = got or self.decode(cells, _TAILS)
-                out.append((m.start(), m.end(), [t for _, t in got] or [raw.replace(b"??", b"\xff").decode("utf-8", "replace")], lattice))
+                readings = [t for _, t in got] or [raw.replace(b"??", b"\xff").decode("utf-8", "replace")]
+                out.append((m.start(), m.end(), readings, lattice, self.gain(run, got[0][0] if got else sum(self.logp.get(c, UNSEEN) for c in readings[0]))))
         return out
 
     def repair(self, text: str | None) -> tuple[str | None, list[str], bool, list[str]]:
@@ -178,23 +184,24 @@ class Channel:
             return text, [], False, []
         undone: list[str] = []
         weigh: list[str] = []
-        for _ in range(3):
+        while True:  # every reading is shorter than its run, so this ends
             found: list[tuple[float, str, list]] = []
             if _PAIR.search(text):
                 for c in _CODECS:
                     spans = self.spans(text, c)
                     if spans:
-                        found.append((sum(b - a - 0.01 * len(r[0]) for a, b, r, _ in spans), c.name, spans))
+                        found.append((sum(x[4] for x in spans), c.name, spans))
             if _CJK.search(text):
                 spans = self.han_spans(text)
                 if spans:
-                    found.append((sum(2.0 * (b - a) for a, b, *_ in spans), "gbk", spans))
+                    found.append((sum(x[4] for x in spans), "gbk", spans))
             if not found:
                 break
             _, name, spans = max(found, key=lambda x: x[0])
             undone.append(name)
             parts, at, size, weigh = [], 0, 0, []
-            for a, b, readings, lattice in spans:
+            before = len(text)
+            for a, b, readings, lattice, _ in spans:
                 parts += [text[at:a], readings[0]]
                 size += a - at
                 if len(readings) > 1:
@@ -202,6 +209,8 @@ class Channel:
                 size += len(readings[0])
                 at = b
             text = "".join([*parts, text[at:]])
+            if len(text) >= before:
+                break
         return text, undone, LOST in text or _QUESTIONS.search(text) is not None, weigh
 
 
