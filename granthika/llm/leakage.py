@@ -1,14 +1,20 @@
 """Problem 8: evaluation texts that stand in training text.
 
-Method: a BM25 inverted index over the sentences of the test items, searched with block-max pruning.  Impacts are scaled
-so that a sentence found whole scores 1; sentences lie in blocks, and every term keeps the largest impact it has in each
-block.  A training text is a query of its distinct terms: the sum of block maxima bounds every score in a block, and only
-postings of blocks whose bound reaches the threshold are added up.  All sentences above the threshold are retrieved; an
-alignment of words then verifies that the sentence stands in the text with few words altered.  An item has leaked where
-its verified sentences make up at least half of its passage; question and answer are verified the same way and reported.
-
-Items with equal passages share their sentences and count each.  The index is sent to the workers; the item set is small
-by nature and indexed in parts of ITEMS_AT_ONCE, so that the size of what is sent is bounded.
+Method: a BM25 inverted index of the test items' sentences, searched with block-max WAND.  Sentences lie in blocks, and
+every term keeps the largest impact it has in each block where it stands, and its postings by block.  A training text is cut
+into passages that overlap, so that every stretch as long as any sentence lies whole in one of them, and each passage is a
+query of its distinct terms.  A passage is passed over where the largest impacts of its terms don't add up to the threshold;
+blocks are taken from the terms that a sentence must hold one of to reach it (the pivot and those above), and are passed over
+where their maxima don't add up; only postings of the blocks left are scored.  All sentences above the threshold are
+retrieved, and what the passages of a text retrieve is joined.  An alignment of words then verifies that a sentence stands in
+the text with few words altered.  An item has leaked where its verified sentences make up at least half of its passage;
+question and answer are verified the same way and reported.
+
+The threshold of a sentence follows from what verifies it: words that may be missing make up 1 - VERIFY of its words and
+weight, so its score falls by their greatest impact at most, and no sentence that would be verified is passed over.
+
+Items with equal passages share their sentences and count each.  Items are indexed in parts of ITEMS_AT_ONCE, which bounds
+what is sent and held; all parts up to PARTS_AT_ONCE are searched in one scan of the texts.
 
 Defined cases: null and empty texts and passages match nothing; repeated rows of an id are one; other columns are not read.
 """
@@ -17,7 +23,9 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -29,10 +37,11 @@ from .common import map_arrow, table
 from .lookalikes import _FOREIGN, TO_LATIN, fold
 from .sentences import units
 
-ITEMS_AT_ONCE = 20_000
-#: BM25 parameters, share of a sentence's impact that retrieves it, share of its words (by number and by weight) that verifies it, share of the passage.
-K1, B, RETRIEVE, VERIFY, PASSAGE = 1.2, 0.4, 0.72, 0.8, 0.5
-BLOCK = 32
+ITEMS_AT_ONCE, PARTS_AT_ONCE = 20_000, 8
+#: Share of a sentence's words (by number and by weight) that verifies it, share of the passage.
+VERIFY, PASSAGE = 0.8, 0.5
+#: Sentences of a block; words that a stretch may be longer than its sentence.
+BLOCK, SLACK = 32, 6
 _WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+(?:[ऀ-ःऺ-ॏ॑-ॗॢॣ̀-ͯ]+[^\W_一-鿿]*)*")
 _HAN = re.compile("[一-鿿]")
 _FOREIGN_TO_LATIN = {ord(a): b for a, b in TO_LATIN.items()}
@@ -86,13 +95,13 @@ class Index:
     """Inverted index of the distinct sentences of all items, in blocks."""
 
     def __init__(self, items: list[tuple[int, str, str, str]]):
-        self.sentences: list[list[str]] = []
         self.parts: dict[int, list[tuple[int, int]]] = {}
         self.other: dict[int, tuple[int, int]] = {}
         known: dict[tuple, int] = {}
+        one: dict[str, str] = {}
 
         def number(ws: list[str]) -> int:
-            return known.setdefault(tuple(ws), len(known)) if ws else -1
+            return known.setdefault(tuple(one.setdefault(w, w) for w in ws), len(known)) if ws else -1
 
         for item, passage, question, answer in items:
             own = [(passage[a:b], b - a) for a, b in units(passage)] if passage else []
@@ -100,65 +109,129 @@ class Index:
             self.other[item] = number(words(question)), number(words(answer))
         order = sorted(known, key=lambda s: (bool(_HAN.match(s[0])), s))
         place = {known[s]: i for i, s in enumerate(order)} | {-1: -1}
-        self.sentences = [list(s) for s in order]
+        self.sentences = order
         self.parts = {k: [(place[s], n) for s, n in v] for k, v in self.parts.items()}
         self.other = {k: (place[a], place[b]) for k, (a, b) in self.other.items()}
-        own = [terms(s) or set(s) for s in self.sentences]
-        df = Counter(t for o in own for t in o)
-        n = len(own)
-        mean = sum(map(len, own)) / max(1, n)
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-        self.term = {t: i for i, t in enumerate(sorted(df))}
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
+        own = [terms(list(s)) or set(s) for s in self.sentences]
+        self.df = Counter(t for o in own for t in o)
+        self.n = len(own)
+        self.term = {t: i for i, t in enumerate(sorted(self.df))}
+        self.longest = max(map(len, self.sentences), default=0)
+        # Impacts are scaled so that a sentence is retrieved at 1.
+        which, who, impact = [], [], []
         for s, o in enumerate(own):
-            weight = {t: idf[t] * (K1 + 1) / (1 + K1 * (1 - B + B * len(o) / mean)) for t in o}
+            weight = {t: self.idf(t) for t in o}
             total = sum(weight.values())
+            least = 1 - self._missing(s, weight) / total if total else 1.0
             for t, w in weight.items():
-                postings[self.term[t]].append((s, w / total))
-        size = np.array([len(p) for p in postings], np.int64)
-        self.start = np.concatenate([[0], np.cumsum(size)])
-        flat = [x for p in postings for x in p]
-        self.who = np.array([s for s, _ in flat], np.int32)
-        self.impact = np.array([w for _, w in flat], np.float32)
-        self.blocks = n // BLOCK + 1
-        self.most = np.zeros((len(postings), self.blocks), np.float32)
-        np.maximum.at(self.most, (np.repeat(np.arange(len(postings)), size), self.who // BLOCK), self.impact)
-        self.weight = []
-        for x in self.sentences:
-            w = [math.log(1 + (n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5)) if not _HAN.match(t) else 1.0 for t in x]
-            self.weight.append([a / sum(w) for a in w])
+                which.append(self.term[t])
+                who.append(s)
+                impact.append(w / total / max(least, 1e-3) if total else 1.0)
+        which, self.who, self.impact = np.array(which, np.int64), np.array(who, np.int64), np.array(impact, np.float64)
+        sort = np.lexsort((self.who, which))
+        which, self.who, self.impact = which[sort], self.who[sort], self.impact[sort]
+        # For each term its blocks: block, largest impact, postings; start: the first of each term.
+        blocks = self.n // BLOCK + 1
+        key = which * blocks + self.who // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.block, self.posting, self.postings = key[first] % blocks, first, np.diff(np.append(first, len(key)))
+        self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
+        self.start = np.searchsorted(key[first] // blocks, np.arange(len(self.term) + 1))
+        self.top = np.maximum.reduceat(self.most, self.start[:-1]) if len(self.term) else np.zeros(0)
         self.users: dict[int, list[int]] = defaultdict(list)
         for item, ps in self.parts.items():
             for s, _ in ps:
                 self.users[s].append(item)
-
-    def search(self, ids: np.ndarray) -> np.ndarray:
-        """Sentences whose score reaches RETRIEVE, by block-max pruning."""
-        bound = self.most[ids].sum(0)
-        if bound.max(initial=0) < RETRIEVE:
-            return np.zeros(0, np.int64)
-        a, size = self.start[ids], self.start[ids + 1] - self.start[ids]
-        at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-        who = self.who[at]
-        keep = bound[who // BLOCK] >= RETRIEVE
-        score = np.bincount(who[keep], weights=self.impact[at[keep]], minlength=len(self.sentences))
-        return np.flatnonzero(score >= RETRIEVE)
+        #: Postings scored, and postings of all terms of all passages.
+        self.scored = self.all = 0
+
+    def idf(self, t: str) -> float:
+        d = self.df.get(t, 0)
+        return math.log(1 + (self.n - d + 0.5) / (d + 0.5))
+
+    def weights(self, s: int) -> list[float]:
+        """Share of each word in the weight of the sentence."""
+        w = [1.0 if _HAN.match(t) else self.idf(t) for t in self.sentences[s]]
+        total = sum(w)
+        return [x / total for x in w]
+
+    def _missing(self, s: int, weight: dict[str, float]) -> float:
+        """Most weight of index terms that a verified occurrence of the sentence may lack."""
+        ws = self.sentences[s]
+        spare = (1 - VERIFY) * len(ws)
+        if any(_HAN.match(w) for w in ws):  # a character is part of two pairs
+            return sum(sorted(weight.values(), reverse=True)[: 2 * math.floor(spare + 1e-9)])
+        by_weight = (1 - VERIFY) * sum(self.idf(w) for w in ws)
+        return min(by_weight, sum(sorted(weight.values(), reverse=True)[: math.floor(spare + 1e-9)])) + 1e-9
+
+    def passages(self, ws: list[str]) -> list[np.ndarray]:
+        """Terms of each passage of the words; passages overlap by as much as a sentence may be long."""
+        get = self.term.get
+        own = [get(w, -1) for w in ws]
+        step = self.longest + SLACK
+        pairs = [get(a + b, -1) if _HAN.match(a) and _HAN.match(b) else -1 for a, b in zip(ws, ws[1:])] if any("\u4e00" <= w <= "\u9fff" for w in ws) else None
+        ids = np.array([own, [*pairs, -1]] if pairs is not None else [own], np.int64)
+        return [ids[:, a : a + 2 * step].ravel() for a in range(0, max(1, len(ws) - step), step)]
+
+    def search(self, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, sentence) of each sentence whose score in a passage reaches its threshold."""
+        size = len(self.term)
+        owner = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+        ids = np.concatenate(passages) if passages else np.zeros(0, np.int64)
+        key = np.unique((owner * size + ids)[ids >= 0]) if size else np.zeros(0, np.int64)
+        owner, ids = np.divmod(key, max(size, 1))
+        # From the least term upwards: a sentence with none but the terms below the pivot can't reach the threshold.
+        order = np.lexsort((self.top[ids], owner))
+        owner, ids = owner[order], ids[order]
+        run = np.cumsum(self.top[ids])
+        head = np.searchsorted(owner, owner)
+        above = run - np.where(head > 0, run[head - 1], 0.0) >= 1 - 1e-6
+        few = self.start[ids + 1] - self.start[ids]
+        blocks = self.n // BLOCK + 1
+        near = np.unique(np.repeat(owner[above], few[above]) * blocks + self.block[_ranges(self.start[ids[above]], few[above])])
+        live = np.zeros(len(passages) + 1, bool)
+        live[near // blocks] = True
+        keep = live[owner]
+        owner, ids, few = owner[keep], ids[keep], few[keep]
+        entry = _ranges(self.start[ids], few)
+        cell = np.repeat(owner, few) * blocks + self.block[entry]
+        self.all += int(self.postings[entry].sum())
+        at = np.searchsorted(near, cell)
+        at[at == len(near)] = 0
+        hit = near[at] == cell if len(near) else np.zeros(0, bool)
+        entry, at = entry[hit], at[hit]
+        bound = np.bincount(at, weights=self.most[entry], minlength=len(near))
+        hit = bound[at] >= 1 - 1e-6
+        entry, at = entry[hit], at[hit]
+        number = self.postings[entry]
+        posting = _ranges(self.posting[entry], number)
+        self.scored += len(posting)
+        left, at = np.unique(np.repeat(at, number), return_inverse=True)
+        score = np.bincount(at * BLOCK + self.who[posting] % BLOCK, weights=self.impact[posting], minlength=len(left) * BLOCK)
+        found = np.flatnonzero(score >= 1 - 1e-6)
+        place = near[left[found // BLOCK]] if len(found) else found
+        return place // blocks, place % blocks * BLOCK + found % BLOCK
+
+    def leaks_of(self, texts: list[list[str]]) -> list[list[tuple[int, float, bool, bool]]]:
+        """For each text, given as its words: (item, share of its passage, question found, answer found) of each leaked item."""
+        passages, owner = [], []
+        for k, ws in enumerate(texts):
+            own = self.passages(ws) if ws else []
+            passages += own
+            owner += [k] * len(own)
+        got: dict[int, set[int]] = defaultdict(set)
+        for p, s in zip(*(x.tolist() for x in self.search(passages))):
+            got[owner[p]].add(s)
+        return [self._verified(ws, got[k]) if k in got else [] for k, ws in enumerate(texts)]
 
     def leaks(self, text: str | None) -> list[tuple[int, float, bool, bool]]:
-        """(item, share of its passage, question found, answer found) of each leaked item."""
-        ws = words(text)
-        get = self.term.get
-        ids = np.array([i for t in terms(ws) if (i := get(t)) is not None], np.int64)
-        if not len(ids):
-            return []
-        found = self.search(ids)
-        if not len(found):
-            return []
+        return self.leaks_of([words(text)])[0]
+
+    def _verified(self, ws: list[str], got: set[int]) -> list[tuple[int, float, bool, bool]]:
         # a passage is worth verifying only where the retrieved sentences could make up enough of it
-        got = set(found.tolist())
         worth = set()
         for s in got:
-            for item in self.users[s]:
+            for item in self.users[s] if s in self.users else ():
                 if item not in worth:
                     ps = self.parts[item]
                     if sum(n for x, n in ps if x in got) >= PASSAGE * sum(n for _, n in ps):
@@ -172,7 +245,7 @@ class Index:
 
         def there(s: int) -> bool:
             if s not in stands:
-                stands[s] = s >= 0 and s in got and similarity(self.sentences[s], self.weight[s], ws, places) >= VERIFY
+                stands[s] = s >= 0 and s in got and similarity(list(self.sentences[s]), self.weights(s), ws, places) >= VERIFY
             return stands[s]
 
         out = []
@@ -185,35 +258,54 @@ class Index:
         return out
 
 
-_BUILT: dict[int, Index] = {}
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+_BUILT: dict[str, Index] = {}
 
 
-def _index(items: tuple) -> Index:
-    k = hash(items)
-    if k not in _BUILT:
-        _BUILT.clear()
-        _BUILT[k] = Index(list(items))
-    return _BUILT[k]
+def _index(name: str, items: tuple, keep: list[str]) -> Index:
+    """The index of one part of the items; a worker keeps those of the scan it is in."""
+    if name not in _BUILT:
+        for old in set(_BUILT) - set(keep):
+            del _BUILT[old]
+        _BUILT[name] = Index(list(items))
+    return _BUILT[name]
+
+
+def _parts(items: DataFrame) -> Iterator[list[tuple]]:
+    """Items in parts of ITEMS_AT_ONCE; the driver holds one of them at a time."""
+    part: list[tuple] = []
+    for r in items.filter("item_id is not null").select("item_id", "passage", "question", "answer").distinct().orderBy("item_id", "passage", "question", "answer").toLocalIterator():
+        part.append((r[0], r[1] or "", r[2] or "", r[3] or ""))
+        if len(part) == ITEMS_AT_ONCE:
+            yield part
+            part = []
+    yield part
 
 
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Operator: (id, item_id, share, question_found, answer_found) for every text and each item that leaked into it."""
-    rows = sorted((r[0], r[1] or "", r[2] or "", r[3] or "") for r in items.filter("item_id is not null").select("item_id", "passage", "question", "answer").distinct().toLocalIterator())
     kind = dict(df.dtypes)[id_col]
     source = df.select(id_col, text_col)
+    sent = [(uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(tuple(p))) for p in _parts(items)]
     out = None
-    for at in range(0, max(1, len(rows)), ITEMS_AT_ONCE):
-        shared = df.sparkSession.sparkContext.broadcast(tuple(rows[at : at + ITEMS_AT_ONCE]))
-
-        def run(b: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
-            index = _index(shared.value)
-            found = [(k, *x) for k, t in enumerate(b.column(1).to_pylist()) if t for x in index.leaks(t)]
+    for at in range(0, len(sent), PARTS_AT_ONCE):
+
+        def run(b: pa.RecordBatch, sent=sent[at : at + PARTS_AT_ONCE]) -> pa.RecordBatch | None:
+            texts = [words(t) for t in b.column(1).to_pylist()]
+            found = []
+            for name, shared in sent:
+                index = _index(name, shared.value, [n for n, _ in sent])
+                found += [(k, *x) for k, xs in enumerate(index.leaks_of(texts)) for x in xs]
             if not found:
                 return None
             k, item, share, q, a = zip(*found)
             return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k)), pa.array(item, pa.int32()), pa.array(share), pa.array(q), pa.array(a)], [id_col, "item_id", "share", "question_found", "answer_found"])
 
-        part = map_arrow(source, run, f"{id_col} {kind}, item_id int, share double, question_found boolean, answer_found boolean", 1000)
+        part = map_arrow(source, run, f"{id_col} {kind}, item_id int, share double, question_found boolean, answer_found boolean", 500)
         out = part if out is None else out.unionByName(part)
     return out
 
