@@ -20,6 +20,7 @@ import datetime
 import hashlib
 import hmac
 import re
+import secrets
 from collections import defaultdict
 
 import ahocorasick
@@ -82,6 +83,12 @@ _STREET_WORD = re.compile(rf"(?<=\s)(?:{_STREET})\b|(?<=\s)(?:{_STREET_NE})(?![
 _AT = re.compile(r"@|[\[({]\s?at\s?[\])}]|\sat\s+(?=\S+\s+dot\s)")
 
 
+#: Most characters of a mail address before and after its mark (with room for spelling it out), and of an address.
+LOCAL, DOMAIN, LINE = 80, 320, 200
+#: Digits of a labelled identity number, at least.
+LEAST_ID = 5
+
+
 def widen(parts: list[str], least: int = 3) -> set[str]:
     """Listed parts and all that analogy builds: a beginning of two listed parts or more with an ending of `least` or more."""
     heads: dict[str, set[str]] = defaultdict(set)
@@ -202,20 +209,20 @@ class Finder:
     def _find(self, text: str) -> list[tuple[int, int, str]]:
         found: list[tuple[int, int, str]] = []
         for h in _AT.finditer(text):
-            low = max(0, h.start() - 80)
-            for m in _EMAIL.finditer(text, low, h.end() + 120):
+            low = max(0, h.start() - LOCAL)
+            for m in _EMAIL.finditer(text, low, h.end() + DOMAIN):
                 if m.start() < h.end() <= m.end() and (m.start() > low or low == 0):
                     found.append((m.start(), m.end(), "email"))
         digits = _DIGIT.search(text) is not None
         if digits:
             for h in _STREET_WORD.finditer(text):
-                low = max(0, h.start() - 70)
-                for m in _ADDRESS.finditer(text, low, h.end() + 90):
+                low = max(0, h.start() - LINE)
+                for m in _ADDRESS.finditer(text, low, h.end() + LINE):
                     if m.start() < h.start() < m.end():
                         if m["rest"] or m["rest2"] or m[0].startswith("घर"):
                             found.append((m.start(), m.end(), "address"))
                         break
-            found += [(*m.span("v"), "id_number") for m in _ID.finditer(text) if sum(c.isdigit() for c in m["v"]) > 6]
+            found += [(*m.span("v"), "id_number") for m in _ID.finditer(text) if sum(c.isdigit() for c in m["v"]) >= LEAST_ID]
             for m in _PHONE.finditer(text):
                 if _FULL.match(m[0]) or not _NOT_PHONE.search(text, max(0, m.start() - 24), m.start()):
                     found.append((m.start(), m.end(), "phone"))
@@ -256,20 +263,37 @@ def permute_date(day: datetime.date, key: bytes, first: int = 1900, last: int =
             return datetime.date.fromordinal(low + x)
 
 
+def permute_shape(year: int, month: int, day: int, key: bytes) -> tuple[int, int, int]:
+    """Keyed bijection on the days of months of 32 days that no date of the other calendar has (as 2045-03-32), by cycle walking."""
+    x, span = (year - 1900) * 384 + (month - 1) * 32 + day - 1, 200 * 384
+    while True:
+        x = int(permute(f"{x:05d}", key, "shape"))
+        if x < span:
+            y, m, d = 1900 + x // 384, x % 384 // 32 + 1, x % 32 + 1
+            try:
+                datetime.date(y, m, d)
+            except ValueError:
+                return y, m, d
+
+
+def _national(digits: str) -> int:
+    """Where the national number of a phone number begins: behind the country's code and the trunk zero."""
+    at = 5 if digits.startswith("00977") else 3 if digits.startswith("977") and len(digits) > 10 else 0
+    return at + (digits[at : at + 1] == "0")
+
+
 def _pseudonym(value: str, kind: str, key: bytes) -> str:
-    """Placeholder of one value."""
+    """Placeholder of one value; a phone number's first national digit, which shows its kind, stays, the rest is permuted."""
     if kind in ("phone", "id_number"):
         plain = [str(int(c)) if c.isdigit() else c for c in value]
         digits = "".join(c for c in plain if c.isdigit())
-        keep = 0
-        if kind == "phone":
-            keep = 6 if digits.startswith("00977") else 4 if digits.startswith("977") and len(digits) > 10 else 1
+        keep = min(len(digits) - 1, _national(digits) + 1) if kind == "phone" else 0
         core = digits[keep:]
-        new = digits[:keep] + permute(core, key, kind)
+        new = digits[:keep] + permute(core, key, kind + digits[keep - 1 : keep])
         it = iter(new)
         shown = "".join((chr(ord("०") + int(next(it))) if "०" <= c <= "९" else next(it)) if c.isdigit() else c for c in value)
         return f"[{kind.upper()} {shown}]"
-    tag = hmac.digest(key, f"{kind}|{' '.join(value.split()).lower()}".encode("utf-8", "surrogatepass"), "sha256").hex()[:8]
+    tag = hmac.digest(key, f"{kind}|{' '.join(value.split()).lower()}".encode("utf-8", "surrogatepass"), "sha256").hex()[:24]
     return f"[{kind.upper()} {tag}]"
 
 
@@ -281,18 +305,31 @@ def redact(text: str, places: list[tuple[int, int, str]], key: bytes) -> str:
     done = "".join([*out, text[at:]])
 
     def birth(m: re.Match) -> str:
+        year, month, day = (int(m[k]) for k in (1, 2, 3))
+        if not 1900 <= year < 2100:
+            return m[0]
         try:
-            d = permute_date(datetime.date(int(m[1]), int(m[2]), int(m[3])), key)
+            d = permute_date(datetime.date(year, month, day), key)
+            year, month, day = d.year, d.month, d.day
         except ValueError:
-            return m[0]
-        return m[0][: m.start(1) - m.start()] + f"{d.year:04d}{m[0][m.end(1) - m.start()]}{d.month:02d}{m[0][m.end(2) - m.start()]}{d.day:02d}"
+            if not (1 <= month <= 12 and 1 <= day <= 32):
+                return m[0]
+            year, month, day = permute_shape(year, month, day, key)
+        return m[0][: m.start(1) - m.start()] + f"{year:04d}{m[0][m.end(1) - m.start()]}{month:02d}{m[0][m.end(2) - m.start()]}{day:02d}"
 
     return _BIRTH.sub(birth, done)
 
 
+#: Name parts that are sent to the workers at most; the list doesn't grow with the corpus.
+MOST_PARTS = 1_000_000
+
+
 def _name_list(names: DataFrame) -> list[tuple[str, str, str]]:
-    """The name list, which doesn't grow with the corpus."""
-    return [tuple(r) for r in names.select("name_part", "part_kind", "script").filter("name_part is not null").collect()]
+    """The name list; one beyond the bound is refused, not cut."""
+    parts = [tuple(r) for r in names.select("name_part", "part_kind", "script").filter("name_part is not null").distinct().limit(MOST_PARTS + 1).collect()]
+    if len(parts) > MOST_PARTS:
+        raise ValueError(f"more than {MOST_PARTS} name parts")
+    return parts
 
 
 _FINDERS: dict[int, Finder] = {}
@@ -307,11 +344,11 @@ def _finder(names: tuple) -> Finder:
 
 def find_places(df: DataFrame, names: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Operator: (id, start_char, end_char, pii_type) of every place."""
-    listed = tuple(sorted(_name_list(names)))
+    listed = df.sparkSession.sparkContext.broadcast(tuple(sorted(_name_list(names))))
     kind = dict(df.dtypes)[id_col]
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        find = _finder(listed).find
+        find = _finder(listed.value).find
         found = [find(t) if t else [] for t in b.column(1).to_pylist()]
         rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
         flat = [x for f in found for x in f]
@@ -324,12 +361,12 @@ def find_places(df: DataFrame, names: DataFrame, id_col: str = "doc_id", text_co
 
 def redact_texts(df: DataFrame, names: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Operator: (id, text with placeholders, number of places) of every row."""
-    listed = tuple(sorted(_name_list(names)))
+    listed = df.sparkSession.sparkContext.broadcast(tuple(sorted(_name_list(names))))
     kind = dict(df.dtypes)[id_col]
     secret = hashlib.sha256(key.encode()).digest()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        find = _finder(listed).find
+        find = _finder(listed.value).find
         texts = b.column(1).to_pylist()
         places = [find(t) if t else [] for t in texts]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array([redact(t, p, secret) if t else t for t, p in zip(texts, places)], pa.string()), pa.array([len(p) for p in places], pa.int32())], [id_col, text_col, "n_places"])
@@ -342,4 +379,6 @@ def p9_found(spark, sf_dir):
 
 
 def p9_redacted(spark, sf_dir):
-    return redact_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), key="granthika")
+    """The key is named in granthika.pseudonym.key; where it is unset, one is drawn, and pseudonyms are linked within this run only."""
+    key = spark.conf.get("granthika.pseudonym.key", None) or secrets.token_hex(32)
+    return redact_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), key)
