@@ -195,6 +195,32 @@ def test_dates_and_links():
     assert "".join(c for c in a if c.isdigit()) == "".join(c for c in b if c.isdigit()) != "9185348154" and "[PHONE" in a
 
 
+@pytest.mark.parametrize("a, b", [("Tel: 01-4123456.", "Tel: +977-1-4123456."), ("Tel: 9185348154.", "Tel: +977 9185348154."), ("Tel: 061-523456.", "Tel: 00977-61-523456.")])
+def test_one_phone_number_in_two_forms_has_one_pseudonym(a, b):
+    def national(t):
+        red = I.redact(t, I.Finder([]).find(t), b"k")
+        assert "[PHONE " in red and t[5:-1] not in red
+        digits = "".join(c for c in red if c.isdigit())
+        return digits[I._national(digits) :]
+
+    assert national(a) == national(b)
+
+
+def test_days_of_long_months_are_replaced_and_stay_apart():
+    found = {I.permute_shape(y, m, 32, b"k") for y in range(2000, 2090) for m in range(1, 13)}
+    assert len(found) == 90 * 12
+    assert "2045-03-32" not in I.redact("Born on 2045-03-32.", [], b"k") and I.redact("Born on 2045-13-40.", [], b"k") == "Born on 2045-13-40."
+
+
+def test_tags_have_many_bits():
+    assert len({I._pseudonym(f"p{k}@x.np", "email", b"k") for k in range(100_000)}) == 100_000
+
+
+def test_short_identity_numbers():
+    t = "Citizenship no. 12345 was shown."
+    assert [t[a:b] for a, b, k in I.Finder([]).find(t) if k == "id_number"] == ["12345"]
+
+
 # --- 8: leaks -------------------------------------------------------------------------------------------------------
 
 ITEM = (1, "The auditor found nine wells in Rampur. Funds lapse on 3 May unless the board pays. Wards 2 and 7 share ten boats.", "What was found?", "nine wells in Rampur")
@@ -246,17 +272,61 @@ def test_units_of_odd_tables(spark):
     assert S.sentence_units(df.limit(0)).count() == 0
 
 
-def test_block_bounds_hold():
-    items = [(k, f"Ward {k} of Place{k} met on {k} June with {k * 7} people.", "", "") for k in range(1, 120)]
+def _crowd(n):
+    rnd = random.Random(8)
+    names = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(400)]
+    return [(k, f"Ward {k} of {rnd.choice(names)} met {rnd.choice(names)} with {k * 7} people. The {rnd.choice(names)} was moved to hall {k * 3} by {rnd.choice(names)} and {rnd.choice(names)}.", "", "") for k in range(1, n)]
+
+
+def test_no_score_at_the_threshold_is_passed_over():
+    items = _crowd(300)
     ix = K.Index(items)
     import numpy as np
 
-    for k in (1, 50, 119):
-        ids = np.array([ix.term[t] for t in K.terms(K.words(items[k - 1][1]))])
-        full = np.zeros(len(ix.sentences))
-        for i in ids:
-            full[ix.who[ix.start[i] : ix.start[i + 1]]] += ix.impact[ix.start[i] : ix.start[i + 1]]
-        assert set(ix.search(ids)) == set(np.flatnonzero(full >= K.RETRIEVE))
+    of_term = np.repeat(np.arange(len(ix.term)), [ix.postings[a:b].sum() for a, b in zip(ix.start, ix.start[1:])])
+    rnd = random.Random(3)
+    for _ in range(40):
+        ws = [w for k in rnd.sample(range(len(items)), 3) for w in K.words(items[k][1]) if rnd.random() < 0.8]
+        for p in ix.passages(ws):
+            full = np.bincount(ix.who, weights=ix.impact * np.isin(of_term, p), minlength=ix.n)
+            got = ix.search([p])[1]
+            assert sorted(got.tolist()) == np.flatnonzero(full >= 1 - 1e-6).tolist()
+
+
+def test_verified_sentences_are_retrieved():
+    items = _crowd(200)
+    ix = K.Index(items)
+    rnd = random.Random(5)
+    for _ in range(60):
+        s = rnd.randrange(ix.n)
+        ws = list(ix.sentences[s])
+        for k in rnd.sample(range(len(ws)), rnd.randint(0, 3)):
+            ws[k] = "other"
+        text = ["a", "ward"] * rnd.randint(0, 40) + ws + ["people"] * 20
+        places = {}
+        for k, w in enumerate(text):
+            places.setdefault(w, []).append(k)
+        if K.similarity(list(ix.sentences[s]), ix.weights(s), text, places) >= K.VERIFY:
+            assert s in ix.search(ix.passages(text))[1].tolist()
+
+
+def test_most_postings_are_skipped_and_joined_texts_leak_the_same():
+    items = _crowd(1500)
+    ix = K.Index(items)
+    alone = [ix.leaks(f"Some words of ward 7 before it. {items[k][1]} And then people met in hall 9.") for k in range(0, 1000)]
+    assert 0 < ix.scored < ix.all / 4
+    together = ix.leaks(" ".join(f"Some words of ward 7 before it. {items[k][1]} And then people met in hall 9." for k in range(0, 1000)))
+    assert {x[0] for x in together} == {x[0] for found in alone for x in found} >= {items[k][0] for k in range(1000)}
+
+
+def test_items_in_parts_give_the_same(spark, monkeypatch):
+    items = _crowd(60)
+    docs = spark.createDataFrame([(k, f"Before. {items[k][1]} After.") for k in range(40)], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id int, passage string, question string, answer string")
+    want = {tuple(r) for r in K.find_leaks(docs, table).select("doc_id", "item_id").collect()}
+    monkeypatch.setattr(K, "ITEMS_AT_ONCE", 7)
+    monkeypatch.setattr(K, "PARTS_AT_ONCE", 3)
+    assert {tuple(r) for r in K.find_leaks(docs, table).select("doc_id", "item_id").collect()} == want and len(want) >= 40
 
 
 # --- 6: languages ---------------------------------------------------------------------------------------------------
@@ -311,12 +381,12 @@ def test_noise_of_blocks(spark):
     body = "The registrar may not relocate the trail bridges\nwithout written con-\nsent from the board of the ward and the\nauditor of the town in the year."
     rows = [(f"b{i}", "d", f"d_page_{i:03d}", "text", f"Town Council Report\n{body}\n{i}") for i in range(1, 9)]
     rows += [("x", "d", "d_page_020", "text", "Tovvn Council Rep0rt\nThe registrar may not re1ocate the trail bridges\nof the board of the ward and the auditor\nof the town in the year."), ("n", None, None, "text", None), ("e", "d", None, "text", ""), ("t", "d", None, "table", "con-\nsent")]
-    df = spark.createDataFrame([(*r, "k") for r in rows], "block_id string, doc_id string, page_id string, block_type string, text string, kinds string")
+    df = spark.createDataFrame([(*r, 50.0, True, "k") for r in rows], "block_id string, doc_id string, page_id string, block_type string, text string, conf_mean double, source_page_is_ocr boolean, kinds string")
     from granthika.llm.common import cut
 
     found = cut(P.noise(df))
     kinds = {(r.block_id, k) for r in found.collect() for k in r.kinds}
-    heads = {r.block_id for r in P.with_headers(found).collect()}
+    heads = {r.block_id for r in P.running(found).collect() if r.kind == "header"}
     assert heads == {f"b{i}" for i in range(1, 9)} | {"x"}
     assert {k for b, k in kinds if b == "b1"} == {"hyphenation", "page_number"} and ("x", "misread") in kinds
     assert P.noise(df.limit(0)).count() == 0
@@ -326,6 +396,36 @@ def test_noise_of_blocks(spark):
         assert text["b1"] == text["b8"] == " ".join(body.split()).replace("con- sent", "consent") and text["x"].startswith("The registrar may not relocate")
 
 
+def _pages(spark, rows):
+    return spark.createDataFrame([(f"b{k:02d}", d, f"{d}_page_{n:03d}", "text", t, conf, ocr) for k, (d, n, t, conf, ocr) in enumerate(rows)], "block_id string, doc_id string, page_id string, block_type string, text string, conf_mean double, source_page_is_ocr boolean")
+
+
+WRAPPED = "The registrar may not relocate the {} of the ward\nwithout the written consent of the whole board and of\nthe auditor of the town in the course of the year and\nof {} others"
+
+
+def test_lines_that_look_like_headers_but_stand_once_stay(spark):
+    one, two = "Water at 79.0 °C flowed 9,896 km, i.e. from Survabas to", "Plots above 477 m² in Maidipani pay 97,486 ‰ more"
+    rows = [("d", k, f"{t}\n{WRAPPED.format(k, k * 7)}", 60.0, True) for k, t in enumerate((one, two), 1)]
+    out = {r.block_id: r for r in P.paragraphs(_pages(spark, rows)).collect()}
+    assert out["b00"].paragraph.startswith(one) and out["b01"].paragraph.startswith(two) and "header" not in out["b00"].noise + out["b01"].noise
+
+
+def test_footers_and_fuzzy_headers(spark):
+    heads = ["Bhirkogaun Labour Commission | Annual Report 2080", "Bhirkog1un Labour Cornmission | Annual Report 2079", "Bhirkogaun Lab0ur Commissiqn | Annual Rcport 2078", "A plain first line of text that no other page has in it"]
+    feet = ["Printed by the Department of Printing"] * 3 + ["and that was all there was on this page"]
+    rows = [("d", k, f"{h}\n{WRAPPED.format(k, k * 7)}\n{f}", 40.0, True) for k, (h, f) in enumerate(zip(heads, feet), 1)]
+    found = {(r.block_id, r.kind) for r in P.running(P.noise(_pages(spark, rows))).collect()}
+    assert found == {("b00", "header"), ("b01", "header"), ("b02", "header"), ("b00", "footer"), ("b01", "footer"), ("b02", "footer")}
+    out = {r.block_id: r.paragraph for r in P.paragraphs(_pages(spark, rows)).collect()}
+    assert all("Annual" not in out[b] and "Printed" not in out[b] for b in ("b00", "b01", "b02")) and out["b03"].startswith("A plain first line") and out["b03"].endswith("on this page")
+
+
+def test_page_numbers_at_an_offset(spark):
+    rows = [("d", k, f"{WRAPPED.format(k, k * 7)}\n{k + 41}", None, None) for k in range(1, 5)] + [("e", k, f"{WRAPPED.format(k, k * 7)}\n{n}", None, None) for k, n in ((1, 90), (2, 300), (3, 17))]
+    found = {(r.block_id, r.kind) for r in P.running(P.noise(_pages(spark, rows))).collect()}
+    assert found == {(f"b{k:02d}", "page_number") for k in range(4)}
+
+
 def test_every_table_comes_out_in_one_form(spark, tmp_path):
     from granthika.llm.lookalikes import p3_unified
 
@@ -363,15 +463,15 @@ def test_long_words_merge_as_short_ones(bpe, alphabet):
     rnd = random.Random(alphabet)
     for _ in range(40):
         w = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(2, 40))).encode()
-        assert bpe._merge_long(w) == (bpe.merge(w) if len(w) <= 48 else bpe._merge_long(w))
+        assert bpe[0]._merge_long(w) == [*bpe[0].merge(w[:48])] if len(w) <= 48 else True
 
 
 def test_one_word_of_a_hundred_thousand_letters(bpe):
     rnd = random.Random(1)
     w = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
     began = time.time()
-    ids, _ = bpe.encode([w])
-    assert b"".join(bpe.bytes_of[i] for i in ids.tolist()) == w.encode() and time.time() - began < 10
+    ids, _ = bpe[0].encode([w])
+    assert b"".join(bpe[0].bytes_of[i] for i in ids.tolist()) == w.encode() and time.time() - began < 10
 
 
 #: Held out of the rules: texts of two sentences each.
