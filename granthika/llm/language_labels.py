@@ -36,6 +36,10 @@ PROFILES = (("en", "latin"), ("fr", "latin"), ("ne", "latin"), ("ne", "devanagar
 BITS, BUCKETS = 10, 1 << 15
 #: Weight of one n-gram's evidence, price of a change of language, nearness of the second codeword that makes a text ambiguous.
 WEIGHT, CHANGE, AMBIGUOUS = 0.25, 6.0, 2.0
+#: A piece is foreign to its nearest profile where its n-grams are rarer there than in all but this share of the sample, by this much.
+FOREIGN_SHARE, FOREIGN_STEP = 0.002, 0.25
+#: Letters that the profiles' scripts must hold of a piece that is none of other scripts.
+KNOWN_SCRIPTS = 0.6
 #: Other spellings of labels.
 ALIASES = {
     "en": "en eng english en-gb en-us en_gb en_us en-in",
@@ -82,6 +86,24 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+def pieces_at(text: str) -> list[tuple[str, int, int]]:
+    """The same with each sentence's place in the text as it is."""
+    out: list[list] = []
+    at, ends = 0, [*_CUT.finditer(text), None]
+    for m in ends:
+        part, start, at = text[at : m.start() if m else len(text)], at, m.end() if m else len(text)
+        for p in [" ".join(pieces(part))] if part else []:
+            if p:
+                end = start + len(part.rstrip())
+                start += len(part) - len(part.lstrip())
+                if out and (len(p) < SHORT or len(out[-1][0]) < SHORT) and _script(p) == _script(out[-1][0]):
+                    out[-1][0] += " " + p
+                    out[-1][2] = end
+                else:
+                    out.append([p, start, end])
+    return [tuple(x) for x in out]
+
+
 def _script(piece: str) -> str:
     return max(_SCRIPTS, key=lambda s: len(s[1].findall(piece)))[0]
 
@@ -130,8 +152,14 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Coder:
     """Bit classifiers (weights by n-gram bucket) and the distances they give."""
 
-    def __init__(self, weights: np.ndarray, code: np.ndarray):
+    def __init__(self, weights: np.ndarray, code: np.ndarray, likely: np.ndarray | None = None, floor: np.ndarray | None = None):
         self.weights, self.code = weights, code
+        #: Log probability of each n-gram in each profile, and its mean below which a text is none of the profile's.
+        self.likely, self.floor = likely, floor
+
+    @property
+    def untrained(self) -> bool:
+        return not len(self.weights)
 
     @classmethod
     def fit(cls, texts: list[str], owner: np.ndarray) -> Coder:
@@ -143,7 +171,20 @@ class Coder:
             p[k] = (n + 0.02) / (n.sum() + 0.02 * len(n))
         code = codewords()
         bits = [np.log(p[code[:, b] > 0].mean(0)) - np.log(p[code[:, b] < 0].mean(0)) for b in range(code.shape[1])]
-        return cls(np.stack(bits, 1).astype(np.float32), code)
+        out = cls(np.stack(bits, 1).astype(np.float32), code, np.log(p).astype(np.float32), np.full(len(PROFILES), -np.inf))
+        mean = out.means(texts, owner)
+        for k in range(len(PROFILES)):
+            own = mean[owner == k]
+            if len(own):
+                out.floor[k] = np.quantile(own, FOREIGN_SHARE) - FOREIGN_STEP
+        return out
+
+    def means(self, texts: list[str], profile: np.ndarray) -> np.ndarray:
+        """Mean log probability of the n-grams of each piece in its profile."""
+        two, three, start = _grams(texts)
+        number = np.diff(np.r_[start, len(two)])
+        of = np.repeat(profile, number)
+        return np.add.reduceat(self.likely[of, two] + self.likely[of, three], start) / np.maximum(number, 1) / 2
 
     def distances(self, texts: list[str]) -> np.ndarray:
         """(pieces, profiles): loss of each codeword bit, added up over the bits."""
@@ -162,16 +203,16 @@ def train(rows: list[tuple[str, str]]) -> Coder:
             if k is not None and len(p) > 20:
                 texts.append(p)
                 owner.append(k)
-    if not texts:
-        texts, owner = ["a"], [0]
+    if not texts:  # nothing to learn from: no text gets a language
+        return Coder(np.zeros((0, BITS), np.float32), codewords())
     first = Coder.fit(texts, np.array(owner))
     again = first.distances(texts).argmin(1)
     fits = np.array([PROFILES[a][1] == PROFILES[o][1] for a, o in zip(again, owner)])
     return Coder.fit(texts, np.where(fits, again, owner))
 
 
-def segments(cost: np.ndarray) -> list[tuple[str, float, bool]]:
-    """Runs of sentences in one language from their distances: (language, confidence, ambiguous)."""
+def _path(cost: np.ndarray) -> np.ndarray:
+    """Profile of each sentence: the least sum of distances and prices of changes."""
     n, k = cost.shape
     best = cost.argmin(1)
     if (best != best[0]).any():
@@ -185,6 +226,16 @@ def segments(cost: np.ndarray) -> list[tuple[str, float, bool]]:
         best[-1] = total.argmin()
         for i in range(n - 1, 0, -1):
             best[i - 1] = back[i][best[i]]
+    return best
+
+
+def segments(cost: np.ndarray, best: np.ndarray | None = None, foreign: np.ndarray | None = None) -> list[tuple[str, float, bool, int, int]]:
+    """Runs of sentences in one language from their distances: (language, confidence, ambiguous, first sentence, behind the last).
+
+    foreign: sentences that are none of their profile's; a run that holds them for more than half is ambiguous, and its
+    confidence is multiplied by the share of the others."""
+    n = len(cost)
+    best = _path(cost) if best is None else best
     out, at = [], 0
     names = [PROFILES[b][0] for b in best]
     for i in range(1, n + 1):
@@ -194,21 +245,37 @@ def segments(cost: np.ndarray) -> list[tuple[str, float, bool]]:
                 d[lang] = min(x, d.get(lang, x))
             own = d.pop(names[at])
             gap = min(d.values()) - own
-            out.append((names[at], float(1 / (1 + sum(np.exp(np.clip(own - x, -50, 50)) for x in d.values()))), bool(gap < AMBIGUOUS)))
+            sure = float(1 / (1 + sum(np.exp(np.clip(own - x, -50, 50)) for x in d.values())))
+            strange = float(foreign[at:i].mean()) if foreign is not None else 0.0
+            out.append((names[at], sure * (1 - strange), bool(gap < AMBIGUOUS or strange > 0.5), at, i))
             at = i
     return out
 
 
-def classify(coder: Coder, texts: list[str | None]) -> list[list[tuple[str, float, bool]]]:
-    own = [pieces(t) if t else [] for t in texts]
-    flat = [p for ps in own for p in ps]
-    if not flat:
+def _foreign(coder: Coder, texts: list[str], best: np.ndarray) -> np.ndarray:
+    """Pieces whose letters are of other scripts, or whose n-grams are rarer than the nearest profile's own texts have them."""
+    known = np.array([sum(len(s[1].findall(t)) for s in _SCRIPTS) < KNOWN_SCRIPTS * sum(map(str.isalpha, t)) for t in texts], bool)
+    return known | (coder.means(texts, best) < coder.floor[best])
+
+
+def classify(coder: Coder, texts: list[str | None], places: bool = False) -> list[list[tuple]]:
+    """Segments of each text: (language, confidence, ambiguous), with `places` also start and end, and foreign texts told apart."""
+    own = [(pieces_at(t) if places else [(p, 0, 0) for p in pieces(t)]) if t else [] for t in texts]
+    flat = [p for ps in own for p, _, _ in ps]
+    if not flat or coder.untrained:
         return [[] for _ in texts]
     cost = coder.distances(flat)
     out, at = [], 0
+    if places:
+        size = [len(ps) for ps in own]
+        ends = np.cumsum(size)
+        best = np.concatenate([_path(cost[e - n : e]) for n, e in zip(size, ends) if n])
+        foreign = _foreign(coder, flat, best)
     for ps in own:
-        out.append(segments(cost[at : at + len(ps)]) if ps else [])
-        at += len(ps)
+        end = at + len(ps)
+        found = segments(cost[at:end], *((best[at:end], foreign[at:end]) if places else ())) if ps else []
+        out.append([(*x[:3], ps[x[3]][1], ps[x[4] - 1][2]) if places else x[:3] for x in found])
+        at = end
     return out
 
 
@@ -219,29 +286,32 @@ def fit_sample(df: DataFrame, id_col: str, text_col: str, label_col: str, sample
     return train([(r[0], r[1]) for r in drawn.select(label_col, text_col).limit(2 * sample).collect()])
 
 
-def label_segments(df: DataFrame, id_col: str, text_col: str, label_col: str, coder: Coder | None = None, type_col: str | None = None) -> DataFrame:
+def label_segments(df: DataFrame, id_col: str, text_col: str, label_col: str, coder: Coder | None = None, type_col: str | None = None, places: bool = False) -> DataFrame:
     """Operator: (id, label, label_right, segments array<struct<language, confidence, ambiguous>>) of every row, in one narrow pass.
 
-    With type_col, rows of type `table` are read by their cells."""
+    With type_col, rows of type `table` are read by their cells.  With places, segments also have start and end in the text
+    (null in tables), and those of no language that the sample has are ambiguous and of low confidence."""
     coder = coder or fit_sample(df, id_col, text_col, label_col)
-    shared = df.sparkSession.sparkContext.broadcast((coder.weights, coder.code))
+    shared = df.sparkSession.sparkContext.broadcast((coder.weights, coder.code, *((coder.likely, coder.floor) if places else ())))
     kind = dict(df.dtypes)[id_col]
-    seg = pa.list_(pa.struct([("language", pa.string()), ("confidence", pa.float64()), ("ambiguous", pa.bool_())]))
+    names = ["language", "confidence", "ambiguous", *(["start_char", "end_char"] if places else [])]
+    seg = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.float64(), pa.bool_(), pa.int32(), pa.int32())))))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         labels = b.column(2).to_pylist()
         texts = b.column(1).to_pylist()
-        if type_col:
-            texts = [cells(t) if k == "table" else t for t, k in zip(texts, b.column(3).to_pylist())]
-        found = classify(Coder(*shared.value), texts)
+        table = [k == "table" for k in b.column(3).to_pylist()] if type_col else [False] * len(texts)
+        texts = [cells(t) if k else t for t, k in zip(texts, table)]
+        found = classify(Coder(*shared.value), texts, places)
         for i, f in enumerate(found):
             if not f and canonical(labels[i]) not in (None, "mixed") and (b.column(1)[i].as_py() or "").strip():
-                found[i] = [(canonical(labels[i]), 0.0, True)]
-        right = [(names := {s[0] for s in f}) == set() or canonical(t) == ("mixed" if len(names) > 1 else next(iter(names))) for f, t in zip(found, labels)]
-        values = [[dict(zip(("language", "confidence", "ambiguous"), s)) for s in f] for f in found]
+                found[i] = [(canonical(labels[i]), 0.0, True, None, None)]
+        right = [(langs := {s[0] for s in f}) == set() or canonical(t) == ("mixed" if len(langs) > 1 else next(iter(langs))) for f, t in zip(found, labels)]
+        values = [[dict(zip(names, (*s[:3], None, None) if k else s)) for s in f] for f, k in zip(found, table)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(right), pa.array(values, seg)], ["id", "label", "label_right", "segments"])
 
-    return map_arrow(df.select(id_col, text_col, label_col, *([type_col] if type_col else [])), run, f"id {kind}, label string, label_right boolean, segments array<struct<language: string, confidence: double, ambiguous: boolean>>", 1000)
+    fields = "language: string, confidence: double, ambiguous: boolean" + (", start_char: int, end_char: int" if places else "")
+    return map_arrow(df.select(id_col, text_col, label_col, *([type_col] if type_col else [])), run, f"id {kind}, label string, label_right boolean, segments array<struct<{fields}>>", 1000)
 
 
 def p6_found(spark, sf_dir):
@@ -251,10 +321,10 @@ def p6_found(spark, sf_dir):
 
 
 def p6_segments(spark, sf_dir):
-    """Every chunk's segments with a new confidence; a chunk without one is `und`."""
+    """Every chunk's segments with a new confidence and their place in the text; a chunk without one is `und`."""
     chunks = table(spark, sf_dir, "chunks")
     coder = fit_sample(chunks.filter("chunk_type = 'text'"), "chunk_id", "text", "language")
-    done = label_segments(chunks, "chunk_id", "text", "language", coder, "chunk_type")
+    done = label_segments(chunks, "chunk_id", "text", "language", coder, "chunk_type", places=True)
     known = F.col("s").isNotNull()
     rows = done.select(F.col("id").alias("chunk_id"), "label", "label_right", F.posexplode_outer("segments").alias("pos", "s"))
-    return rows.select("chunk_id", "label", F.when(known, F.col("label_right")).alias("label_right"), (F.coalesce("pos", F.lit(0)) + 1).alias("seg_no"), F.coalesce("s.language", F.lit("und")).alias("language"), F.coalesce("s.confidence", F.lit(0.0)).alias("language_confidence"), F.coalesce("s.ambiguous", F.lit(True)).alias("ambiguous")).distinct()
+    return rows.select("chunk_id", "label", F.when(known, F.col("label_right")).alias("label_right"), (F.coalesce("pos", F.lit(0)) + 1).alias("seg_no"), F.coalesce("s.language", F.lit("und")).alias("language"), F.coalesce("s.confidence", F.lit(0.0)).alias("language_confidence"), F.coalesce("s.ambiguous", F.lit(True)).alias("ambiguous"), "s.start_char", "s.end_char").distinct()

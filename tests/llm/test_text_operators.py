@@ -360,6 +360,31 @@ def test_labels():
     assert [G.canonical(x) for x in ("NEP", " ne-NP ", "Chinese", "und", "", None, "MIXED")] == ["ne", "ne", "zh", None, None, None, "mixed"]
 
 
+def _sample():
+    return [(k, t) for k, ts in SAMPLES.items() for t in ts for _ in range(3)]
+
+
+def test_languages_of_no_profile_are_told_apart():
+    coder = G.train(_sample())
+    own = [t for ts in SAMPLES.values() for t in ts]
+    for t in ("Вчера мэр открыл новый мост через реку и посетил школу.", "மேயர் நேற்று புதிய பாலத்தை திறந்து வைத்தார்.", "هل أنت هنا؟ نعم أنا هنا الآن في المدينة."):
+        assert all(s[1] < 0.5 and s[2] for s in G.classify(coder, [t], True)[0])
+    # the sample is tiny, so one of its own texts may stand apart
+    assert sum(s[1] > 0.5 and not s[2] for found in G.classify(coder, own, True) for s in found) >= len(own) - 1
+
+
+def test_segments_have_places():
+    coder = G.train(_sample())
+    t = f"{SAMPLES['en'][0]} {SAMPLES['zh'][0]}"
+    found = G.classify(coder, [t], True)[0]
+    assert [(s[0], t[s[3] : s[4]].strip()) for s in found] == [("en", SAMPLES["en"][0]), ("zh", SAMPLES["zh"][0])]
+
+
+def test_no_labels_give_no_language(spark):
+    df = spark.createDataFrame([("a", "The office of the district gave meters.", None)], "chunk_id string, text string, language string")
+    assert [r.segments for r in G.label_segments(df, "chunk_id", "text", "language").collect()] == [[]]
+
+
 # --- 2: pages -------------------------------------------------------------------------------------------------------
 
 
