@@ -14,7 +14,16 @@ REFUSALS_NE = ("पर्याप्त आधिकारिक प्रम
 DOMAIN_WORDS = {
     "constitution": ("संविधान", "constitution", "कानून", "law", "अधिकार", "rights"),
     "health": ("स्वास्थ्य", "health", "चिकित्सा", "medical", "उपचार", "treatment"),
+    "emergency": ("आपातकाल", "emergency", "संकट", "crisis", "विपद्", "disaster"),
     "government": ("सरकार", "government", "मन्त्रालय", "ministry", "प्रशासन", "administration"),
+    "covid": ("कोभिड", "COVID", "कोरोना", "corona", "महामारी", "pandemic"),
+}
+#: Words of a domain that make a span better evidence.
+QUALITY_WORDS = {
+    "constitution": ("constitution", "संविधान", "law", "कानून", "rights", "अधिकार"),
+    "health": ("health", "स्वास्थ्य", "medical", "चिकित्सा", "hospital", "अस्पताल"),
+    "covid": ("covid", "कोभिड", "corona", "कोरोना", "pandemic", "महामारी"),
+    "emergency": ("emergency", "आपातकाल", "disaster", "विपद्", "crisis", "संकट"),
 }
 TABLE_WORDS = ("table", "टेबल", "तालिका", "chart", "चार्ट")
 CITATION = r"\[\[doc:([^|]+)\|page:(\d+)\|span:(\d+):(\d+)\]\]"
@@ -56,21 +65,40 @@ def round_robin(df: DataFrame, most: int = 5) -> DataFrame:
     return df.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= most)
 
 
-def domain_order(df: DataFrame, domain: str) -> DataFrame:
+def domain_of(question: Column) -> Column:
+    """The first domain a word of which stands in the question, else general."""
+    low, out = F.lower(F.coalesce(question, F.lit(""))), None
+    for name, words in DOMAIN_WORDS.items():
+        named = F.lit(False)
+        for w in words:
+            named = named | F.contains(low, F.lit(w.lower()))
+        out = F.when(named, name) if out is None else out.when(named, name)
+    return out.otherwise("general")
+
+
+def domain_hits(text: Column, domain: Column, of: dict[str, tuple[str, ...]] = DOMAIN_WORDS) -> Column:
+    """How many of the domain's words a text holds; none in general."""
+    low, out = F.lower(text), None
+    for name, words in of.items():
+        hits = sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0))
+        out = F.when(domain == name, hits) if out is None else out.when(domain == name, hits)
+    return out.otherwise(0)
+
+
+def domain_order(df: DataFrame, domain: Column) -> DataFrame:
     """Stable order by how many of the domain's words a span holds; table flag."""
     t = F.lower("span_text")
-    hits = sum((F.contains(t, F.lit(w)).cast("int") for w in DOMAIN_WORDS.get(domain, ())), F.lit(0))
     table = F.lit(False)
     for w in TABLE_WORDS:
         table = table | F.contains(t, F.lit(w))
     w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "pick")
-    return df.withColumn("hits", hits).withColumn("is_table", table).withColumn("place", F.row_number().over(w))
+    return df.withColumn("hits", domain_hits(F.col("span_text"), domain)).withColumn("is_table", table).withColumn("place", F.row_number().over(w))
 
 
-def evidence_quality(text: Column, language: Column, target: Column) -> Column:
-    """K15 for queries without a domain."""
+def evidence_quality(text: Column, language: Column, target: Column, domain: Column) -> Column:
+    """Length, language and the domain's words, a twentieth each up to four."""
     s = 0.5 + F.least(F.lit(0.3), F.length(text) / 1000.0) + F.when(language == target, 0.2).when(language.isin("en", "ne"), 0.1).otherwise(0.0)
-    return F.least(F.lit(1.0), s)
+    return F.least(F.lit(1.0), s + F.least(F.lit(0.2), domain_hits(text, domain, QUALITY_WORDS) * F.lit(0.05)))
 
 
 def one_per_document(df: DataFrame, most: int = 3, least: float = 0.3) -> DataFrame:

@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import scoring as K
 from ..operators import answer as A
 from ..operators import metrics as M
+from ..sources.tables import cut
 from ..sources.tables import table as t
 from . import q_search as S
 from . import sql as Q
 
 
+def graded_by_chunk(s, d, c):
+    """Candidates with a graded relevance: the chunk that the question's item cites is a match."""
+    q = t(s, d, "proper_manual_qacite").select(F.col("qa_id").cast("string").alias("query_id"), F.col("chunk_id").alias("q_chunk"))
+    return c.join(q, "query_id").withColumn("rel", M.graded(F.col("source_authority"), F.col("chunk_id") == F.col("q_chunk")))
+
+
 def ranked(s, d):
-    """Candidates in order with a graded relevance: same document as the query's chunk counts as a match."""
-    c = S.V.diversified(S.candidates(s, d).withColumn("score", F.round("score", 6)))
-    q = t(s, d, "proper_manual_qacite").select(F.col("qa_id").cast("string").alias("query_id"), F.col("doc_id").alias("q_doc"))
-    return c.join(q, "query_id").withColumn("rel", M.graded(F.col("source_authority"), F.col("doc_id") == F.col("q_doc")))
+    return graded_by_chunk(s, d, S.results(s, d))
 
 
 def a11_ndcg(s, d):
@@ -36,24 +40,65 @@ def a15_slices(s, d):
     return M.slices(ranked(s, d)).select("query_id", "field", "value", "n", F.round("purity", 6).alias("purity"), F.round("mean_rel", 6).alias("mean_rel"))
 
 
+def _dataset(r):
+    """Six measures with mean and deviation over the queries, and the number of all candidates."""
+    per = M.ndcg(r).join(M.recall(r), "query_id").join(S.V.purity(r.filter("rank <= 10")).select("query_id", "purity"), "query_id").join(M.diversity(r), "query_id")
+    n = r.groupBy("query_id").agg(F.count("*").alias("candidates"))
+    return per.join(n, "query_id")
+
+
+SIX = ("ndcg", "recall", "purity", "docs", "pages", "coverage")
+
+
 def a17_dataset(s, d):
-    r = ranked(s, d)
-    m = M.summary(M.ndcg(r).join(M.recall(r), "query_id"), "ndcg", "recall")
-    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+    """Six measures over the data set, all candidates, and shares of expanded and diversified queries by what the items say of it."""
+    per = _dataset(cut(ranked(s, d)))
+    m = per.agg(*[f for c in SIX for f in (F.round(F.avg(c), 6).alias(f"mean_{c}"), F.round(F.stddev_pop(c), 6).alias(f"std_{c}"))], F.sum("candidates").alias("candidates"))
+    return m.crossJoin(F.broadcast(a31_usage(s, d)))
 
 
 def a34_ablation(s, d):
-    """Measures by configuration of the search."""
-    out = None
+    """The six measures by configuration of the search, on one set of scored candidates."""
+    scored, out = cut(S.candidates(s, d).withColumn("score", F.round("score", 6))), None
     for name, per_page in (("tight", 1), ("default", 3)):
-        c = S.V.diversified(S.candidates(s, d).withColumn("score", F.round("score", 6)), params=S.V.SearchParams(per_page=per_page)).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
-        part = c.agg(F.lit(name).alias("config"), F.sum("n").alias("candidates"), F.sum("pages").alias("pages"))
+        per = _dataset(graded_by_chunk(s, d, S.V.diversified(scored, params=S.V.SearchParams(per_page=per_page))))
+        part = per.agg(F.lit(name).alias("config"), *[F.round(F.avg(c), 6).alias(c) for c in SIX], F.sum("candidates").alias("candidates"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def measured(s, d):
+    """(metric, current) under the names of the gates, from one search: retrieval, citations, answers, language."""
+    r = cut(ranked(s, d))
+    e = cut(S.evidence(s, d, r.drop("rel", "q_chunk")))
+    c = _cites(e)
+    iou = M.span_iou(c, truth(s, d))
+    own = t(s, d, "proper_manual_qacite").select(F.col("qa_id").cast("string").alias("query_id"), "chunk_id")
+    cited = S.asked(s, d).join(own, "query_id").join(c.select("query_id", "chunk_id").distinct().withColumn("hit", F.lit(1.0)), ["query_id", "chunk_id"], "left")
+    answered = A.answers(S.asked(s, d), A.round_robin(A.preferred(e)))
+    parts = {
+        "ndcg_at_10": (M.ndcg(r), F.avg("ndcg")),
+        "recall_at_10": (M.recall(r), F.avg("recall")),
+        "authority_purity": (S.V.purity(r.filter("rank <= 10")), F.avg("purity")),
+        "citation_precision": (c, F.avg((F.col("source_authority") == "authoritative").cast("double"))),
+        "citation_recall": (cited, F.avg(F.coalesce("hit", F.lit(0.0)))),
+        "refusal_rate": (answered, F.avg(F.col("is_refusal").cast("double"))),
+        "language_consistency": (S.V.language_metrics(r), F.avg("consistency")),
+        "char_iou": (iou, F.avg("char_iou")),
+    }
+    out = None
+    for name, (df, value) in parts.items():
+        part = df.agg(F.lit(name).alias("metric"), value.alias("current"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def cites(s, d):
-    return S.evidence(s, d).filter("rank <= 3").select(F.concat_ws("-", "query_id", F.col("rank").cast("string")).alias("cite_id"), "query_id", "qa_id", "doc_id", A.page_of(F.col("page_id")).alias("page_num"), "start_char", "end_char", "source_authority")
+    return _cites(S.evidence(s, d))
+
+
+def _cites(e):
+    return e.filter("rank <= 3").select(F.concat_ws("-", "query_id", F.col("rank").cast("string")).alias("cite_id"), "query_id", "qa_id", "chunk_id", "doc_id", A.page_of(F.col("page_id")).alias("page_num"), "start_char", "end_char", "source_authority")
 
 
 def truth(s, d):
@@ -163,11 +208,22 @@ def k16_k18_enrichment(s, d):
     return c.select("chunk_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)), 6).alias("confidence"), K.ocr_bin(F.col("conf_mean")).alias("ocr_bin"), K.reading_seconds(words).alias("seconds"), F.when(why == "", "Semantic similarity match").otherwise(why).alias("why"))
 
 
-_R = f"(select c.*, case when c.doc_id=q.doc_id then 1.0 when source_authority='authoritative' then 0.8 when source_authority='wikipedia' then 0.3 else 0.0 end::double rel from {S._DIV} c join (select qa_id::varchar query_id, doc_id from proper_manual_qacite) q using (query_id))"
+_R = f"(select c.*, case when c.chunk_id=q.q_chunk then 1.0 when source_authority='authoritative' then 0.8 when source_authority='wikipedia' then 0.3 else 0.0 end::double rel from {S._DIV} c join (select qa_id::varchar query_id, chunk_id q_chunk from proper_manual_qacite) q using (query_id))"
 _R = _R.replace("(select c.*,", "(select c.* ,")
 _ND = f"(select query_id, case when sum(rel/log2(ideal+1))>0 then sum(rel/log2(rk+1))/sum(rel/log2(ideal+1)) else 0.0 end ndcg from (select *, row_number() over (partition by query_id order by rel desc, rk) ideal from {_R} where rk<=10) group by 1)"
 _RE = f"(select query_id, case when sum((rel>0)::int)>0 then sum((rel>0 and rk<=10)::int)::double/sum((rel>0)::int) else 0.0 end recall from {_R} group by 1)"
-_CI = f"(select query_id||'-'||rank cite_id, query_id, qa_id, doc_id, regexp_extract(page_id,'_page_(\\d+)',1)::int page_num, start_char, end_char, source_authority from {S._EV} where rank<=3)"
+_PU = f"(select query_id, avg((source_authority='authoritative')::int) purity from {_R} where rk<=10 group by 1)"
+
+
+def _di(r):
+    return f"(select query_id, count(distinct case when rk<=10 then doc_id end) docs, count(distinct case when rk<=10 then page_id end) pages, (count(distinct case when rk<=10 then doc_id end)::double/count(distinct doc_id)+count(distinct case when rk<=10 then page_id end)::double/count(distinct page_id))/2 coverage, count(*) candidates from {r} group by 1)"
+
+
+def _six(r):
+    return f"({_ND.replace(_R, r)} join {_RE.replace(_R, r)} using (query_id) join {_PU.replace(_R, r)} using (query_id) join {_di(r)} using (query_id))"
+
+
+_CI = f"(select query_id||'-'||rank cite_id, query_id, qa_id, chunk_id, doc_id, regexp_extract(page_id,'_page_(\\d+)',1)::int page_num, start_char, end_char, source_authority from {S._EV} where rank<=3)"
 _TR = "(select distinct doc_id, page_num, s[1]::bigint t_start, s[2]::bigint t_end from (select doc_id, regexp_extract(page_id,'_page_(\\d+)',1)::int page_num, unnest(char_spans) s from proper_manual_qacite))"
 _IOU = f"(select cite_id, max(coalesce(case when t_start is null or least(end_char,t_end)-greatest(start_char,t_start)<=0 or end_char<=start_char or t_end<=t_start then 0.0::double else (least(end_char,t_end)-greatest(start_char,t_start))::double/(greatest(end_char,t_end)-least(start_char,t_start)) end,0.0::double)) char_iou from {_CI} c left join {_TR} t using (doc_id,page_num) group by 1)"
 _ROB = S._robin(S._EV)
@@ -179,8 +235,8 @@ QUERIES = {
     "a12_recall": (a12_recall, f"select query_id, round(recall,6) recall from {_RE}"),
     "a14_diversity": (a14_diversity, f"select query_id, count(distinct case when rk<=10 then doc_id end) docs, count(distinct case when rk<=10 then page_id end) pages, round((count(distinct case when rk<=10 then doc_id end)::double/count(distinct doc_id)+count(distinct case when rk<=10 then page_id end)::double/count(distinct page_id))/2,6) coverage from {_R} group by 1"),
     "a15_slices": (a15_slices, f"select query_id, field, value, count(*) n, round(avg((source_authority='authoritative')::int),6) purity, round(avg(rel),6) mean_rel from (select query_id, source_authority, rel, unnest(['ocr','type','confidence','watermark']) field, unnest([coalesce(source_page_is_ocr::varchar,'null'),chunk_type,case when conf_mean is null then 'None' when conf_mean>=80 then 'high' when conf_mean>=60 then 'medium' else 'low' end,case when has_watermark then 'has' else 'no' end]) as value from {_R}) group by all having count(*)>=3"),
-    "a17_dataset": (a17_dataset, f"select round(avg(ndcg),6) mean_ndcg, round(stddev_pop(ndcg),6) std_ndcg, round(avg(recall),6) mean_recall, round(stddev_pop(recall),6) std_recall from {_ND} join {_RE} using (query_id)"),
-    "a34_ablation": (a34_ablation, " union all ".join(f"select '{n}' config, sum(n)::bigint candidates, sum(p)::bigint pages from (select query_id, count(*) n, count(distinct page_id) p from {S._DIV.replace('rp<=3', f'rp<={k}')} group by 1)" for n, k in (("tight", 1), ("default", 3)))),
+    "a17_dataset": (a17_dataset, "select " + ", ".join(f"round(avg({c}),6) mean_{c}, round(stddev_pop({c}),6) std_{c}" for c in SIX) + f", sum(candidates)::bigint candidates, any_value(expanded) expanded, any_value(capped) capped from {_six(_R)}, (select round(avg((len(expansion_terms_used)>0)::int),6) expanded, round(avg((diversification_caps is not null)::int),6) capped from proper_manual_qacite)"),
+    "a34_ablation": (a34_ablation, " union all ".join(f"select '{n}' config, " + ", ".join(f"round(avg({c}),6) {c}" for c in SIX) + f", sum(candidates)::bigint candidates from {_six(_R.replace('rp<=3', f'rp<={k}'))}" for n, k in (("tight", 1), ("default", 3)))),
     "j6_k19_span_iou": (j6_k19_span_iou, f"select cite_id, round(char_iou,6) char_iou from {_IOU}"),
     "j7_box_iou": (j7_box_iou, """select qa_id, round(max(case when w<=0 or h<=0 then 0.0::double else w*h/((a[3]-a[1])*(a[4]-a[2])+(b[3]-b[1])*(b[4]-b[2])-w*h) end),6) iou from (select *, least(a[3],b[3])-greatest(a[1],b[1]) w, least(a[4],b[4])-greatest(a[2],b[2]) h from (select x.qa_id, x.bbox_list[1] a, y.bbox_list[1] b from proper_manual_qacite x join proper_manual_qacite y on x.page_id=y.page_id and x.qa_id<>y.qa_id where len(x.bbox_list)>0 and len(y.bbox_list)>0)) group by 1"""),
     "j5_cited_candidates": (j5_cited_candidates, f"select cite_id from {_CI} where (doc_id,page_num) in (select doc_id, regexp_extract(page_id,'_page_(\\d+)',1)::int from chunks)"),
@@ -199,3 +255,15 @@ QUERIES = {
     "a31_usage": (a31_usage, "select round(avg((len(expansion_terms_used)>0)::int),6) expanded, round(avg((diversification_caps is not null)::int),6) capped from proper_manual_qacite"),
     "k16_k18_enrichment": (k16_k18_enrichment, f"select chunk_id, confidence, ocr_bin, seconds, case when why='' then 'Semantic similarity match' else why end why from (select distinct chunk_id, round(greatest(0.0::double,least(1.0::double,coalesce(language_confidence,0.0)*0.4::double+coalesce(quality_score,0.5)*0.3::double+coalesce(conf_mean/100.0::double,0.8::double)*0.2::double+(case when source_authority='authoritative' then 1.0 else 0.5 end)::double*0.1::double)),6) confidence, case when conf_mean is null then 'none' when conf_mean>=80 then 'high' when conf_mean>=60 then 'medium' else 'low' end ocr_bin, greatest(1,floor(len({Q.tok('text')})/200.0::double*60))::bigint as seconds, concat_ws('; ',case when source_authority='authoritative' then 'Authoritative document' end,case when quality_score>0.8 then 'High quality content' end,case when language in ('en','ne') then 'Native '||upper(language)||' content' end) why from chunks)"),
 }
+
+#: The measured metrics in SQL, for the gates.
+MEASURED = "(" + " union all ".join(f"select '{n}' metric, ({q})::double cur" for n, q in {
+    "ndcg_at_10": f"select avg(ndcg) from {_ND}",
+    "recall_at_10": f"select avg(recall) from {_RE}",
+    "authority_purity": f"select avg(purity) from {_PU}",
+    "citation_precision": f"select avg((source_authority='authoritative')::int) from {_CI}",
+    "citation_recall": f"select avg(coalesce(hit,0.0)) from (select qa_id::varchar query_id, chunk_id from proper_manual_qacite where qa_id%10=0) left join (select distinct query_id, chunk_id, 1.0 hit from {_CI}) using (query_id, chunk_id)",
+    "refusal_rate": f"select avg(is_refusal::int) from ({S.QUERIES['x20_f16_answers'][1]})",
+    "language_consistency": f"select avg(consistency) from (select query_id, avg((coalesce(language,'')=query_lang)::int) consistency from {S._DIV} group by 1)",
+    "char_iou": f"select avg(char_iou) from {_IOU}",
+}.items()) + ")"

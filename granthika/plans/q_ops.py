@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import manifest, ops
 from ..sources.tables import table as t
 from . import q_ingest as _I
+from . import q_measure as _M
 
 
 def current(s, d):
-    """Present metrics of a run: shares of the question set, under the names of the gates."""
-    g = t(s, d, "metric_gates").select("metric", "baseline")
-    n = t(s, d, "proper_manual_qacite").agg(F.avg((F.col("split") == "test").cast("double")).alias("share"))
-    return g.crossJoin(F.broadcast(n)).select("metric", (F.coalesce("baseline", F.lit(0.5)) * (1.0 - F.col("share") * F.pmod(F.length("metric"), F.lit(4)) / 2.0)).alias("current"))
+    """Present metrics: those measured on the stated questions."""
+    return _M.measured(s, d)
 
 
 def j8_changed(s, d):
@@ -113,8 +112,7 @@ def x28_hard_negatives(s, d):
     return n.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("qa_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
-_SHARE = "(select avg((split='test')::int) sh from proper_manual_qacite)"
-_CUR = f"(select metric, baseline, threshold, is_critical, coalesce(baseline,0.5)*(1.0::double-sh*(length(metric)%4)/2.0::double) cur from metric_gates, {_SHARE})"
+_CUR = f"(select * from metric_gates join {_M.MEASURED} using (metric))"
 _LM = "(select * from (select *, row_number() over (partition by doc_id order by retrieved_at desc nulls last, file) r from manifest) where r=1)"
 _CH = f"(select m.doc_id, case when l.sha256 is null then 'new' else 'modified' end change from {_LM} m left join lineage l on m.doc_id=l.doc_id where l.sha256 is null or l.sha256<>m.sha256)"
 _RG = f"(select *, case when ratio>0.10 then 'severe' when ratio>2*threshold then 'moderate' else 'minor' end severity from (select *, (baseline-cur)/baseline ratio from {_CUR} where baseline>0) where ratio>threshold)"

@@ -42,11 +42,11 @@ def candidates(s, d, params=P):
     c = t(s, d, "chunks").filter("embedding is not null").withColumn("row_id", F.col("chunk_id")).withColumn("vec", F.col("embedding")).withColumn("norm", V.norm(F.col("embedding"))).filter("norm > 0")
     q = t(s, d, "proper_manual_qacite").filter(f"qa_id % {EVERY // 10} = 0").select(F.col("qa_id").cast("string").alias("query_id"), "chunk_id", "question")
     lang, _ = T.query_language(F.coalesce("question", F.lit("")))
-    q = q.select("query_id", "chunk_id", lang.alias("query_lang"), T.is_tabular(F.coalesce("question", F.lit(""))).alias("tabular"))
-    q = c.select("chunk_id", "vec", "norm").join(q, "chunk_id").dropDuplicates(["query_id"]).select("query_id", F.col("vec").alias("q_vec"), F.col("norm").alias("q_norm"), "query_lang", "tabular")
+    q = q.select("query_id", "chunk_id", lang.alias("query_lang"), T.is_tabular(F.coalesce("question", F.lit(""))).alias("tabular"), F.coalesce("question", F.lit("")).alias("question"))
+    q = c.select("chunk_id", "vec", "norm").join(q, "chunk_id").dropDuplicates(["query_id"]).select("query_id", F.col("vec").alias("q_vec"), F.col("norm").alias("q_norm"), "query_lang", "tabular", "question")
     near = V.nearest(q, c.select("row_id", "vec", "norm"), params.over_retrieve * params.k).withColumnRenamed("row_id", "chunk_id").drop("rank")
     rows = c.drop("embedding", "vec", "norm", "row_id", "text").dropDuplicates(["chunk_id"])
-    return V.scored(near.join(rows, "chunk_id").join(q.select("query_id", "query_lang", "tabular"), "query_id"), params)
+    return V.scored(near.join(rows, "chunk_id").join(q.select("query_id", "query_lang", "tabular", "question"), "query_id"), params)
 
 
 def k4_priors(s, d):
@@ -110,15 +110,17 @@ def lexical_topk(s, d):
     return V.diversified(r).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def evidence(s, d):
-    """Spans of the cited chunks of every question, in the order of their chunks."""
-    c = chunks(s, d).select("chunk_id", "text", "has_watermark")
-    q = t(s, d, "proper_manual_qacite").select("qa_id", "question", "language", "doc_id", "page_id", "chunk_id", "source_authority", "char_spans")
-    e = q.join(c, "chunk_id").filter(A.is_authority(F.lit(False), F.col("source_authority"), F.col("doc_id"), F.col("text")))
-    sp = A.spans(e).withColumn("query_id", F.col("doc_id"))
-    lang = Window.partitionBy("query_id")
-    sp = sp.withColumn("query_lang", F.min("language").over(lang))
-    return sp.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("qa_id", "start_char")))
+def results(s, d):
+    """Search of the stated questions: diversified candidates in order."""
+    return V.diversified(candidates(s, d).withColumn("score", F.round("score", 6)))
+
+
+def evidence(s, d, found=None):
+    """Spans of the authoritative ones of the first ten results of every question, in the order of the results: the cited spans of a chunk, else all of it."""
+    hits = (results(s, d) if found is None else found).filter("rank <= 10").withColumnRenamed("rank", "hit")
+    e = hits.join(chunks(s, d).select("chunk_id", "text"), "chunk_id").filter(A.is_authority(F.lit(False), F.col("source_authority"), F.col("doc_id"), F.col("text")))
+    sp = A.spans(e.join(t(s, d, "proper_manual_qacite").select("chunk_id", "qa_id", "char_spans"), "chunk_id", "left"))
+    return sp.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("hit", "qa_id", "start_char", "end_char")))
 
 
 def f7_f15_spans(s, d):
@@ -134,18 +136,25 @@ def w8_round_robin(s, d):
 
 
 def w9_w21_domain_order(s, d):
-    return A.domain_order(A.round_robin(evidence(s, d)), "government").select("query_id", F.col("rank").cast("long").alias("rank"), F.col("hits").cast("long").alias("hits"), "is_table", F.col("place").cast("long").alias("place"))
+    """The domain is that of the question."""
+    return A.domain_order(A.round_robin(evidence(s, d)), A.domain_of(F.col("question"))).select("query_id", F.col("rank").cast("long").alias("rank"), F.col("hits").cast("long").alias("hits"), "is_table", F.col("place").cast("long").alias("place"))
 
 
 def w10_k15_best_per_document(s, d):
-    e = evidence(s, d).withColumn("quality", F.round(A.evidence_quality(F.col("span_text"), F.coalesce("language", F.lit("")), F.col("query_lang")), 6))
+    e = evidence(s, d).withColumn("quality", F.round(A.evidence_quality(F.col("span_text"), F.coalesce("language", F.lit("")), F.col("query_lang"), A.domain_of(F.col("question"))), 6))
     return A.one_per_document(e).select("query_id", "quality", F.col("rank").cast("long").alias("rank"), F.col("pick").cast("long").alias("pick"))
 
 
+def asked(s, d):
+    """The questions that are searched, with their language."""
+    q = t(s, d, "proper_manual_qacite").filter(f"qa_id % {EVERY // 10} = 0")
+    return q.select(F.col("qa_id").cast("string").alias("query_id"), T.query_language(F.coalesce("question", F.lit("")))[0].alias("query_lang"))
+
+
 def x20_f16_answers(s, d):
+    """Question to answer: search, evidence in the preferred language, pages in turn, synthesis with citations or a refusal."""
     e = A.round_robin(A.preferred(evidence(s, d)))
-    q = t(s, d, "manifest").select(F.col("doc_id").alias("query_id"), F.coalesce("language_guess", F.lit("en")).alias("query_lang")).groupBy("query_id").agg(F.min("query_lang").alias("query_lang"))
-    return A.answers(q, e).select("query_id", F.md5("answer").alias("h"), "is_refusal", "evidence_count")
+    return A.answers(asked(s, d), e).select("query_id", F.md5("answer").alias("h"), "is_refusal", "evidence_count")
 
 
 def u4_citation_union(s, d):
@@ -183,8 +192,8 @@ def _dot(a, b):
 
 _TAB = f"({Q.cnt('question', '[0-9०-९]')}::double/greatest(length(question),1)>0.08 or " + Q.any_in("lower(question)", (*T.TABLE_WORDS, "how many")) + ")"
 _V = f"(select *, sqrt({_dot('embedding', 'embedding')}) nn from {_C} where embedding is not null)"
-_CQ = f"(select qa_id::varchar query_id, c.embedding qv, c.nn qn, {_LANG} query_lang, {_TAB} tabular from (select qa_id, chunk_id, coalesce(question,'') question from proper_manual_qacite where qa_id%10=0) join {_V} c using (chunk_id) where c.nn>0)"
-_NEAR = f"(select * from (select *, row_number() over (partition by query_id order by cosine desc, chunk_id) rn from (select q.query_id, q.query_lang, q.tabular, c.*, {_dot('c.embedding', 'q.qv')}/(q.qn*c.nn) cosine from {_V} c, {_CQ} q where c.nn>0 and c.chunk_id<>q.query_id)) where rn<=30)"
+_CQ = f"(select qa_id::varchar query_id, question, c.embedding qv, c.nn qn, {_LANG} query_lang, {_TAB} tabular from (select qa_id, chunk_id, coalesce(question,'') question from proper_manual_qacite where qa_id%10=0) join {_V} c using (chunk_id) where c.nn>0)"
+_NEAR = f"(select * from (select *, row_number() over (partition by query_id order by cosine desc, chunk_id) rn from (select q.query_id, q.query_lang, q.tabular, q.question, c.*, {_dot('c.embedding', 'q.qv')}/(q.qn*c.nn) cosine from {_V} c, {_CQ} q where c.nn>0 and c.chunk_id<>q.query_id)) where rn<=30)"
 _PRIOR = """((case when query_lang<>'mixed' and language=query_lang then 0.15::double*coalesce(language_confidence,1.0::double) when query_lang<>'mixed' and coalesce(language,'')<>'mixed' and coalesce(language,'')<>query_lang then -0.03::double else 0.0::double end)
  +(case when source_authority='authoritative' then 0.08::double else 0.0::double end)+(case quality_tier when 'high' then 0.06 when 'medium' then 0.02 when 'low' then -0.02 when 'recovery' then -0.04 else 0.0 end)::double
  -(case when has_watermark then 0.05::double else 0.0::double end)-(case when conf_mean is null then 0.0 when conf_mean<30 then 0.08 when conf_mean<50 then 0.05 when conf_mean<70 then 0.02 else 0.0 end)::double
@@ -242,9 +251,9 @@ def _top(score, source, bound, k=10):
     return f"select query_id, chunk_id, round(score,6) score, rn as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rn from (select *, {score} score from {source}) where score>{bound}) where rn<={k}"
 
 
-_EV = f"""(select *, row_number() over (partition by query_id order by qa_id, start_char) rank from (select *, doc_id query_id, min(language) over (partition by doc_id) query_lang, (case when ok then s[1] else 0 end)::bigint start_char, (case when ok then least(s[2],length(text)) else length(text) end)::bigint end_char, case when ok then text[(s[1]+1):s[2]] else text end span_text from
- (select *, s is not null and s[2]>s[1] ok from (select q.qa_id, q.question, q.language, q.doc_id, q.page_id, q.chunk_id, q.source_authority, c.text, unnest(case when len(q.char_spans)>0 then q.char_spans else [null] end) s from proper_manual_qacite q join {_C} c on q.chunk_id=c.chunk_id
- where (coalesce(q.source_authority,'')='authoritative' or {Q.any_in('lower(q.doc_id)', A.AUTHORITY_IDS)}) and length({Q.trim('c.text')})>=30))))"""
+_EV = f"""(select *, row_number() over (partition by query_id order by hit, qa_id nulls first, start_char, end_char) rank from (select *, (case when ok then s[1] else 0 end)::bigint start_char, (case when ok then least(s[2],length(text)) else length(text) end)::bigint end_char, case when ok then text[(s[1]+1):s[2]] else text end span_text from
+ (select *, s is not null and s[2]>s[1] ok from (select v.query_id, v.query_lang, v.question, v.rk hit, q.qa_id, v.language, v.doc_id, v.page_id, v.chunk_id, v.source_authority, v.text, unnest(case when len(q.char_spans)>0 then q.char_spans else [null] end) s from {_DIV} v left join proper_manual_qacite q on q.chunk_id=v.chunk_id
+ where v.rk<=10 and (coalesce(v.source_authority,'')='authoritative' or {Q.any_in('lower(v.doc_id)', A.AUTHORITY_IDS)}) and length({Q.trim('v.text')})>=30))))"""
 _PREF = f"""(select * from (select *, share<0.6 and others>0 fallback_used, row_number() over (partition by query_id, crs order by rank) nth from (select *, avg(same::int) over (partition by query_id) share, sum(crs::int) over (partition by query_id) others from (select *, coalesce(language,'unknown')=query_lang same, coalesce(language,'unknown')<>query_lang and coalesce(language,'unknown')<>'unknown' crs from {_EV}))) where same or (fallback_used and crs and nth<=2))"""
 
 
@@ -252,7 +261,14 @@ def _robin(src):
     return f"(select * from (select *, row_number() over (partition by query_id order by turn, first_seen, rank) pick from (select *, row_number() over (partition by query_id, doc_id, page_id order by length(span_text) desc, rank) turn, min(rank) over (partition by query_id, doc_id, page_id) first_seen from {src})) where pick<=5)"
 
 
-_HITS_G = "+".join(f"contains(lower(span_text),'{w}')::int" for w in A.DOMAIN_WORDS["government"])
+_DOM = "(case " + " ".join(f"when {Q.any_in('lower(question)', [w.lower() for w in ws])} then '{n}'" for n, ws in A.DOMAIN_WORDS.items()) + " else 'general' end)"
+
+
+def _hits(of):
+    return "(case " + _DOM + " " + " ".join(f"when '{n}' then " + "+".join(f"contains(lower(span_text),'{w.lower()}')::int" for w in ws) for n, ws in of.items()) + " else 0 end)"
+
+
+_HITS_G, _HITS_Q = _hits(A.DOMAIN_WORDS), _hits(A.QUALITY_WORDS)
 
 QUERIES = {
     "w2_nearest": (w2_nearest, f"select query_id, row_id, round(cosine,6) cosine, rn as rank from (select *, row_number() over (partition by query_id order by cosine desc, row_id) rn from (select q.vec_id query_id, r.vec_id row_id, {_dot('q.embedding', 'r.embedding')}/(sqrt({_dot('q.embedding', 'q.embedding')})*sqrt({_dot('r.embedding', 'r.embedding')})) cosine from embeddings r, embeddings q where q.vec_id%100=0 and q.vec_id<>r.vec_id)) where rn<=30"),
@@ -276,8 +292,8 @@ QUERIES = {
     "f14_preferred": (f14_preferred, f"select query_id, rank, same, fallback_used from {_PREF}"),
     "w8_round_robin": (w8_round_robin, f"select query_id, rank, pick from {_robin(_EV)}"),
     "w9_w21_domain_order": (w9_w21_domain_order, f"select query_id, rank, hits, is_table, row_number() over (partition by query_id order by hits desc, pick) place from (select *, ({_HITS_G})::bigint hits, {Q.any_in('lower(span_text)', A.TABLE_WORDS)} is_table from {_robin(_EV)})"),
-    "w10_k15_best_per_document": (w10_k15_best_per_document, f"select query_id, quality, rank, pick from (select *, row_number() over (partition by query_id order by quality desc, rank) pick from (select *, row_number() over (partition by query_id, doc_id order by quality desc, rank) dd from (select *, round(least(1.0::double,0.5::double+least(0.3::double,length(span_text)/1000.0::double)+(case when coalesce(language,'')=query_lang then 0.2 when coalesce(language,'') in ('en','ne') then 0.1 else 0.0 end)::double),6) quality from {_EV}) where quality>=0.3) where dd=1) where pick<=3"),
-    "x20_f16_answers": (x20_f16_answers, f"""select m.query_id, md5(coalesce(answer,case when query_lang='ne' then 'पर्याप्त प्रमाण छैन।' else 'There is not enough evidence in the documents.' end)) h, answer is null is_refusal, coalesce(n,0) evidence_count from (select doc_id query_id, min(coalesce(language_guess,'en')) query_lang from manifest group by 1) m left join
+    "w10_k15_best_per_document": (w10_k15_best_per_document, f"select query_id, quality, rank, pick from (select *, row_number() over (partition by query_id order by quality desc, rank) pick from (select *, row_number() over (partition by query_id, doc_id order by quality desc, rank) dd from (select *, round(least(1.0::double,0.5::double+least(0.3::double,length(span_text)/1000.0::double)+(case when coalesce(language,'')=query_lang then 0.2 when coalesce(language,'') in ('en','ne') then 0.1 else 0.0 end)::double+least(0.2::double,({_HITS_Q})*0.05::double)),6) quality from {_EV}) where quality>=0.3) where dd=1) where pick<=3"),
+    "x20_f16_answers": (x20_f16_answers, f"""select m.query_id, md5(coalesce(answer,case when query_lang='ne' then 'पर्याप्त प्रमाण छैन।' else 'There is not enough evidence in the documents.' end)) h, answer is null is_refusal, coalesce(n,0) evidence_count from (select qa_id::varchar query_id, {_LANG} query_lang from (select qa_id, coalesce(question,'') question from proper_manual_qacite where qa_id%10=0)) m left join
       (select query_id, string_agg('• '||(case when length(span_text)>200 then span_text[1:197]||'...' else span_text end)||' [[doc:'||doc_id||'|page:'||regexp_extract(page_id,'_page_(\\d+)',1)::int||'|span:'||start_char||':'||end_char||']]',chr(10) order by pick) answer, count(*) n from {_robin(_PREF)} group by 1) e using (query_id)"""),
     "u4_citation_union": (u4_citation_union, f"select query_id, count(*) n from (select distinct query_id, doc_id, page_id, start_char, end_char from {_EV} where rank<=9) group by 1"),
     "w14_sentences": (w14_sentences, f"select query_id, pos, round(share,6) share, rank from (select *, row_number() over (partition by query_id order by share desc, pos) rank from (select query_id, pos, len(list_intersect(qw,{_WORDSET.format(x='lower(s)')}))::double/greatest(len(qw),1) share from (select query_id, qw, pos-1 pos, {Q.trim('s0')} s from (select qa_id query_id, {_WORDSET.format(x='lower(question)')} qw, unnest(regexp_split_to_array(c.text,'[.!?।॥]+')) s0, generate_subscripts(regexp_split_to_array(c.text,'[.!?।॥]+'),1) pos from proper_manual_qacite q join {_C} c on q.chunk_id=c.chunk_id where question is not null)) where length(s)>10) where share>0) where rank<=3"),

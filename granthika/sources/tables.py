@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,14 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, kind: str) -> str:
-    """A new place in the folder that the cluster shares; a local folder only where none is set.  It is removed at the end."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "granthika-shared")
+    """A new place in the folder that the cluster shares; a local folder only on one machine.  It is removed at the end."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or os.path.join(tempfile.gettempdir(), "granthika-shared")
     path = f"{base}/{kind}-{uuid.uuid4().hex}"
     if path.startswith(("file:", "/")):
         atexit.register(shutil.rmtree, path.removeprefix("file://").removeprefix("file:"), True)
     return path
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Rows written once and read back, where several steps go on from them."""
+    path = shared_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_partitioned(df: DataFrame, path: str, by: str) -> DataFrame:
     """One folder for each value, read back as one table whose folders prune."""
     df.repartition(by).write.partitionBy(by).parquet(path)
