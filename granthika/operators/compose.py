@@ -168,11 +168,6 @@ def creation_method(p: DataFrame) -> DataFrame:
     return p.withColumn("method", F.when(F.col("has_image") & (F.col("coverage") < 0.1), "ocr_scanned").when((F.col("fonts") > 10) & (F.col("coverage") > 0.3), "mixed").otherwise("born_digital"))
 
 
-def rotation_and_alpha(flags: Column, colour: Column) -> tuple[Column, Column]:
-    """15 degrees for italic spans, else none; opacity from the colour, black being whole."""
-    return F.when(flags.bitwiseAND(F.lit(64)) != 0, 15.0).otherwise(0.0), F.when(colour == 0, 1.0).otherwise(F.least(F.lit(1.0), colour / 16777215.0))
-
-
 def snapshot(df: DataFrame, root: str, version: str) -> DataFrame:
     """R2: a version in its own folder; an older one is read again to go back."""
     df.write.mode("overwrite").parquet(f"{root}/version={version}")

@@ -15,8 +15,25 @@ def span_objects(blocks: DataFrame) -> DataFrame:
 #: Page size in points where the source gives none.
 WIDTH, HEIGHT = 595.0, 842.0
 #: Thresholds and texts of watermarks.
-AREA, OFTEN, LARGE, MICRO = 0.25, 0.3, 24.0, 6.0
-MARKS = (r"(^|[^\w])(confidential|draft|copy|duplicate|sample|watermark|preview|not for distribution|internal use|preliminary|copyright|proprietary|restricted|classified)([^\w]|$)", "©")
+AREA, OFTEN, LARGE, MICRO, TURNED, FAINT = 0.25, 0.3, 24.0, 6.0, 10.0, 0.5
+MARKS = (
+    r"(?i)\b(confidential|draft|copy|duplicate|sample|watermark|preview)\b",
+    r"(?i)\b(not for distribution|internal use|preliminary)\b",
+    r"(?i)\b(copyright|©|\(c\))\b",
+    r"(?i)\b(proprietary|restricted|classified)\b",
+)
+
+
+def rotation_and_alpha(flags: Column, colour: Column) -> tuple[Column, Column]:
+    """15 degrees for italic spans, else none; opacity from the colour, black being whole."""
+    return F.when(flags.bitwiseAND(F.lit(64)) != 0, 15.0).otherwise(0.0), F.when(colour == 0, 1.0).otherwise(F.least(F.lit(1.0), colour / 16777215.0))
+
+
+def turned(objects: DataFrame) -> DataFrame:
+    """Objects with rotation and alpha: from their flags and colour where they have them, else from a font that is named italic, in black."""
+    flags = F.col("flags") if "flags" in objects.columns else F.when(F.lower("font").rlike("italic|oblique"), 64).otherwise(0)
+    rotation, alpha = rotation_and_alpha(flags, F.col("colour") if "colour" in objects.columns else F.lit(0))
+    return objects.withColumn("rotation", rotation).withColumn("alpha", alpha)
 
 
 def signature(text: Column, font: Column, size: Column, bbox: Column) -> Column:
@@ -33,15 +50,19 @@ def signature_frequency(objects: DataFrame) -> DataFrame:
 
 
 def drop_reasons(objects: DataFrame) -> DataFrame:
-    """Why an object may be a watermark, by size, frequency, text, font and place."""
-    o = objects.withColumn("sig", signature(F.col("text"), F.col("font"), F.col("size"), F.col("bbox")))
+    """Why an object may be a watermark, by rotation, opacity, size, frequency, text, font and place."""
+    o = turned(objects).withColumn("sig", signature(F.col("text"), F.col("font"), F.col("size"), F.col("bbox")))
     o = o.join(signature_frequency(objects).select("doc_id", "sig", "frequency"), ["doc_id", "sig"])
-    b, low, size = F.col("bbox"), F.lower("text"), F.col("size")
+    b, size, marked = F.col("bbox"), F.col("size"), F.lit(False)
+    for m in MARKS:
+        marked = marked | F.col("text").rlike(m)
     x, y = (b[0] + b[2]) / 2 / WIDTH, (b[1] + b[3]) / 2 / HEIGHT
     reasons = F.array(
+        F.when(F.abs("rotation") > TURNED, "rotation"),
+        F.when(F.col("alpha") < FAINT, "alpha"),
         F.when((b[2] - b[0]) * (b[3] - b[1]) / (WIDTH * HEIGHT) > AREA, "large_area"),
         F.when(F.col("frequency") >= OFTEN, "frequent"),
-        F.when(low.rlike(MARKS[0]) | F.contains(low, F.lit(MARKS[1])), "text_pattern"),
+        F.when(marked, "text_pattern"),
         F.when((size > LARGE) & F.contains(F.lower("font"), F.lit("bold")), "large_bold_font"),
         F.when(F.lower("font").rlike("script|display|decorative"), "decorative_font"),
         F.when(size < MICRO, "micro_text"),

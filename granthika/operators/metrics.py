@@ -59,10 +59,14 @@ def span_iou(cited: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 5) -> DataFrame:
-    """Equal-width bins over the column's range, the last one closed."""
-    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
-    b = df.filter(F.col(col).isNotNull()).join(F.broadcast(r)).withColumn("bin", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(col) - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1))).otherwise(0).cast("long"))
-    return b.groupBy("bin").agg(F.count("*").alias("n"))
+    """Equal-width bins over the column's range by their labels, empty ones too, the last one closed; of bins of one label the last stays."""
+    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).filter("lo IS NOT NULL")
+    width = (F.col("hi") - F.col("lo")) / bins
+    above = sum(((F.col(col) >= F.col("lo") + i * width).cast("int") for i in range(1, bins)), F.lit(0))
+    n = df.filter(F.col(col).isNotNull()).crossJoin(F.broadcast(r)).groupBy(F.when(F.col("hi") > F.col("lo"), above).otherwise(0).alias("bin")).agg(F.count("*").alias("n"))
+    places = r.withColumn("bin", F.explode(F.when(F.col("hi") > F.col("lo"), F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))))
+    label = F.when(F.col("hi") > F.col("lo"), F.format_string("%.2f-%.2f", F.col("lo") + F.col("bin") * width, F.col("lo") + (F.col("bin") + 1) * width)).otherwise(F.format_string("%.2f", "lo"))
+    return places.join(n, "bin", "left").select(label.alias("label"), "bin", F.coalesce("n", F.lit(0)).alias("n")).groupBy("label").agg(F.max_by("n", "bin").alias("n"))
 
 
 def shares(df: DataFrame, col: str) -> DataFrame:

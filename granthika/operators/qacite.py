@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Words that are no key terms.
-STOP = "the and for are with that this from have has was were will not but you all can may its which their been any into who how what when where why".split()
+#: Words that are no key terms, by language.
+STOP = {
+    "en": ["the", "and", "for", "are", "was", "with", "this", "that", "have", "from", "they", "been", "said", "what", "were"],
+    "ne": ["र", "को", "का", "की", "ले", "मा", "लाई", "बाट", "सँग", "छ", "हो", "भए", "गर्न"],
+}
 
 
 def qa_sources(blocks: DataFrame, least_conf: float = 45.0, least_length: int = 50) -> DataFrame:
@@ -72,9 +75,13 @@ def clean_display(c: Column) -> Column:
     return T.trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}]", ""), r"\[TABLE[^\]]*\]", ""), r"\s+", " "))
 
 
-def key_terms(df: DataFrame, id_col: str, text: str, most: int = 5) -> DataFrame:
-    """W13, X15, A-counts: words of three letters or more by length times count, the first five a text."""
-    w = df.select(id_col, F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{3,})"), 1)).alias("term")).filter(~F.col("term").isin(STOP))
+def key_terms(df: DataFrame, id_col: str, text: str, language: str, most: int = 5) -> DataFrame:
+    """W13, X15, A-counts: words of three letters or more, neither numbers nor stop words of the text's language, by length times count, the first five a text."""
+    w = df.select(id_col, F.coalesce(language, F.lit("")).alias("_l"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}\p{N}_]{3,})"), 1)).alias("term"))
+    stop = F.lit(False)
+    for name, words in STOP.items():
+        stop = stop | ((F.col("_l") == name) & F.col("term").isin(words))
+    w = w.filter(~stop & ~F.col("term").rlike(r"^\p{Nd}+$")).drop("_l")
     n = w.groupBy(id_col, "term").agg(F.count("*").alias("n")).withColumn("score", (F.length("term") * F.col("n")).cast("long"))
     win = Window.partitionBy(id_col).orderBy(F.desc("score"), "term")
     return n.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= most)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,6 +32,12 @@ def hashed_embedding(dim: int = 64):
     return embed
 
 
+@F.pandas_udf("string")
+def composed(texts: pd.Series) -> pd.Series:
+    """Texts in composed form (NFC), in Arrow batches."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def query_segments():
     """Runs of each script with offsets; a Latin run counts where it has more than two characters and meets no Devanagari run."""
 

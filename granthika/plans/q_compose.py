@@ -103,8 +103,9 @@ def k24_creation(s, d):
 
 
 def k30_rotation(s, d):
-    r, a = C.rotation_and_alpha(F.col("event_id").cast("int"), F.col("user_id") * 1000)
-    return t(s, d, "events").select("event_id", r.alias("rotation"), F.round(a, 6).alias("alpha"))
+    """Spans by rotation and opacity, estimated from the font."""
+    o = layout.turned(layout.span_objects(ops.latest(t(s, d, "corpus_blocks"), "block_id", "ingested_at")))
+    return o.groupBy("rotation", "alpha").agg(F.count("*").alias("n"), F.countDistinct("font").alias("fonts"))
 
 
 def f5_authority(s, d):
@@ -190,7 +191,7 @@ QUERIES = {
     "m3_signature_index": (m3_signature_index, None),
     "m4_neutral_scores": (m4_neutral_scores, f"select 0.5::double rerank_score, count(*) n from {_P}"),
     "k24_creation": (k24_creation, f"select case when has_image and coverage<0.1 then 'ocr_scanned' when coalesce(f,0)>10 and coverage>0.3 then 'mixed' else 'born_digital' end as method, count(*) n from {_I._TYPED} p left join (select page_id, count(distinct font) f from {_I._OBJECTS} group by 1) o using (page_id) join (select page_id, bool_or(coalesce(source_page_is_ocr,false)) has_image from {_I._LATEST} group by 1) i using (page_id) group by 1"),
-    "k30_rotation": (k30_rotation, "select event_id, case when event_id::int & 64 <> 0 then 15.0::double else 0.0::double end rotation, round(case when user_id=0 then 1.0::double else least(1.0::double,user_id*1000/16777215.0::double) end,6) alpha from events"),
+    "k30_rotation": (k30_rotation, f"select case when regexp_matches(lower(font),'italic|oblique') then 15.0 else 0.0 end::double rotation, 1.0::double alpha, count(*) n, count(distinct font) fonts from {_I._OBJECTS} group by 1"),
     "k10_lexical_simple": (Z._lexical("simple"), Z._top("+".join([Z._w("contains(t,q)", "25.0"), f"coalesce({Z._phr(5, 5.0, 2.0)},0.0::double)", f"{Z._JAC}*15.0::double", f"{Z._COV}*10.0::double", Z._w("regexp_matches(text,'\\([0-9०-९]+\\)')", "4.0"), Z._w("regexp_matches(t,'(article|section) [0-9०-९]+')", "3.0")]), Z._BOTH, 2.0)),
     "f5_authority": (f5_authority, "select distinct chunk_id, doc_id from chunks where source_authority='authoritative'"),
     "f8_enhanced_authority": (f8_enhanced_authority, "select distinct chunk_id from chunks where (not coalesce(is_distractor,false) or regexp_matches(doc_id,'^(act|notice|guideline|report)')) and coalesce(language,'unknown') in ('ne','unknown') and length(text)>=30"),

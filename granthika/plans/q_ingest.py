@@ -225,7 +225,7 @@ QUERIES = {
     "x11_hashes": (x11_hashes, "select doc_id, sha256(text) sha, md5(text) md5 from documents where text is not null"),
     "a3_confusion": (a3_confusion, "select count(*) filter (a and not d) auth_plain, count(*) filter (a and d) auth_distractor, count(*) filter (not a and not d) other_plain, count(*) filter (not a and d) other_distractor from (select authority='authoritative' a, coalesce(is_distractor,false) d from manifest)"),
     "a9_signatures": (a9_signatures, f"select doc_id, md5(sig) sig, n, round(frequency,6) frequency from {_FREQ} where n>1"),
-    "k25_drop_reasons": (k25_drop_reasons, f"""select reason, count(*) n from (select unnest(list_filter([case when (bbox[3]-bbox[1])*(bbox[4]-bbox[2])/(595.0::double*842.0)>0.25 then 'large_area' end, case when frequency>=0.3 then 'frequent' end, case when regexp_matches(lower(text),'{layout.MARKS[0]}') or contains(lower(text),'©') then 'text_pattern' end, case when size>24 and contains(lower(font),'bold') then 'large_bold_font' end, case when regexp_matches(lower(font),'script|display|decorative') then 'decorative_font' end, case when size<6 then 'micro_text' end, case when x>0.3 and x<0.7 and y>0.3 and y<0.7 and size>24 then 'centred_large' end, case when (y<0.1 or y>0.9) and frequency>=0.15 then 'edge_frequent' end],lambda v: v is not null)) reason from (select o.*, f.frequency, (bbox[1]+bbox[3])/2/595.0::double x, (bbox[2]+bbox[4])/2/842.0::double y from {_SIGS} o join {_FREQ} f on o.doc_id=f.doc_id and o.sig=f.sig)) group by 1"""),
+    "k25_drop_reasons": (k25_drop_reasons, f"""select reason, count(*) n from (select unnest(list_filter([case when (bbox[3]-bbox[1])*(bbox[4]-bbox[2])/(595.0::double*842.0)>0.25 then 'large_area' end, case when frequency>=0.3 then 'frequent' end, case when regexp_matches(lower(font),'italic|oblique') then 'rotation' end, case when {' or '.join(f"regexp_matches(text,'{m}')" for m in layout.MARKS)} then 'text_pattern' end, case when size>24 and contains(lower(font),'bold') then 'large_bold_font' end, case when regexp_matches(lower(font),'script|display|decorative') then 'decorative_font' end, case when size<6 then 'micro_text' end, case when x>0.3 and x<0.7 and y>0.3 and y<0.7 and size>24 then 'centred_large' end, case when (y<0.1 or y>0.9) and frequency>=0.15 then 'edge_frequent' end],lambda v: v is not null)) reason from (select o.*, f.frequency, (bbox[1]+bbox[3])/2/595.0::double x, (bbox[2]+bbox[4])/2/842.0::double y from {_SIGS} o join {_FREQ} f on o.doc_id=f.doc_id and o.sig=f.sig)) group by 1"""),
     "k23_page_types": (k23_page_types, f"select page_id, n_chars::bigint n_chars, n_words::bigint n_words, n_blocks::bigint n_blocks, round(coverage,6) coverage, page_type from {_TYPED}"),
     "a8_page_type_summary": (a8_page_type_summary, f"select page_type, count(*) n, sum(n_chars)::bigint chars from {_TYPED} group by 1"),
     "w11_first_chunk": (w11_first_chunk, "select doc_id, min(chunk_id) chunk_id from chunks where length(text)>100 group by 1"),

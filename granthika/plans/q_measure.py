@@ -150,10 +150,14 @@ def a20_refusals(s, d):
 
 
 def a22_language_analytics(s, d):
-    e = S.evidence(s, d)
+    """Language agreement and other languages in the first 5 and 10, over all questions and by the question's domain."""
+    e = S.evidence(s, d).withColumn("domain", A.domain_of(F.col("question")))
     same = F.coalesce("language", F.lit("")) == F.col("query_lang")
-    g = e.groupBy("query_id").agg(F.count("*").alias("n"), F.avg(same.cast("double")).alias("share"), F.sum(F.when((F.col("rank") <= 5) & ~same, 1).otherwise(0)).alias("c5"))
-    return g.agg(F.round(F.avg("share"), 6).alias("same_rate"), F.round(F.avg(F.when(F.col("n") >= 5, F.col("c5") / 5.0).otherwise(0.0)), 6).alias("cross_5"))
+    cross = lambda k: F.sum(F.when((F.col("rank") <= k) & ~same, 1).otherwise(0))
+    g = e.groupBy("query_id", "domain").agg(F.count("*").alias("n"), F.avg(same.cast("double")).alias("share"), cross(5).alias("c5"), cross(10).alias("c10"))
+    rate = lambda k: F.round(F.avg(F.when(F.col("n") >= k, F.col(f"c{k}") / float(k)).otherwise(0.0)), 6).alias(f"cross_{k}")
+    both = g.withColumn("domain", F.explode(F.array(F.lit("all"), "domain")))
+    return both.groupBy("domain").agg(F.count("*").alias("queries"), F.round(F.avg("share"), 6).alias("same_rate"), rate(5), rate(10))
 
 
 def a23_shares(s, d):
@@ -244,9 +248,9 @@ QUERIES = {
     "x12_citations": (x12_citations, f"select query_id, i-1 pos, regexp_extract(x,'doc:([^|]+)',1) doc_id, regexp_extract(x,'page:(\\d+)',1)::bigint page_num, regexp_extract(x,'span:(\\d+)',1)::bigint start_char, regexp_extract(x,'span:\\d+:(\\d+)',1)::bigint end_char from (select query_id, unnest(regexp_extract_all(answer,'\\[\\[doc:[^|]+\\|page:\\d+\\|span:\\d+:\\d+\\]\\]')) x, generate_subscripts(regexp_extract_all(answer,'\\[\\[doc:[^|]+\\|page:\\d+\\|span:\\d+:\\d+\\]\\]'),1) i from {_ANS})"),
     "a19_faithfulness": (a19_faithfulness, f"select query_id, round(case when {_REF} then 1.0::double when n_cites=0 then 0.0::double else n_auth::double/n_cites end,6) faithfulness, c claims, least(c,n_auth)::bigint supported from (select *, len(list_filter(string_split(answer,'.'),lambda v: trim(v)<>'')) c from {_ANS})"),
     "a20_refusals": (a20_refusals, "select " + ", ".join(f"round(sum((qa_id<={k} and r)::int)::double/least({k},count(*)),6) at_{k}" for k in (1, 3, 5, 10)) + ", round(avg(r::int),6) rate from (select qa_id, coalesce(answer_exact,'')='' r from proper_manual_qacite)"),
-    "a22_language_analytics": (a22_language_analytics, f"select round(avg(sh),6) same_rate, round(avg(case when n>=5 then c/5.0::double else 0.0::double end),6) cross_5 from (select query_id, count(*) n, avg((coalesce(language,'')=query_lang)::int) sh, sum((rank<=5 and coalesce(language,'')<>query_lang)::int) c from {S._EV} group by 1)"),
+    "a22_language_analytics": (a22_language_analytics, f"select domain, count(*) queries, round(avg(sh),6) same_rate, round(avg(case when n>=5 then c5/5.0::double else 0.0::double end),6) cross_5, round(avg(case when n>=10 then c10/10.0::double else 0.0::double end),6) cross_10 from (select *, unnest(['all',dm]) as domain from (select query_id, {S._DOM} dm, count(*) n, avg((coalesce(language,'')=query_lang)::int) sh, sum((rank<=5 and coalesce(language,'')<>query_lang)::int) c5, sum((rank<=10 and coalesce(language,'')<>query_lang)::int) c10 from {S._EV} group by 1,2)) group by 1"),
     "a23_shares": (a23_shares, "select coalesce(language,'none') as language, count(*) n, round(count(*)::double/sum(count(*)) over (),6) share from proper_manual_qacite group by 1"),
-    "a24_histogram": (a24_histogram, "select least(floor((quality_score-lo)/((hi-lo)/5)),4)::bigint bin, count(*) n from chunks, (select min(quality_score) lo, max(quality_score) hi from chunks) where quality_score is not null group by 1"),
+    "a24_histogram": (a24_histogram, "select label, arg_max(n, bin) n from (select case when hi>lo then printf('%.2f-%.2f',lo+bin*w,lo+(bin+1)*w) else printf('%.2f',lo) end as label, bin, coalesce(n,0) n from (select *, (hi-lo)/5 w, unnest(case when hi>lo then range(5) else [0] end) bin from (select min(quality_score) lo, max(quality_score) hi from chunks)) left join (select case when hi>lo then " + "+".join(f"(quality_score>=lo+{i}*((hi-lo)/5))::int" for i in range(1, 5)) + " else 0 end bin, count(*) n from chunks, (select min(quality_score) lo, max(quality_score) hi from chunks) where quality_score is not null group by 1) using (bin)) group by 1"),
     "a25_describe": (a25_describe, "select round(avg(quality_score),6) mean, round(stddev_pop(quality_score),6) std, min(quality_score) least, max(quality_score) most, round(median(token_count),6) median_tokens from chunks"),
     "a1_corpus_statistics": (a1_corpus_statistics, "select block_type, count(*) n, count(*) filter (source_page_is_ocr) ocr, round(avg(conf_mean),6) mean_conf, sum(tokens)::bigint tokens, round(avg(case when tokens>0 then tokens end),6) mean_tokens from corpus_blocks group by 1"),
     "a2_document_stats": (a2_document_stats, "select doc_id, n chunks, c chars, l as language from (select doc_id, count(*) n, sum(length(text))::bigint c from chunks group by 1) left join (select doc_id, language l from (select doc_id, language, row_number() over (partition by doc_id order by count(*) desc, language) r from chunks where language is not null group by all) where r=1) using (doc_id)".replace("group by all", "group by doc_id, language")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import manifest, ops
+from ..sources.tables import shared_path
 from ..sources.tables import table as t
 from . import q_ingest as _I
 from . import q_measure as _M
@@ -46,8 +47,44 @@ def j12_metric_changes(s, d):
 
 
 def k29_safety_report(s, d):
-    r = ops.regressions(t(s, d, "metric_gates"), current(s, d))
-    return r.groupBy("severity").agg(F.count("*").alias("n"), F.count_if("is_critical").alias("critical"), F.max("rollback").alias("rollback"))
+    return ops.safety_report(ops.regressions(t(s, d, "metric_gates"), current(s, d)))
+
+
+def s16_changelog(s, d):
+    """The changes of a run appended to a table of their own and read back."""
+    m = ops.latest(t(s, d, "manifest"), "doc_id", "retrieved_at", "file")
+    path = shared_path(s, "changelog")
+    ops.changelog(ops.changed(m, t(s, d, "lineage")), "run-1").write.mode("append").partitionBy("run").parquet(path)
+    return s.read.parquet(path).select("doc_id", "entry")
+
+
+def s15_metrics_table(s, d):
+    """Measured metrics appended to a table by run and read back."""
+    path = shared_path(s, "metrics")
+    current(s, d).withColumn("run", F.lit("run-1")).write.mode("append").partitionBy("run").parquet(path)
+    return s.read.parquet(path).select("metric", F.round("current", 6).alias("current"))
+
+
+def r4_upserted(s, d):
+    u = ops.upserted(t(s, d, "manifest"), t(s, d, "lineage"))
+    return u.select("doc_id", F.date_format("added_at", "yyyy-MM-dd HH:mm:ss").alias("added_at"), "sha256", "status")
+
+
+def r6_document_shards(s, d):
+    """Shards of each document, and whether its lineage is that of the present file."""
+    m = ops.latest(t(s, d, "manifest"), "doc_id", "retrieved_at", "file").select("doc_id", F.col("sha256").alias("now"))
+    l = ops.latest(t(s, d, "lineage"), "doc_id", "last_processed", "sha256")
+    return l.join(m, "doc_id", "left").select("doc_id", F.array_join(F.sort_array("shard_ids"), ",").alias("shards"), F.coalesce(F.col("sha256") == F.col("now"), F.lit(False)).alias("current"))
+
+
+def s5_json_documents(s, d):
+    """One JSON document a file's record, nested, written as texts and read back by its structure."""
+    m = t(s, d, "manifest")
+    doc = m.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.date_format("retrieved_at", "yyyy-MM-dd HH:mm:ss").alias("at"), "file", "sha256"))).alias("retrievals"))
+    path = shared_path(s, "documents")
+    doc.select(F.to_json(F.struct("doc_id", "retrievals")).alias("value")).write.text(path)
+    back = s.read.schema("doc_id string, retrievals array<struct<at: string, file: string, sha256: string>>").json(path)
+    return back.select("doc_id", F.size("retrievals").cast("long").alias("n"), F.get("retrievals", F.size("retrievals") - 1)["at"].alias("last_at"))
 
 
 def r4_latest_lineage(s, d):
@@ -66,7 +103,7 @@ def r6_shard_lookup(s, d):
 def w18_backups(s, d):
     """The manifest's retrievals of a file as backups of it."""
     b = t(s, d, "manifest").select(F.col("authority").alias("owner"), F.concat_ws("|", "doc_id", F.date_format("retrieved_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("backup_id"), F.col("retrieved_at").alias("at")).distinct()
-    return ops.kept_backups(b, 3).select("owner", "backup_id", "is_kept", "is_restore_point")
+    return ops.kept_backups(b, 3, 30).select("owner", "backup_id", "is_kept", "is_restore_point")
 
 
 def j13_titles(s, d):
@@ -130,12 +167,17 @@ QUERIES = {
     "j10_shards": (j10_shards, f"select distinct unnest(shard_ids) shard_id from lineage where doc_id in (select doc_id from {_CH})"),
     "j11_k27_regressions": (j11_k27_regressions, f"select metric, round(ratio,6) ratio, severity, is_critical and severity in ('moderate','severe') as rollback, ratio>0.10 approval from {_RG}"),
     "k28_simple_regressions": (k28_simple_regressions, f"select metric from {_CUR} where is_critical and cur<baseline*0.95::double"),
-    "j12_metric_changes": (j12_metric_changes, f"select metric, round(cur-coalesce(baseline,0.0),6) absolute, round((cur-coalesce(baseline,0.0))/greatest(case when coalesce(baseline,0)=0 then 1.0 else baseline end,0.001::double),6) relative from {_CUR}"),
-    "k29_safety_report": (k29_safety_report, f"select severity, count(*) n, count(*) filter (is_critical) critical, max((is_critical and severity in ('moderate','severe'))::int)::boolean as rollback from {_RG} group by 1"),
+    "j12_metric_changes": (j12_metric_changes, f"select metric, round(cur-coalesce(baseline,0.0),6) absolute, round((cur-coalesce(baseline,0.0))/greatest(coalesce(baseline,1.0::double),0.001::double)*100,6) relative from {_CUR}"),
+    "k29_safety_report": (k29_safety_report, f"select total, critical, severe, rb as rollback, ap approval, concat_ws(chr(10), case when total=0 then '{ops.NO_REGRESSION}' end, case when critical>0 then '🚨 '||critical||'{ops.CRITICAL_ADVICE}' end, case when severe>0 then '⚠️ '||severe||'{ops.SEVERE_ADVICE}' end, " + ", ".join(f"case when list_contains(ms,'{m}') then '{x}' end" for m, x in ops.METRIC_ADVICE.items()) + f", case when rb then '{ops.ROLLBACK_ADVICE}' when ap then '{ops.APPROVAL_ADVICE}' end) recommendations from (select count(*) total, count(*) filter (is_critical) critical, count(*) filter (severity='severe') severe, coalesce(bool_or(is_critical and severity in ('moderate','severe')),false) rb, coalesce(bool_or(ratio>0.10),false) ap, coalesce(list(metric) filter (severity<>'minor'),[]) ms from {_RG})"),
+    "s16_changelog": (s16_changelog, f"select doc_id, change||': '||doc_id||' ('||substring(sha256,1,12)||')' entry from (select m.doc_id, m.sha256, case when l.sha256 is null then 'new' else 'modified' end change from {_LM} m left join lineage l on m.doc_id=l.doc_id where l.sha256 is null or l.sha256<>m.sha256)"),
+    "s15_metrics_table": (s15_metrics_table, f"select metric, round(cur,6) as current from {_M.MEASURED}"),
+    "r4_upserted": (r4_upserted, "select doc_id, strftime(a,'%Y-%m-%d %H:%M:%S') added_at, coalesce(m.sha256,l.sha256) sha256, case when m.sha256 is null or coalesce(m.sha256=l.sha256,false) then status else 'pending' end status from (select doc_id, min(retrieved_at) a, arg_max(sha256, {'a':retrieved_at,'b':sha256}) sha256 from manifest group by 1) m full join (select * from (select *, row_number() over (partition by doc_id order by last_processed desc nulls last, sha256) r from lineage) where r=1) l using (doc_id)"),
+    "r6_document_shards": (r6_document_shards, f"select l.doc_id, array_to_string(list_sort(shard_ids),',') shards, coalesce(l.sha256=m.sha256,false) as current from (select * from (select *, row_number() over (partition by doc_id order by last_processed desc nulls last, sha256) r from lineage) where r=1) l left join {_LM} m on m.doc_id=l.doc_id"),
+    "s5_json_documents": (s5_json_documents, "select doc_id, count(*) n, max(strftime(retrieved_at,'%Y-%m-%d %H:%M:%S')) last_at from manifest group by 1"),
     "r4_latest_lineage": (r4_latest_lineage, "select doc_id, status, len(shard_ids)::bigint shards from (select *, row_number() over (partition by doc_id order by last_processed desc nulls last, sha256) r from lineage) where r=1"),
     "a30_lineage_statistics": (a30_lineage_statistics, "select status, count(*) n, sum(len(shard_ids))::bigint shards from lineage group by 1"),
     "r6_shard_lookup": (r6_shard_lookup, "select shard_id, count(distinct doc_id) docs from (select doc_id, unnest(shard_ids) shard_id from lineage) group by 1"),
-    "w18_backups": (w18_backups, "select owner, backup_id, n<=3 is_kept, n=least(2,c) is_restore_point from (select *, row_number() over (partition by owner order by a desc, backup_id) n, count(*) over (partition by owner) c from (select distinct authority as owner, doc_id||'|'||strftime(retrieved_at,'%Y-%m-%d %H:%M:%S.%f') backup_id, retrieved_at a from manifest))"),
+    "w18_backups": (w18_backups, "select owner, backup_id, n<=3 and a>=last-interval 30 days is_kept, n=least(2,c) is_restore_point from (select *, row_number() over (partition by owner order by a desc, backup_id) n, count(*) over (partition by owner) c, max(a) over (partition by owner) as last from (select distinct authority as owner, doc_id||'|'||strftime(retrieved_at,'%Y-%m-%d %H:%M:%S.%f') backup_id, retrieved_at a from manifest))"),
     "j13_titles": (j13_titles, f"select doc_id, coalesce(title_guess, {_I._TITLE}) title from (select c.doc_id, title_guess, file, {_I._PLAIN} pl from (select distinct doc_id from chunks) c left join {_LM} m using (doc_id))"),
     "r5_replaced": (r5_replaced, "select doc_id, count(distinct block_id) blocks from corpus_blocks group by 1"),
     "a27_request_metrics": (a27_request_metrics, "select strftime(date_trunc('hour',ts),'%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) n, round(avg(value),6) mean_value from events group by all"),

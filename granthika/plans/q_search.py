@@ -9,7 +9,9 @@ from ..functions import text as T
 from ..operators import answer as A
 from ..operators import lexical as X
 from ..operators import search as V
+from ..sources.tables import cut
 from ..sources.tables import table as t
+from . import q_text as _text
 from . import sql as Q
 
 #: Embedded rows whose id is divisible by this are queries against all rows.
@@ -37,8 +39,8 @@ def w2_nearest(s, d):
     return n.select("query_id", "row_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
-def candidates(s, d, params=P):
-    """Chunk candidates of the chunks that the stated questions cite: 3k nearest, with priors."""
+def nearby(s, d, params=P):
+    """The 3k nearest chunks of the chunks that the stated questions cite, with what scores need."""
     c = t(s, d, "chunks").filter("embedding is not null").withColumn("row_id", F.col("chunk_id")).withColumn("vec", F.col("embedding")).withColumn("norm", V.norm(F.col("embedding"))).filter("norm > 0")
     q = t(s, d, "proper_manual_qacite").filter(f"qa_id % {EVERY // 10} = 0").select(F.col("qa_id").cast("string").alias("query_id"), "chunk_id", "question")
     lang, _ = T.query_language(F.coalesce("question", F.lit("")))
@@ -46,7 +48,18 @@ def candidates(s, d, params=P):
     q = c.select("chunk_id", "vec", "norm").join(q, "chunk_id").dropDuplicates(["query_id"]).select("query_id", F.col("vec").alias("q_vec"), F.col("norm").alias("q_norm"), "query_lang", "tabular", "question")
     near = V.nearest(q, c.select("row_id", "vec", "norm"), params.over_retrieve * params.k).withColumnRenamed("row_id", "chunk_id").drop("rank")
     rows = c.drop("embedding", "vec", "norm", "row_id", "text").dropDuplicates(["chunk_id"])
-    return V.scored(near.join(rows, "chunk_id").join(q.select("query_id", "query_lang", "tabular", "question"), "query_id"), params)
+    return near.join(rows, "chunk_id").join(q.select("query_id", "query_lang", "tabular", "question"), "query_id")
+
+
+def candidates(s, d, params=P):
+    """Chunk candidates of the stated questions, with priors."""
+    return V.scored(nearby(s, d, params), params)
+
+
+def searched(pairs, params=P):
+    """One search over given pairs: scores, caps, and the authoritative results in order."""
+    c = V.diversified(V.scored(pairs, params).withColumn("score", F.round("score", 6)))
+    return c.filter("source_authority = 'authoritative'").withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
 
 
 def k4_priors(s, d):
@@ -64,16 +77,26 @@ def w3_split(s, d):
 
 
 def w4_fallback_merge(s, d):
-    c = candidates(s, d).withColumn("score", F.round("score", 6)).select("query_id", "chunk_id", "score")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    r = c.withColumn("n", F.row_number().over(w))
-    m = V.merge_fallback(r.filter("n <= 5").drop("n"), r.filter("n between 3 and 12").drop("n"))
+    """Where the authoritative results fall short of the question's threshold, a second search in the other language, at a price, is merged."""
+    pairs, k = cut(nearby(s, d)), P.k
+    first = searched(pairs).filter(f"nth <= {k}")
+    limits = _text.l20_fallback_threshold(s, d).select(F.col("query_id").cast("string").alias("query_id"), "threshold")
+    found = pairs.select("query_id", "query_lang").distinct().join(first.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").join(limits, "query_id")
+    short = found.filter((F.coalesce("n", F.lit(0)) / k < F.col("threshold")) & (F.col("query_lang") != "mixed")).select("query_id")
+    other = pairs.join(short, "query_id").withColumn("query_lang", F.when(F.col("query_lang") == "ne", "en").otherwise("ne"))
+    second = searched(other, V.SearchParams(k=k, cross_penalty=0.2)).filter(f"nth <= {k}")
+    m = V.merge_fallback(*(x.select("query_id", "chunk_id", "score") for x in (first, second)))
     return m.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("source_no").cast("long").alias("source_no"), F.col("rank").cast("long").alias("rank"))
 
 
 def w5_bilingual_merge(s, d):
-    c = candidates(s, d).withColumn("score", F.round("score", 6)).withColumn("bbox_text", F.concat_ws(",", F.transform("bbox", lambda x: x.cast("decimal(10,1)").cast("string")))).withColumn("language", F.coalesce("language", F.lit("")))
-    return V.merge_bilingual(c, 10).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    """A search in each language, the first half of each, one result a place."""
+    pairs, out = cut(nearby(s, d)), None
+    for lang in ("ne", "en"):
+        part = searched(pairs.withColumn("query_lang", F.lit(lang))).withColumn("language", F.lit(lang))
+        out = part if out is None else out.unionByName(part)
+    c = out.withColumn("bbox_text", F.concat_ws(",", F.transform("bbox", lambda x: x.cast("decimal(10,1)").cast("string"))))
+    return V.merge_bilingual(c, P.k).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 def a21_language_metrics(s, d):
@@ -173,9 +196,10 @@ def w14_sentences(s, d):
 
 
 def a28_a29_coverage(s, d):
+    """Results of each document by question, with the confidence of the answer."""
     r = X.lexical_search(questions(s, d), t(s, d, "chunks"), "intelligent", 10)
-    g = r.groupBy("query_id").agg(F.countDistinct("doc_id").alias("docs"), F.round(F.least(F.avg("score") / 25.0, F.lit(1.0)), 6).alias("confidence"))
-    return g
+    sure = F.round(F.least(F.avg("score").over(Window.partitionBy("query_id")) / 25.0, F.lit(1.0)), 6)
+    return r.withColumn("confidence", sure).groupBy("query_id", "doc_id").agg(F.count("*").alias("n"), F.first("confidence").alias("confidence"))
 
 
 # --- SQL ------------------------------------------------------------------------------------------------------------
@@ -203,6 +227,12 @@ _DIV = f"""(select * from (select *, row_number() over (partition by query_id or
  (select * from (select *, row_number() over (partition by query_id, page_id order by score desc, chunk_id) rp from {_CAND}) where rp<=3 or score>1.5)) where rd<=5 or score>1.5) where rk<=20)"""
 
 
+def _div_of(near, price):
+    """The search over given pairs, with a price for the other language."""
+    cross = f"(case when coalesce(language,'')<>query_lang then {price}::double else 0.0::double end)"
+    return _DIV.replace(_CAND, f"(select *, 2*cosine-1 base_score, {_PRIOR} prior, round(2*cosine-1+{_PRIOR}-{cross},6) score from {near})")
+
+
 def _phr(longest, base, each):
     tok = Q.tok("q")
     return f"list_sum(list_transform(list_filter(flatten(list_transform(range(1,greatest(len({tok}),2)),lambda i: list_transform(range(2,{longest}+1),lambda k: {{'p': case when i+k-1<=len({tok}) then array_to_string({tok}[i:(i+k-1)],' ') end,'k':k}}))),lambda z: z.p is not null and contains(t,z.p)),lambda z: {base}::double+z.k*{each}::double))"
@@ -268,6 +298,7 @@ def _hits(of):
     return "(case " + _DOM + " " + " ".join(f"when '{n}' then " + "+".join(f"contains(lower(span_text),'{w.lower()}')::int" for w in ws) for n, ws in of.items()) + " else 0 end)"
 
 
+_THRESHOLD = _text.QUERIES["l20_fallback_threshold"][1]
 _HITS_G, _HITS_Q = _hits(A.DOMAIN_WORDS), _hits(A.QUALITY_WORDS)
 
 QUERIES = {
@@ -275,8 +306,8 @@ QUERIES = {
     "k4_priors": (k4_priors, f"select query_id, chunk_id, round(base_score,6) base_score, round(prior,6) prior from {_CAND}"),
     "w1_diversified": (w1_diversified, f"select query_id, chunk_id, score, rk as rank from {_DIV}"),
     "w3_split": (w3_split, f"select query_id, chunk_id, is_authoritative, rk as rank from (select *, coalesce(source_authority='authoritative',false) is_authoritative, row_number() over (partition by query_id, source_authority='authoritative' order by rk) r from {_DIV}) where r<=case when is_authoritative then 5 else 2 end"),
-    "w4_fallback_merge": (w4_fallback_merge, f"select query_id, chunk_id, round(sc,6) score, src::bigint source_no, row_number() over (partition by query_id order by sc desc, chunk_id) rank from (select *, row_number() over (partition by query_id, chunk_id order by src) r from (select query_id, chunk_id, score sc, 0 src from (select *, row_number() over (partition by query_id order by score desc, chunk_id) n from {_CAND}) where n<=5 union all select query_id, chunk_id, score-0.1::double, 1 from (select *, row_number() over (partition by query_id order by score desc, chunk_id) n from {_CAND}) where n between 3 and 12)) where r=1"),
-    "w5_bilingual_merge": (w5_bilingual_merge, f"select query_id, chunk_id, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from (select *, row_number() over (partition by query_id, doc_id, page_id, b[1:50] order by score desc, chunk_id) p from (select *, array_to_string(list_transform(bbox,lambda v: v::decimal(10,1)::varchar),',') b, row_number() over (partition by query_id, coalesce(language,'') order by score desc, chunk_id) h from {_CAND}) where h<=5) where p=1) where rank<=10"),
+    "w4_fallback_merge": (w4_fallback_merge, f"with one as (select *, row_number() over (partition by query_id order by rk) nth from {_DIV} where source_authority='authoritative'), short as (select query_id from (select distinct query_id, query_lang from {_NEAR}) left join (select query_id, count(*) n from one where nth<=10 group by 1) using (query_id) join (select query_id::varchar query_id, threshold from ({_THRESHOLD})) using (query_id) where coalesce(n,0)/10.0::double<threshold and query_lang<>'mixed'), two as (select *, row_number() over (partition by query_id order by rk) nth from {_div_of(chr(40) + 'select * replace (case when query_lang=' + chr(39) + 'ne' + chr(39) + ' then ' + chr(39) + 'en' + chr(39) + ' else ' + chr(39) + 'ne' + chr(39) + ' end as query_lang) from ' + _NEAR + chr(41), '0.2')} where source_authority='authoritative' and query_id in (select query_id from short)) select query_id, chunk_id, round(sc,6) score, src::bigint source_no, row_number() over (partition by query_id order by sc desc, chunk_id) rank from (select *, row_number() over (partition by query_id, chunk_id order by src) r from (select query_id, chunk_id, score sc, 0 src from one where nth<=10 union all select query_id, chunk_id, score-0.1::double, 1 from two where nth<=10)) where r=1"),
+    "w5_bilingual_merge": (w5_bilingual_merge, "select query_id, chunk_id, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from (select *, row_number() over (partition by query_id, doc_id, page_id, b[1:50] order by score desc, chunk_id) p from (select *, array_to_string(list_transform(bbox,lambda v: v::decimal(10,1)::varchar),',') b, row_number() over (partition by query_id, lg order by score desc, chunk_id) h from (" + " union all ".join(f"select *, '{g}' lg from {_div_of(chr(40) + f'select * replace ({chr(39)}{g}{chr(39)} as query_lang) from {_NEAR})', '0.0')} where source_authority='authoritative'" for g in ("ne", "en")) + ")) where h<=5) where p=1) where rank<=10"),
     "a21_language_metrics": (a21_language_metrics, f"select query_id, round(avg((coalesce(language,'')=query_lang)::int),6) consistency, round(sum((rk<=5 and coalesce(language,'')<>query_lang)::int)::double/least(5,count(*)),6) cross_5, round(sum((rk<=10 and coalesce(language,'')<>query_lang)::int)::double/least(10,count(*)),6) cross_10 from {_DIV} group by 1"),
     "a13_purity": (a13_purity, f"select query_id, round(avg((source_authority='authoritative')::int),6) purity, count(*) considered from {_DIV} group by 1"),
     "w7_fusion": (w7_fusion, f"select query_id, chunk_id, greatest(round(base_score,6),round(prior,6)) fused_score from {_CAND}"),
@@ -297,5 +328,5 @@ QUERIES = {
       (select query_id, string_agg('• '||(case when length(span_text)>200 then span_text[1:197]||'...' else span_text end)||' [[doc:'||doc_id||'|page:'||regexp_extract(page_id,'_page_(\\d+)',1)::int||'|span:'||start_char||':'||end_char||']]',chr(10) order by pick) answer, count(*) n from {_robin(_PREF)} group by 1) e using (query_id)"""),
     "u4_citation_union": (u4_citation_union, f"select query_id, count(*) n from (select distinct query_id, doc_id, page_id, start_char, end_char from {_EV} where rank<=9) group by 1"),
     "w14_sentences": (w14_sentences, f"select query_id, pos, round(share,6) share, rank from (select *, row_number() over (partition by query_id order by share desc, pos) rank from (select query_id, pos, len(list_intersect(qw,{_WORDSET.format(x='lower(s)')}))::double/greatest(len(qw),1) share from (select query_id, qw, pos-1 pos, {Q.trim('s0')} s from (select qa_id query_id, {_WORDSET.format(x='lower(question)')} qw, unnest(regexp_split_to_array(c.text,'[.!?।॥]+')) s0, generate_subscripts(regexp_split_to_array(c.text,'[.!?।॥]+'),1) pos from proper_manual_qacite q join {_C} c on q.chunk_id=c.chunk_id where question is not null)) where length(s)>10) where share>0) where rank<=3"),
-    "a28_a29_coverage": (a28_a29_coverage, f"select query_id, count(distinct doc_id) docs, round(least(avg(score)/25.0::double,1.0::double),6) confidence from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rn from (select *, {_K11} score from {_PAIR}) where score>1.0) where rn<=10 group by 1"),
+    "a28_a29_coverage": (a28_a29_coverage, f"select query_id, doc_id, count(*) n, any_value(c) confidence from (select *, round(least(avg(score) over (partition by query_id)/25.0::double,1.0::double),6) c from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rn from (select *, {_K11} score from {_PAIR}) where score>1.0) where rn<=10) group by 1,2"),
 }

@@ -91,6 +91,13 @@ def l20_fallback_threshold(s, d):
     return items(s, d).select("query_id", strategy.alias("strategy"), F.round(F.greatest(F.lit(0.1), F.least(F.lit(0.8), 0.5 + adj - sem + st)), 6).alias("threshold"))
 
 
+def l24_composed(s, d):
+    """Texts in composed form, and whether they are Devanagari."""
+    from ..operators.udfs import composed
+
+    return docs(s, d).select("doc_id", F.md5(composed(F.col("text"))).alias("h"), (T.devanagari_ratio(F.col("text")) > 0.3).alias("is_devanagari"))
+
+
 def l21_web_language(s, d):
     return docs(s, d).select("doc_id", T.web_language(F.col("text")).alias("lang2"))
 
@@ -108,7 +115,7 @@ def x19_extracted(s, d):
 
 
 def w13_key_terms(s, d):
-    return A.key_terms(t(s, d, "eval_items"), "item_id", "passage").select(F.col("item_id").cast("long").alias("item_id"), "term", "n", "score", F.col("rank").cast("long").alias("rank"))
+    return A.key_terms(t(s, d, "eval_items"), "item_id", "passage", "language").select(F.col("item_id").cast("long").alias("item_id"), "term", "n", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def f3_k20_qa_sources(s, d):
@@ -235,13 +242,14 @@ QUERIES = {
     "l16_expansions": (l16_expansions, f"select query_id, {_expand('question', 0)} ne, {_expand('question', 1)} en from {I}"),
     "l18_synonym": (l18_synonym, "select doc_id, case when w is not null then replace(lower(title),w,case w " + " ".join(f"when '{a}' then '{b}'" for a, b in T.SYNONYMS.items()) + f" end) end expanded from (select doc_id, title, list_filter({Q.tok('lower(title)')},lambda v: v in (" + ",".join(f"'{a}'" for a in T.SYNONYMS) + "))[1] w from documents where title is not null)"),
     "l19_tabular": (l19_tabular, f"select query_id, {Q.cnt('question', '[0-9०-९]')}::double/greatest(length(question),1)>0.08 or " + Q.any_in("lower(question)", (*T.TABLE_WORDS, "how many")) + f" tabular from {I}"),
+    "l24_composed": (l24_composed, f"select doc_id, md5(nfc_normalize(text)) h, {R('text')}>0.3 is_devanagari from {D}"),
     "l20_fallback_threshold": (l20_fallback_threshold, f"""select query_id, st strategy, round(greatest(0.1::double,least(0.8::double,0.5::double+(case dom when 'constitution' then -0.1 when 'health' then -0.05 when 'emergency' then -0.15 when 'covid' then -0.1 else 0.0 end)::double-(case when n>0 then (w-0.5::double)*0.2::double else 0.0::double end)+(case st when 'semantic_expansion' then -0.05 when 'mixed_language' then -0.1 else 0.0 end)::double)),6) threshold
       from (select *, {_STRAT} st, {_domain('question')} dom, {_n('question')} n, {_w('question')} w from {I})"""),
     "l21_web_language": (l21_web_language, f"select doc_id, case when {Q.letters('text')}=0 then 'en' when ({Q.dev('text')}+2*(" + "+".join(f"contains(lower(text),'{p}')::int" for p in T.ROMANISED) + f"))::double/{Q.letters('text')}>0.3 then 'ne' else 'en' end lang2 from {D}"),
     "x1_tokens": (x1_tokens, f"select doc_id, len({Q.tok('text')})::bigint n from {D}"),
     "x3_x4_clean": (x3_x4_clean, f"select block_id, md5(case when length(o)>5 and length(regexp_replace(o,'[^\\p{{L}}\\x{{0900}}-\\x{{097F}}]','','g'))::double/length(o)>0.3 then o else '' end) ocr, md5({Q.trim(_WS.format(c=chr(114) + 'egexp_replace(regexp_replace(text,' + chr(39) + '[' + chr(92) + 'x{0}-' + chr(92) + 'x{8}' + chr(92) + 'x{b}' + chr(92) + 'x{c}' + chr(92) + 'x{e}-' + chr(92) + 'x{1f}]' + chr(39) + ',' + chr(39) * 2 + ',' + chr(39) + 'g' + chr(39) + '),' + chr(39) + chr(92) + '[TABLE[^' + chr(92) + ']]*' + chr(92) + ']' + chr(39) + ',' + chr(39) * 2 + ',' + chr(39) + 'g' + chr(39) + ')'))}) display from (select *, {Q.trim(_WS.format(c=_lone(_lone('text', '0-9'), 'a-zA-Z')))} o from (select distinct block_id, text from corpus_blocks where length(text)>0))"),
     "x19_extracted": (x19_extracted, f"select item_id::bigint item_id, case when length(p[1])<50 and p[2] is not null then p[1]||'. '||p[2] else p[1] end answer from (select item_id, list_filter(list_transform(regexp_split_to_array(passage,'[.!?।॥]+'),lambda v: {Q.trim('v')}),lambda v: v<>'') p from eval_items)"),
-    "w13_key_terms": (w13_key_terms, "select item_id::bigint item_id, term, n, score, r as rank from (select *, row_number() over (partition by item_id order by score desc, term) r from (select item_id, term, count(*) n, (any_value(length(term))*count(*))::bigint score from (select item_id, unnest(regexp_extract_all(lower(passage),'[\\p{L}\\p{N}_]{3,}')) term from eval_items) where term not in (" + ",".join(f"'{w}'" for w in A.STOP) + ") group by item_id, term)) where r<=5"),
+    "w13_key_terms": (w13_key_terms, "select item_id::bigint item_id, term, n, score, r as rank from (select *, row_number() over (partition by item_id order by score desc, term) r from (select item_id, term, count(*) n, (any_value(length(term))*count(*))::bigint score from (select item_id, language, unnest(regexp_extract_all(lower(passage),'[\\p{L}\\p{M}\\p{N}_]{3,}')) term from eval_items) where not regexp_matches(term,'^\\p{Nd}+$') and not (" + " or ".join(f"coalesce(language,'')='{n}' and term in (" + ",".join(f"'{w}'" for w in ws) + ")" for n, ws in A.STOP.items()) + ") group by item_id, term)) where r<=5"),
     "f3_k20_qa_sources": (f3_k20_qa_sources, f"""select block_id, round(case when n>=20 and len(w)>=5 and al>=0.7 and no<=0.3 and whole>=0.8 and conf_mean>=60 then least(1.0::double,(case when conf_mean>=70 then 0.3 else 0.1 end)::double+(case when n>=100 then 0.3 when n>=50 then 0.2 else 0.0 end)::double+al*0.2::double+whole*0.2::double) else 0.0::double end,6) quality from
       (select *, {_AL('text')} al, {_NO('text')} no, {_WH('w')} whole from (select distinct block_id, text, conf_mean, length(text) n, {Q.tok('text')} w from corpus_blocks where source_authority='authoritative' and language in ('ne','en') and length(text)>=50 and conf_mean>=45))"""),
     "k21_valid_answers": (k21_valid_answers, f"""select qa_id, coalesce(length({Q.trim('a')})>=10 and len(w)>=3 and {_AL('a')}>=0.8 and {_NO('a')}<=0.2 and {_WH('w')}>=0.9 and (len(x)=0 or len(list_intersect(x,y))::double/greatest(len(x),1)>=0.6),false) valid from
