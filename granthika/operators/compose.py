@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -139,15 +139,23 @@ def signatures(dim: int, seed: int = 7):
     return sign
 
 
+def save_index(rows: DataFrame, path: str, dim: int = 64) -> DataFrame:
+    """Rows with their signatures as a table; load it with spark.read.parquet and search it any number of times."""
+    rows.withColumn("sig", signatures(dim)("vec")).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def signature_neighbours(queries: DataFrame, rows: DataFrame, k: int = 10, dim: int = 64) -> DataFrame:
     """M3, approximate: every row is indexed by a signature; rows whose signature is near a query's are compared exactly.
 
+    rows may be a saved index, whose signatures are read and not worked out again.
+
     Rows stay where they are; the signature test is a few bit operations, and only what passes pays for a product."""
     from .search import against_all, dot
 
     sign = signatures(dim)
     q = queries.withColumn("q_sig", sign("q_vec"))
-    r = rows.withColumn("sig", sign("vec"))
+    r = rows if "sig" in rows.columns else rows.withColumn("sig", sign("vec"))
     differ = sum((F.bit_count(F.col("sig")[i].bitwiseXOR(F.col("q_sig")[i])) for i in range(SIGNATURE_BITS // 64)), F.lit(0))
     near = against_all(q, r, "query_id").filter((F.col("query_id") != F.col("row_id")) & (differ <= MOST_DIFFERENT))
     pairs = near.select("query_id", "row_id", (dot(F.col("q_vec"), F.col("vec")) / (F.col("q_norm") * F.col("norm"))).alias("cosine"))
@@ -174,6 +182,29 @@ def snapshot(df: DataFrame, root: str, version: str) -> DataFrame:
     return df.sparkSession.read.parquet(f"{root}/version={version}")
 
 
+def point_to(spark: SparkSession, root: str, version: str, reason: str) -> None:
+    """R2: the version in use, as one more entry of the pointer's history."""
+    spark.createDataFrame([(version, reason)], "version string, reason string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+
+
+def in_use(spark: SparkSession, root: str) -> tuple[str, DataFrame]:
+    """R2: the version that the pointer's last entry names."""
+    version = spark.read.parquet(f"{root}/pointer").agg(F.max_by("version", "at")).first()[0]
+    return version, spark.read.parquet(f"{root}/version={version}")
+
+
+def publish(df: DataFrame, root: str, version: str, accept) -> str:
+    """R2: snapshot, evaluation, and rollback: the new version is used, and left for the one before where `accept` refuses it."""
+    spark = df.sparkSession
+    before = in_use(spark, root) if accept is not None else None
+    new = snapshot(df, root, version)
+    point_to(spark, root, version, "published")
+    if before is not None and not accept(before[1], new):
+        point_to(spark, root, before[0], "rolled back")
+        return before[0]
+    return version
+
+
 def transliterate(table: dict[str, str]):
     """Whole words from a table, else its longest keys of three, two and one characters in turn."""
 

@@ -32,10 +32,14 @@ def hashed_embedding(dim: int = 64):
     return embed
 
 
-@F.pandas_udf("string")
-def composed(texts: pd.Series) -> pd.Series:
+def composed():
     """Texts in composed form (NFC), in Arrow batches."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    @F.pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return nfc
 
 
 def query_segments():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -88,7 +89,7 @@ def m3_signature_index(s, d):
     e = t(s, d, "embeddings")
     v = e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), V.norm(F.col("embedding")).alias("norm"))
     q = v.filter(f"row_id % {Z.EVERY} = 0").select(F.col("row_id").alias("query_id"), F.col("vec").alias("q_vec"), F.col("norm").alias("q_norm"))
-    return C.signature_neighbours(q, v).select("query_id", "row_id", F.round("cosine", 6).alias("cosine"), "rank")
+    return C.signature_neighbours(q, C.save_index(v, S.shared_path(s, "index"))).select("query_id", "row_id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 def m4_neutral_scores(s, d):
@@ -139,15 +140,22 @@ def j14_results_with_metadata(s, d):
 
 
 def u3_candidate_concat(s, d):
-    c = t(s, d, "chunks").select("chunk_id", "source_authority")
-    return S.append_missing(c.filter("source_authority = 'authoritative'"), c.filter("source_authority <> 'authoritative'")).groupBy("source_authority").agg(F.count("*").alias("n"))
+    """Authoritative results of each question, then its distractors, numbered through."""
+    c = V.split_and_cap(Z.results(s, d), 5, 2)
+    both = c.filter("is_authoritative").withColumn("part", F.lit(0)).unionByName(c.filter("NOT is_authoritative").withColumn("part", F.lit(1)))
+    w = Window.partitionBy("query_id").orderBy("part", "rank")
+    return both.select("query_id", "chunk_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 def r2_snapshot(s, d):
+    """R2: a version that loses more than a twentieth of the rows is published, evaluated and rolled back."""
     m = t(s, d, "manifest")
     root = S.shared_path(s, "versions")
-    C.snapshot(m.filter("year_guess is null"), root, "2")
-    return C.snapshot(m, root, "1").groupBy("authority").agg(F.count("*").alias("n"))
+    enough = lambda old, new: new.count() >= 0.95 * old.count()
+    C.publish(m, root, "1", None)
+    C.publish(m.filter("year_guess is null"), root, "2", enough)
+    version, rows = C.in_use(s, root)
+    return rows.groupBy("authority").agg(F.count("*").alias("n")).withColumn("version", F.lit(version))
 
 
 def x23_transliterated(s, d):
@@ -198,7 +206,7 @@ QUERIES = {
     "f9_substantial_tables": (f9_substantial_tables, "select distinct block_id, json_extract(text,'$.rows')::bigint as \"rows\", json_extract(text,'$.cols')::bigint as cols from corpus_blocks where block_type='table' and json_valid(text) and json_extract(text,'$.rows')::bigint>=2 and json_extract(text,'$.cols')::bigint>=2"),
     "j1_j2_page_types": (j1_j2_page_types, f"select coalesce(page_type,'unknown') page_type, count(*) n from (select distinct block_id, page_id, doc_id from corpus_blocks) b left join (select page_id, page_type from {_I._TYPED} where n_blocks>1) p using (page_id) group by 1"),
     "j14_results_with_metadata": (j14_results_with_metadata, "select split, count(*) n, count(ocr_confidence) known from proper_manual_qacite group by 1"),
-    "u3_candidate_concat": (u3_candidate_concat, "select source_authority, count(*) n from chunks where source_authority is not null group by 1"),
-    "r2_snapshot": (r2_snapshot, "select authority, count(*) n from manifest group by 1"),
+    "u3_candidate_concat": (u3_candidate_concat, f"select query_id, chunk_id, row_number() over (partition by query_id order by is_authoritative desc, rank) place from ({Z.QUERIES['w3_split'][1]})"),
+    "r2_snapshot": (r2_snapshot, "select authority, count(*) n, '1' as version from manifest group by 1"),
     "x23_transliterated": (x23_transliterated, None),
 }

@@ -80,7 +80,7 @@ def w4_fallback_merge(s, d):
     """Where the authoritative results fall short of the question's threshold, a second search in the other language, at a price, is merged."""
     pairs, k = cut(nearby(s, d)), P.k
     first = searched(pairs).filter(f"nth <= {k}")
-    limits = _text.l20_fallback_threshold(s, d).select(F.col("query_id").cast("string").alias("query_id"), "threshold")
+    limits = cut(_text.l20_fallback_threshold(s, d)).select(F.col("query_id").cast("string").alias("query_id"), "threshold")
     found = pairs.select("query_id", "query_lang").distinct().join(first.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").join(limits, "query_id")
     short = found.filter((F.coalesce("n", F.lit(0)) / k < F.col("threshold")) & (F.col("query_lang") != "mixed")).select("query_id")
     other = pairs.join(short, "query_id").withColumn("query_lang", F.when(F.col("query_lang") == "ne", "en").otherwise("ne"))
@@ -109,9 +109,12 @@ def a13_purity(s, d):
 
 
 def w7_fusion(s, d):
-    c = candidates(s, d).select("query_id", "chunk_id", F.round("base_score", 6).alias("b"), F.round("prior", 6).alias("p"))
-    u = c.select("query_id", "chunk_id", F.col("b").alias("score")).unionByName(c.select("query_id", "chunk_id", F.col("p").alias("score")))
-    return V.fused(u, "max").withColumn("fused_score", F.round("fused_score", 6))
+    """One score of a candidate over the searches in both languages."""
+    pairs, out = cut(nearby(s, d)), None
+    for lang in ("ne", "en"):
+        part = V.scored(pairs.withColumn("query_lang", F.lit(lang)), P).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return V.fused(out, "max").withColumn("fused_score", F.round("fused_score", 6))
 
 
 def w6_rerank(s, d):
@@ -310,7 +313,7 @@ QUERIES = {
     "w5_bilingual_merge": (w5_bilingual_merge, "select query_id, chunk_id, rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from (select *, row_number() over (partition by query_id, doc_id, page_id, b[1:50] order by score desc, chunk_id) p from (select *, array_to_string(list_transform(bbox,lambda v: v::decimal(10,1)::varchar),',') b, row_number() over (partition by query_id, lg order by score desc, chunk_id) h from (" + " union all ".join(f"select *, '{g}' lg from {_div_of(chr(40) + f'select * replace ({chr(39)}{g}{chr(39)} as query_lang) from {_NEAR})', '0.0')} where source_authority='authoritative'" for g in ("ne", "en")) + ")) where h<=5) where p=1) where rank<=10"),
     "a21_language_metrics": (a21_language_metrics, f"select query_id, round(avg((coalesce(language,'')=query_lang)::int),6) consistency, round(sum((rk<=5 and coalesce(language,'')<>query_lang)::int)::double/least(5,count(*)),6) cross_5, round(sum((rk<=10 and coalesce(language,'')<>query_lang)::int)::double/least(10,count(*)),6) cross_10 from {_DIV} group by 1"),
     "a13_purity": (a13_purity, f"select query_id, round(avg((source_authority='authoritative')::int),6) purity, count(*) considered from {_DIV} group by 1"),
-    "w7_fusion": (w7_fusion, f"select query_id, chunk_id, greatest(round(base_score,6),round(prior,6)) fused_score from {_CAND}"),
+    "w7_fusion": (w7_fusion, "select query_id, chunk_id, max(score) fused_score from (" + " union all ".join(f"select query_id, chunk_id, round(2*cosine-1+{_PRIOR},6) score from (select * replace ('{g}' as query_lang) from {_NEAR})" for g in ("ne", "en")) + ") group by 1,2"),
     "w6_rerank": (w6_rerank, f"select query_id, chunk_id, r new_rank from (select *, row_number() over (partition by query_id order by coalesce(quality_score,0.5) desc, rk) r from {_DIV}) where r<=5"),
     "k8_lexical_dynamic": (_lexical("dynamic"), _top(_K8, _BOTH, 3.0)),
     "k9_lexical_bilingual": (_lexical("bilingual"), _top(_K9, _BOTH, 1.0)),

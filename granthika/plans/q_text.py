@@ -95,7 +95,7 @@ def l24_composed(s, d):
     """Texts in composed form, and whether they are Devanagari."""
     from ..operators.udfs import composed
 
-    return docs(s, d).select("doc_id", F.md5(composed(F.col("text"))).alias("h"), (T.devanagari_ratio(F.col("text")) > 0.3).alias("is_devanagari"))
+    return docs(s, d).select("doc_id", F.md5(composed()(F.col("text"))).alias("h"), (T.devanagari_ratio(F.col("text")) > 0.3).alias("is_devanagari"))
 
 
 def l21_web_language(s, d):

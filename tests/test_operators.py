@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from granthika.functions import scoring as K
 from granthika.functions import text as T
-from granthika.operators import answer, chunking, compose, lexical, manifest, metrics, ops, qacite
+from granthika.operators import answer, chunking, compose, layout, lexical, manifest, metrics, ops, qacite
 from granthika.operators import search as V
 from granthika.operators.udfs import query_segments, translate
 
-DATA = "/root/testdata/sf0.001"
+ROOT = os.environ.get("TESTDATA_DIR", "/root/testdata")
+DATA = f"{ROOT}/sf0.001"
 
 
 def one(spark, column, *values):
@@ -190,6 +191,52 @@ def test_arrow_operators(spark):
 def test_signature_index_recall(spark):
     from granthika.plans import q_compose, q_search
 
-    exact = {(r.query_id, r.row_id) for r in q_search.w2_nearest(spark, "/root/testdata/sf0.1").filter("rank <= 10").collect()}
-    near = {(r.query_id, r.row_id) for r in q_compose.m3_signature_index(spark, "/root/testdata/sf0.1").collect()}
+    exact = {(r.query_id, r.row_id) for r in q_search.w2_nearest(spark, f"{ROOT}/sf0.1").filter("rank <= 10").collect()}
+    near = {(r.query_id, r.row_id) for r in q_compose.m3_signature_index(spark, f"{ROOT}/sf0.1").collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_histogram_labels(spark):
+    df = spark.createDataFrame([(0.0,), (0.1,), (0.5,), (1.0,), (None,)], "x double")
+    assert {r.label: r.n for r in metrics.histogram(df, "x").collect()} == {"0.00-0.20": 2, "0.20-0.40": 0, "0.40-0.60": 1, "0.60-0.80": 0, "0.80-1.00": 1}
+    assert [(r.label, r.n) for r in metrics.histogram(df.filter("x = 0.5"), "x").collect()] == [("0.50", 1)]
+    assert metrics.histogram(df.limit(0), "x").count() == 0
+
+
+def test_safety_report(spark):
+    gates = spark.createDataFrame([("authority_purity", 0.9, 0.05, True), ("char_iou", None, 0.1, False), ("refusal_rate", 0.0, 0.1, False)], "metric string, baseline double, threshold double, is_critical boolean")
+    bad = ops.regressions(gates, spark.createDataFrame([("authority_purity", 0.5)], "metric string, current double"))
+    r = ops.safety_report(bad).first()
+    assert (r.total, r.critical, r.severe, r.rollback, r.approval) == (1, 1, 1, True, True) and ops.METRIC_ADVICE["authority_purity"] in r.recommendations and r.recommendations.endswith(ops.ROLLBACK_ADVICE)
+    assert ops.safety_report(bad.limit(0)).first().recommendations == ops.NO_REGRESSION
+    c = {x.metric: (x.absolute, x.relative) for x in ops.metric_changes(gates, spark.createDataFrame([("refusal_rate", 0.5), ("char_iou", 0.5)], "metric string, current double")).collect()}
+    assert c["refusal_rate"] == (0.5, 50000.0) and c["char_iou"] == (0.5, 50.0)
+
+
+def test_upserted_lineage(spark):
+    m = spark.createDataFrame([("a", "s1", 1), ("a", "s2", 3), ("b", "s1", 2)], "doc_id string, sha256 string, at int").selectExpr("doc_id", "sha256", "timestamp_seconds(at) retrieved_at")
+    l = spark.createDataFrame([("a", "s1", "completed", ["x"], 1), ("c", "s9", "failed", None, 1)], "doc_id string, sha256 string, status string, shard_ids array<string>, at int").selectExpr("*", "timestamp_seconds(at) last_processed").drop("at")
+    got = {r.doc_id: (r.sha256, r.status, r.added_at is not None and r.added_at.timestamp()) for r in ops.upserted(m, l).collect()}
+    assert got == {"a": ("s2", "pending", 1.0), "b": ("s1", "pending", 2.0), "c": ("s9", "failed", False)}
+
+
+def test_publish_and_roll_back(spark, tmp_path):
+    old, less = spark.range(100), spark.range(10)
+    enough = lambda a, b: b.count() >= 0.95 * a.count()
+    assert compose.publish(old, str(tmp_path), "1", None) == "1"
+    assert compose.publish(less, str(tmp_path), "2", enough) == "1" and compose.in_use(spark, str(tmp_path))[1].count() == 100
+    assert compose.publish(spark.range(99), str(tmp_path), "3", enough) == "3" and compose.in_use(spark, str(tmp_path))[0] == "3"
+
+
+def test_watermark_reasons(spark):
+    rows = [("b1", "d", "p1", 0, "Times-Italic", 10.0, "some text", [0.0, 300.0, 10.0, 310.0]), ("b2", "d", "p2", 0, "Arial", 10.0, "DRAFT (c)", [0.0, 400.0, 10.0, 410.0])]
+    o = spark.createDataFrame(rows, "block_id string, doc_id string, page_id string, pos int, font string, size double, text string, bbox array<double>")
+    got = {r.block_id: set(r.reasons) for r in layout.drop_reasons(o).collect()}
+    assert "rotation" in got["b1"] and "text_pattern" in got["b2"] and "rotation" not in got["b2"]
+    faint = {tuple(r.reasons) for r in layout.drop_reasons(o.withColumn("flags", F.lit(0)).withColumn("colour", F.lit(100))).collect()}
+    assert all("alpha" in x and "rotation" not in x for x in faint)
+
+
+def test_domain_of_a_question(spark):
+    q = spark.createDataFrame([("What does the Constitution say?",), ("कोभिड खोप",), ("Disaster relief",), ("Who?",), (None,)], "q string")
+    assert [r.d for r in q.select(answer.domain_of(F.col("q")).alias("d")).collect()] == ["constitution", "covid", "emergency", "general", "general"]

@@ -12,7 +12,7 @@ import pytest
 
 from granthika.plans import catalog
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("TESTDATA_DIR", "/root/testdata") + "/sf0.001"
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are not here")
 
