@@ -3,10 +3,11 @@
 Method: a BM25 inverted index of the test items' sentences, searched with block-max WAND.  Sentences lie in blocks, and
 every term keeps the largest impact it has in each block where it stands, and its postings by block.  A training text is cut
 into passages that overlap, so that every stretch as long as any sentence lies whole in one of them, and each passage is a
-query of its distinct terms.  A passage is passed over where the largest impacts of its terms don't add up to the threshold;
-blocks are taken from the terms that a sentence must hold one of to reach it (the pivot and those above), and are passed over
-where their maxima don't add up; only postings of the blocks left are scored.  All sentences above the threshold are
-retrieved, and what the passages of a text retrieve is joined.  An alignment of words then verifies that a sentence stands in
+query of its distinct terms.  Its terms with the longest lists whose largest impacts add up to no more than SPLIT lie below the
+pivot: a sentence must reach the rest of its threshold by the others.  A passage is passed over where their impacts don't add
+up to that, a block where their maxima in it don't, and only sentences of the blocks left are scored; the longest lists are
+looked up for those that came near enough.  All sentences above the threshold are retrieved, and what the passages of a
+text retrieve is joined.  An alignment of words then verifies that a sentence stands in
 the text with few words altered.  An item has leaked where its verified sentences make up at least half of its passage;
 question and answer are verified the same way and reported.
 
@@ -41,7 +42,11 @@ ITEMS_AT_ONCE, PARTS_AT_ONCE = 20_000, 8
 #: Share of a sentence's words (by number and by weight) that verifies it, share of the passage.
 VERIFY, PASSAGE = 0.8, 0.5
 #: Sentences of a block; words that a stretch may be longer than its sentence.
-BLOCK, SLACK = 32, 6
+BLOCK, SLACK = 4, 6
+#: Scores of passages and sentences that are held at once.
+CELLS = 1 << 22
+#: Share of a threshold that the longest lists may bring together without being looked at first.
+SPLIT = 0.5
 _WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+(?:[ऀ-ःऺ-ॏ॑-ॗॢॣ̀-ͯ]+[^\W_一-鿿]*)*")
 _HAN = re.compile("[一-鿿]")
 _FOREIGN_TO_LATIN = {ord(a): b for a, b in TO_LATIN.items()}
@@ -138,6 +143,10 @@ class Index:
         self.most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         self.start = np.searchsorted(key[first] // blocks, np.arange(len(self.term) + 1))
         self.top = np.maximum.reduceat(self.most, self.start[:-1]) if len(self.term) else np.zeros(0)
+        self.length = np.add.reduceat(self.postings, self.start[:-1]) if len(self.term) else np.zeros(0, np.int64)
+        self.by_length = np.argsort(-self.length, kind="stable")
+        self.place = np.empty_like(self.by_length)
+        self.place[self.by_length] = np.arange(len(self.term))
         self.users: dict[int, list[int]] = defaultdict(list)
         for item, ps in self.parts.items():
             for s, _ in ps:
@@ -169,48 +178,63 @@ class Index:
         get = self.term.get
         own = [get(w, -1) for w in ws]
         step = self.longest + SLACK
-        pairs = [get(a + b, -1) if _HAN.match(a) and _HAN.match(b) else -1 for a, b in zip(ws, ws[1:])] if any("\u4e00" <= w <= "\u9fff" for w in ws) else None
+        pairs = [get(a + b, -1) if _HAN.match(a) and _HAN.match(b) else -1 for a, b in zip(ws, ws[1:])] if _HAN.search("".join(ws)) else None
         ids = np.array([own, [*pairs, -1]] if pairs is not None else [own], np.int64)
         return [ids[:, a : a + 2 * step].ravel() for a in range(0, max(1, len(ws) - step), step)]
 
     def search(self, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(passage, sentence) of each sentence whose score in a passage reaches its threshold."""
-        size = len(self.term)
-        owner = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
-        ids = np.concatenate(passages) if passages else np.zeros(0, np.int64)
-        key = np.unique((owner * size + ids)[ids >= 0]) if size else np.zeros(0, np.int64)
-        owner, ids = np.divmod(key, max(size, 1))
-        # From the least term upwards: a sentence with none but the terms below the pivot can't reach the threshold.
-        order = np.lexsort((self.top[ids], owner))
-        owner, ids = owner[order], ids[order]
-        run = np.cumsum(self.top[ids])
-        head = np.searchsorted(owner, owner)
-        above = run - np.where(head > 0, run[head - 1], 0.0) >= 1 - 1e-6
-        few = self.start[ids + 1] - self.start[ids]
         blocks = self.n // BLOCK + 1
-        near = np.unique(np.repeat(owner[above], few[above]) * blocks + self.block[_ranges(self.start[ids[above]], few[above])])
-        live = np.zeros(len(passages) + 1, bool)
-        live[near // blocks] = True
-        keep = live[owner]
-        owner, ids, few = owner[keep], ids[keep], few[keep]
+        step = max(1, CELLS // (blocks * BLOCK))
+        found = [self._search(passages[at : at + step], at, blocks) for at in range(0, len(passages) if len(self.term) else 0, step)]
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+    def _search(self, passages: list[np.ndarray], first: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        size, n = len(self.term), len(passages)
+        owner = np.repeat(np.arange(n), [len(p) for p in passages])
+        ids = np.concatenate(passages)
+        # Terms of a passage in the order of their lists' length, longest first: `place` is that order.
+        key = np.sort((owner * size + self.place[ids])[ids >= 0])
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        owner, ids = np.divmod(key, size)
+        ids = self.by_length[ids]
+        # The pivot: what the longest lists can bring together stays below SPLIT, so a sentence needs the rest of 1 from the others.
+        top = self.top[ids]
+        run = np.cumsum(top)
+        head = np.searchsorted(owner, np.arange(n))
+        base = np.where(head > 0, run[head - 1], 0.0)[owner] if len(owner) else run
+        rest = run - base > SPLIT
+        need = 1 - 1e-6 - np.bincount(owner[~rest], weights=top[~rest], minlength=n)
+        able = np.bincount(owner[rest], weights=top[rest], minlength=n) >= need
+        self.all += int(self.length[ids].sum())
+        keep = rest & able[owner]
+        cell, entry = self._cells(owner[keep], ids[keep], blocks)
+        bound = np.bincount(cell, weights=self.most[entry], minlength=n * blocks)
+        hit = (bound >= np.repeat(need, blocks))[cell]
+        score = self._scored(cell[hit], entry[hit], n * blocks)
+        # Sentences that the shorter lists alone bring near enough get what the longest ones add.
+        near = np.flatnonzero(score >= np.repeat(need, blocks * BLOCK))
+        live, some = np.zeros(n, bool), np.zeros(n * blocks, bool)
+        live[near // (blocks * BLOCK)] = True
+        some[near // BLOCK] = True
+        keep = ~rest & live[owner]
+        cell, entry = self._cells(owner[keep], ids[keep], blocks)
+        hit = some[cell]
+        near = near[score[near] + self._scored(cell[hit], entry[hit], n * blocks)[near] >= 1 - 1e-6]
+        return near // (blocks * BLOCK) + first, near % (blocks * BLOCK)
+
+    def _cells(self, owner: np.ndarray, ids: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+        """(passage and block, place among the blocks' maxima) of each block of each term."""
+        few = self.start[ids + 1] - self.start[ids]
         entry = _ranges(self.start[ids], few)
-        cell = np.repeat(owner, few) * blocks + self.block[entry]
-        self.all += int(self.postings[entry].sum())
-        at = np.searchsorted(near, cell)
-        at[at == len(near)] = 0
-        hit = near[at] == cell if len(near) else np.zeros(0, bool)
-        entry, at = entry[hit], at[hit]
-        bound = np.bincount(at, weights=self.most[entry], minlength=len(near))
-        hit = bound[at] >= 1 - 1e-6
-        entry, at = entry[hit], at[hit]
+        return np.repeat(owner * blocks, few) + self.block[entry], entry
+
+    def _scored(self, cell: np.ndarray, entry: np.ndarray, cells: int) -> np.ndarray:
+        """Scores of the sentences of all cells over the postings of the entries."""
         number = self.postings[entry]
         posting = _ranges(self.posting[entry], number)
         self.scored += len(posting)
-        left, at = np.unique(np.repeat(at, number), return_inverse=True)
-        score = np.bincount(at * BLOCK + self.who[posting] % BLOCK, weights=self.impact[posting], minlength=len(left) * BLOCK)
-        found = np.flatnonzero(score >= 1 - 1e-6)
-        place = near[left[found // BLOCK]] if len(found) else found
-        return place // blocks, place % blocks * BLOCK + found % BLOCK
+        return np.bincount(np.repeat(cell * BLOCK, number) + self.who[posting] % BLOCK, weights=self.impact[posting], minlength=cells * BLOCK)
 
     def leaks_of(self, texts: list[list[str]]) -> list[list[tuple[int, float, bool, bool]]]:
         """For each text, given as its words: (item, share of its passage, question found, answer found) of each leaked item."""
