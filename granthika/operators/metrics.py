@@ -65,7 +65,9 @@ def histogram(df: DataFrame, col: str, bins: int = 5) -> DataFrame:
     above = sum(((F.col(col) >= F.col("lo") + i * width).cast("int") for i in range(1, bins)), F.lit(0))
     n = df.filter(F.col(col).isNotNull()).crossJoin(F.broadcast(r)).groupBy(F.when(F.col("hi") > F.col("lo"), above).otherwise(0).alias("bin")).agg(F.count("*").alias("n"))
     places = r.withColumn("bin", F.explode(F.when(F.col("hi") > F.col("lo"), F.sequence(F.lit(0), F.lit(bins - 1))).otherwise(F.array(F.lit(0)))))
-    label = F.when(F.col("hi") > F.col("lo"), F.format_string("%.2f-%.2f", F.col("lo") + F.col("bin") * width, F.col("lo") + (F.col("bin") + 1) * width)).otherwise(F.format_string("%.2f", "lo"))
+    # Two decimals of the number as it is stored (0.365 is a little less); there is a row for each bin only.
+    two = F.pandas_udf(lambda x: x.map(lambda v: f"{v:.2f}"), "string")
+    label = F.when(F.col("hi") > F.col("lo"), F.concat(two(F.col("lo") + F.col("bin") * width), F.lit("-"), two(F.col("lo") + (F.col("bin") + 1) * width))).otherwise(two(F.col("lo")))
     return places.join(n, "bin", "left").select(label.alias("label"), "bin", F.coalesce("n", F.lit(0)).alias("n")).groupBy("label").agg(F.max_by("n", "bin").alias("n"))
 
 
