@@ -55,14 +55,14 @@ def s16_changelog(s, d):
     m = ops.latest(t(s, d, "manifest"), "doc_id", "retrieved_at", "file")
     path = shared_path(s, "changelog")
     ops.changelog(ops.changed(m, t(s, d, "lineage")), "run-1").write.mode("append").partitionBy("run").parquet(path)
-    return s.read.parquet(path).select("doc_id", "entry")
+    return s.read.schema("doc_id string, entry string, run string").parquet(path).select("doc_id", "entry")
 
 
 def s15_metrics_table(s, d):
     """Measured metrics appended to a table by run and read back."""
     path = shared_path(s, "metrics")
     current(s, d).withColumn("run", F.lit("run-1")).write.mode("append").partitionBy("run").parquet(path)
-    return s.read.parquet(path).select("metric", F.round("current", 6).alias("current"))
+    return s.read.schema("metric string, current double, run string").parquet(path).select("metric", F.round("current", 6).alias("current"))
 
 
 def r4_upserted(s, d):
