@@ -126,7 +126,8 @@ def j5_cited_candidates(s, d):
 
 
 def a18_citations(s, d):
-    c = cites(s, d).join(M.span_iou(cites(s, d), truth(s, d)), "cite_id")
+    c = cut(cites(s, d))
+    c = c.join(M.span_iou(c, truth(s, d)), "cite_id")
     valid = F.sum((F.col("source_authority") == "authoritative").cast("int"))
     return c.agg(F.count("*").alias("n"), F.round(valid / F.count("*"), 6).alias("precision"), F.round(F.avg("char_iou"), 6).alias("mean_iou"))
 
