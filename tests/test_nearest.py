@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
+import pytest
+
 from granthika.operators import search as V
+from granthika.plans import catalog
 
 
 def vectors(n, seed, name):
@@ -42,3 +46,24 @@ def test_pairs_are_not_emitted(spark):
     rows = frame(spark, vectors(2000, 3, "r"), "row_id", "vec", "norm").repartition(9)
     asked = frame(spark, vectors(50, 4, "q"), "query_id", "q_vec", "q_norm")
     assert V.best_of_tasks(asked, rows, 3, "query_id", "row_id").count() <= 50 * 3 * spark.sparkContext.defaultParallelism
+
+
+SMALL = os.environ.get("TESTDATA_DIR", "/root/testdata") + "/sf0.001"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["u3_candidate_concat", "u4_citation_union"])
+def test_one_search_for_both_sides(spark, name):
+    """The search is done once for both sides of a union, and its pairs are never a join's rows."""
+    text = plan(catalog.queries()[name](spark, SMALL))
+    assert "MapInArrow" not in text and "NestedLoopJoin" not in text
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["w3_split", "a19_faithfulness"])
+def test_no_join_of_all_pairs(spark, name):
+    assert "NestedLoopJoin" not in plan(catalog.queries()[name](spark, SMALL))
