@@ -3,9 +3,9 @@
 Method: detect and remove running headers, footers and page numbers, then join lines with corpus-vocabulary dehyphenation.
 Lines at page edges (short of the line width though the next word would fit, first and last lines) are reduced to a key in
 which characters that scanning confuses are equal.  A line is running where it repeats fuzzily over pages of its document:
-its key, or one within a few edits of it, stands on another page.  Keys are compared with their neighbours in two orders, by
-beginnings and by ends, so that a misread character at either end does no harm and no group is compared pairwise; more edits
-are allowed where the page is scanned and its recognition unsure (conf_mean, source_page_is_ocr).  Footers are last lines
+its key, or one within a few edits of it, stands on another page.  A key is compared with every key of its document that
+lengths and pairs of letters, which bound the edits, don't exclude, until one is close; more edits are allowed where the page
+is scanned and its recognition unsure (conf_mean, source_page_is_ocr).  Footers are last lines
 that repeat on FOOT pages or more.  A line that is only a number is a page number where it is the page's own, is marked as
 one, or goes with the pages of its document at one offset.  A word cut at a line end is joined unless the corpus writes it as
 a compound.  Misread words are found on the corpus's word counts: a word that becomes a far more frequent one by undoing a
@@ -24,8 +24,10 @@ from __future__ import annotations
 import re
 import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, WORKER_WORDS, cut, map_arrow, table
@@ -376,21 +378,119 @@ def paragraphs(df: DataFrame, most: int = WORKER_WORDS) -> DataFrame:
     return map_arrow(tables.source(joined), run, "block_id string, paragraph string, noise array<string>", 2000)
 
 
-def _fuzzy(keys: DataFrame) -> DataFrame:
+def _distance(a: str, b: str) -> int:
+    """Edits between two texts, all columns of the table at once as bits of an integer (Myers)."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    last, whole = 1 << len(a) - 1, (1 << len(a)) - 1
+    up, down, n = whole, 0, len(a)
+    for c in b:
+        m = at.get(c, 0)
+        d = ((m & up) + up ^ up | m | down) & whole
+        more, less = (down | ~(d | up)) & whole, up & d
+        n += (more & last != 0) - (less & last != 0)
+        more = more << 1 | 1
+        up, down = (less << 1 | ~(d | more)) & whole, more & d & whole
+    return n
+
+
+def _pairs_of_letters(keys: list[str]) -> np.ndarray:
+    """Bits of the pairs of neighbouring characters of each key; an edit changes four of them at most."""
+    codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    bits = np.zeros((len(keys), 256), bool)
+    if len(codes) > 1:
+        inside = row[1:] == row[:-1]
+        pair = (codes[:-1] << np.uint64(21) | codes[1:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)
+        bits[row[1:][inside], pair[inside].astype(np.int64)] = True
+    return np.packbits(bits, 1).view(np.uint64).reshape(len(keys), 4)
+
+
+def _with_partner(t: pa.Table) -> pa.RecordBatch | None:
+    """Rows of whole groups that ask and have a partner: every one of the group's partners that bounds don't exclude is compared until one is close."""
+    doc, part, key, low, high, unsure, ask, partner = (t.column(k).combine_chunks() for k in range(8))
+    keys, ask = key.to_pylist(), ask.to_numpy(zero_copy_only=False)
+    codes = [np.array(x.dictionary_encode().indices.fill_null(-1)) for x in (doc, low, high)]
+    group = np.cumsum(np.concatenate([[0], (codes[0][1:] != codes[0][:-1]) | (np.diff(np.array(part)) != 0)]))
+    start = np.searchsorted(group, np.arange(group[-1] + 1))
+    n = np.bincount(group, partner.to_numpy(zero_copy_only=False)).astype(np.int64)
+    length, sure = np.array([len(k) for k in keys]), np.array(unsure)
+    bits = np.ascontiguousarray(_pairs_of_letters(keys).T)
+    asking = np.flatnonzero(ask & (n[group] > 0))
+    ends = np.cumsum(n[group[asking]])
+    out, lo = [], 0
+    while lo < len(asking):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+        times = n[group[asking[lo:hi]]]
+        x = np.repeat(asking[lo:hi], times)
+        y = np.arange(len(x)) - np.repeat(np.cumsum(times) - times, times) + start[group[x]]
+        most = np.maximum(length[x], length[y]) * (EDITS + MORE_EDITS * np.maximum(sure[x], sure[y]))
+        other = np.zeros(len(x), bool)
+        for c in codes[1:]:
+            other |= (c[x] != c[y]) & (c[x] >= 0) & (c[y] >= 0)
+        keep = np.flatnonzero(other & (np.abs(length[x] - length[y]) <= most))
+        x, y, most = x[keep], y[keep], most[keep]
+        differ = np.zeros(len(x), np.int64)
+        for w in bits:
+            differ = differ + np.bitwise_count(w[x] ^ w[y])
+            keep = np.flatnonzero(differ <= 4 * most)
+            x, y, most, differ = x[keep], y[keep], most[keep], differ[keep]
+        order = np.lexsort((differ, x))
+        done = -1
+        for i, j, m in zip(x[order].tolist(), y[order].tolist(), most[order].tolist()):
+            if i != done and keys[i] != keys[j] and _distance(keys[i], keys[j]) <= m:
+                out.append(i)
+                done = i
+        lo = hi
+    return pa.RecordBatch.from_arrays([doc.take(pa.array(out)), key.take(pa.array(out))], ["doc_id", "key"]) if out else None
+
+
+#: Keys of a document that are compared in one group, rows that are compared in one go, and pairs at once; they bound memory, and leave nothing out.
+GROUP_KEYS, GROUP_ROWS, PAIRS = 20_000, 50_000, 1 << 20
+
+
+def _whole_groups(batches):
+    """Batches of rows in order, put together and parted between groups."""
+    kept: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        kept.append(b)
+        n += b.num_rows
+        if n >= GROUP_ROWS:
+            t = pa.Table.from_batches(kept).combine_chunks()
+            new = np.flatnonzero(np.array(pc.or_(pc.not_equal(t.column(0)[1:], t.column(0)[:-1]), pc.not_equal(t.column(1)[1:], t.column(1)[:-1])).combine_chunks()))
+            if len(new):
+                yield t.slice(0, int(new[-1]) + 1)
+                t = t.slice(int(new[-1]) + 1)
+            kept, n = t.to_batches(), t.num_rows
+    if n:
+        yield pa.Table.from_batches(kept)
+
+
+def _fuzzy(keys: DataFrame, group_keys: int = GROUP_KEYS) -> DataFrame:
     """(doc_id, key) of keys that stand, as they are or within a few edits, on other pages of their document.
 
-    keys: one row a key with the pages it stands on (number, least and greatest) and how unsure they are.  Each is compared
-    with its neighbours among those of one beginning and among those of one end; windows sort, they hold no group."""
+    keys: one row a key with the pages it stands on (number, least and greatest) and how unsure they are.  A key of one page is
+    compared with all of its document that lengths and pairs of letters leave, until one is close; keys of a document that has
+    many are parted by hash, and each part meets each."""
+    keys = keys.filter("doc_id IS NOT NULL")
+    sizes = keys.groupBy("doc_id").agg(F.ceil(F.count("*") / group_keys).cast("int").alias("parts"))
+    own = keys.join(sizes, "doc_id").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cols = ["key", "low", "high", "unsure"]
+    asking = own.select("doc_id", (F.col("own") * F.col("parts") + F.col("o")).alias("part"), *cols, (F.col("pages") < PAGES).alias("ask"), (F.col("own") == F.col("o")).alias("partner")).filter("ask OR partner")
+    partners = own.filter("own <> o").select("doc_id", (F.col("o") * F.col("parts") + F.col("own")).alias("part"), *cols, F.lit(False).alias("ask"), F.lit(True).alias("partner"))
+    both = asking.unionByName(partners).repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", F.desc("partner"))
+
+    def run(batches):
+        for t in _whole_groups(batches):
+            if (found := _with_partner(t)) is not None:
+                yield found
+
     close = keys.filter(F.col("pages") >= PAGES).select("doc_id", "key")
-    for part, order in ((F.substring("key", 1, 2), F.col("key")), (F.substring("key", -2, 2), F.reverse("key"))):
-        w = Window.partitionBy("doc_id", part).orderBy(order)
-        for step in (F.lag, F.lead):
-            for k in (1, 2):
-                other = step(F.struct("key", "low", "high", "unsure"), k).over(w)
-                pairs = keys.select("doc_id", "key", "low", "high", "unsure", other.alias("o")).filter("o IS NOT NULL AND (low <> o.low OR high <> o.high)")
-                allowed = F.greatest(F.length("key"), F.length("o.key")) * (EDITS + MORE_EDITS * F.greatest("unsure", F.col("o.unsure")))
-                close = close.unionByName(pairs.filter(F.levenshtein("key", F.col("o.key")) <= allowed).select("doc_id", "key"))
-    return close.distinct()
+    return close.unionByName(both.mapInArrow(run, "doc_id string, key string")).distinct()
 
 
 def running(found: DataFrame) -> DataFrame:
