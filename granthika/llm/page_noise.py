@@ -21,6 +21,7 @@ Defined cases: null and empty texts have no noise; repeated rows of a block give
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 
@@ -378,8 +379,8 @@ def paragraphs(df: DataFrame, most: int = WORKER_WORDS) -> DataFrame:
     return map_arrow(tables.source(joined), run, "block_id string, paragraph string, noise array<string>", 2000)
 
 
-def _distance(a: str, b: str) -> int:
-    """Edits between two texts, all columns of the table at once as bits of an integer (Myers)."""
+def _distance(a: str, b: str, most: float) -> float:
+    """Edits between two texts, all columns of the table at once as bits of an integer (Myers); inf once they must be more than `most`."""
     if not a or not b:
         return len(a) + len(b)
     at: dict[str, int] = {}
@@ -387,11 +388,13 @@ def _distance(a: str, b: str) -> int:
         at[c] = at.get(c, 0) | 1 << k
     last, whole = 1 << len(a) - 1, (1 << len(a)) - 1
     up, down, n = whole, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
         m = at.get(c, 0)
         d = ((m & up) + up ^ up | m | down) & whole
         more, less = (down | ~(d | up)) & whole, up & d
         n += (more & last != 0) - (less & last != 0)
+        if n - left > most:
+            return math.inf
         more = more << 1 | 1
         up, down = (less << 1 | ~(d | more)) & whole, more & d & whole
     return n
@@ -441,7 +444,7 @@ def _with_partner(t: pa.Table) -> pa.RecordBatch | None:
         order = np.lexsort((differ, x))
         done = -1
         for i, j, m in zip(x[order].tolist(), y[order].tolist(), most[order].tolist()):
-            if i != done and keys[i] != keys[j] and _distance(keys[i], keys[j]) <= m:
+            if i != done and keys[i] != keys[j] and _distance(keys[i], keys[j], m) <= m:
                 out.append(i)
                 done = i
         lo = hi
@@ -482,7 +485,7 @@ def _fuzzy(keys: DataFrame, group_keys: int = GROUP_KEYS) -> DataFrame:
     cols = ["key", "low", "high", "unsure"]
     asking = own.select("doc_id", (F.col("own") * F.col("parts") + F.col("o")).alias("part"), *cols, (F.col("pages") < PAGES).alias("ask"), (F.col("own") == F.col("o")).alias("partner")).filter("ask OR partner")
     partners = own.filter("own <> o").select("doc_id", (F.col("o") * F.col("parts") + F.col("own")).alias("part"), *cols, F.lit(False).alias("ask"), F.lit(True).alias("partner"))
-    both = asking.unionByName(partners).repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", F.desc("partner"))
+    both = asking.unionByName(partners).repartition(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id", "part").sortWithinPartitions("doc_id", "part", F.desc("partner"))
 
     def run(batches):
         for t in _whole_groups(batches):
