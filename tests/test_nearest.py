@@ -9,7 +9,7 @@ import random
 import pytest
 
 from granthika.operators import search as V
-from granthika.plans import catalog
+from granthika.plans import catalog, q_search
 
 
 def vectors(n, seed, name):
@@ -67,3 +67,14 @@ def test_one_search_for_both_sides(spark, name):
 @pytest.mark.parametrize("name", ["w3_split", "a19_faithfulness"])
 def test_no_join_of_all_pairs(spark, name):
     assert "NestedLoopJoin" not in plan(catalog.queries()[name](spark, SMALL))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
+def test_faithfulness_searches_once_and_shuffles_texts_of_found_chunks_only(spark):
+    assert "MapInArrow" not in plan(catalog.queries()["a19_faithfulness"](spark, SMALL))
+    found = q_search.cut(q_search.results(spark, SMALL))
+    asked, usual = q_search.evidence(spark, SMALL, found), q_search.evidence(spark, SMALL)
+    assert "LeftSemi, BuildRight" in plan(asked)
+    cols = ["query_id", "chunk_id", "qa_id", "start_char", "end_char", "rank", "span_text"]
+    got = sorted(map(str, asked.select(cols).collect()))
+    assert got == sorted(map(str, usual.select(cols).collect())) and got
